@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from spoor.llm.byte_bpe import op7_byte_bpe
 from spoor.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
+}
 ORACLE_SQL = {"op1_substring_dedup": OP1_SQL}

@@ -143,9 +143,9 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):  # no chunks
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = column.cast(pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    column = column.cast(pa.large_binary())
     if not len(column):
         return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     _, where, data = column.buffers()
