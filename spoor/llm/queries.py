@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from spoor.llm.byte_bpe import op7_byte_bpe
+from spoor.llm.decontamination import OP3_SQL, op3_decontamination
+from spoor.llm.quality_rules import OP9_SQL, op9_quality_rules
 from spoor.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_decontamination": op3_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality_rules": op9_quality_rules,
+}
+ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op9_quality_rules": OP9_SQL,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL}
