@@ -25,9 +25,11 @@ from spoor.llm.tokens import buffers, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a codec remembers before it starts anew: bounds a worker's memory.
-REMEMBERED = 400_000
-#: Pieces of one text that are handled at a time.
-AT_A_TIME = 1_000_000
+REMEMBERED = 200_000
+#: Pieces that the library encodes at a time.
+LEARNED = 10_000
+#: Pieces that are handled at a time, also of one text.
+AT_A_TIME = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -64,55 +66,55 @@ class Codec:
         self.piece_ids = np.zeros(0, dtype=np.uint32)
 
     def _learn(self, fresh: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
-        start = len(self.piece_ids) + np.cumsum(sizes) - sizes
+        parts, sizes = [self.piece_ids], []
+        for at in range(0, len(fresh), LEARNED):
+            some = fresh[at : at + LEARNED]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            parts.append(np.array(found.ids, dtype=np.uint32))
+            sizes.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some)))
+        size = np.concatenate(sizes)
+        start = len(self.piece_ids) + np.cumsum(size) - size
         self.piece_start = np.concatenate([self.piece_start, start])
-        self.piece_size = np.concatenate([self.piece_size, sizes])
-        self.piece_ids = np.concatenate([self.piece_ids, *(np.array(x, dtype=np.uint32) for x in found)])
+        self.piece_size = np.concatenate([self.piece_size, size])
+        self.piece_ids = np.concatenate(parts)
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
 
-    def _ids(self, pieces: list[str]) -> np.ndarray:
+    def _which(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece; those that are new are learned."""
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        if fresh and self.known and len(self.known) + len(fresh) > REMEMBERED:
+            self._forget()
+            fresh = list(dict.fromkeys(pieces))
         if fresh:
-            if len(self.known) + len(fresh) > REMEMBERED and self.known:
-                self._forget()
-                fresh = list(dict.fromkeys(pieces))
             self._learn(fresh)
-        which = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        return gather(self.piece_ids, self.piece_start[which], self.piece_size[which])
+        return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one after the other, and the number of ids of each. A null counts as empty."""
         parts, sizes, waiting, owners = [], np.zeros(len(texts), dtype=np.int64), [], []
 
         def flush() -> None:
-            if waiting:
-                before = np.cumsum([0, *(n for _, n in owners)])
-                ids = self._ids(waiting)
-                # ids of each owner: from the sizes of its pieces
-                per = np.r_[0, np.cumsum(self.piece_size[np.fromiter(map(self.known.__getitem__, waiting), np.int64, len(waiting))])]
-                for (row, _), a, z in zip(owners, before[:-1], before[1:], strict=True):
-                    sizes[row] += per[z] - per[a]
-                parts.append(ids)
-                waiting.clear()
-                owners.clear()
+            if not waiting:
+                return
+            which = self._which(waiting)
+            size = self.piece_size[which]
+            parts.append(gather(self.piece_ids, self.piece_start[which], size))
+            upto = np.r_[0, np.cumsum(size)][np.cumsum([n for _, n in owners])]
+            np.add.at(sizes, [row for row, _ in owners], np.diff(upto, prepend=0))
+            waiting.clear()
+            owners.clear()
 
         for row, text in enumerate(texts):
             if not text:
                 continue
-            if len(text) < AT_A_TIME:
-                pieces = self.pattern.findall(text)
+            found = (m.group() for m in self.pattern.finditer(text)) if len(text) > AT_A_TIME else None
+            while pieces := list(islice(found, AT_A_TIME)) if found else self.pattern.findall(text):
                 waiting += pieces
                 owners.append((row, len(pieces)))
                 if len(waiting) >= AT_A_TIME:
                     flush()
-                continue
-            found = (m.group() for m in self.pattern.finditer(text))
-            while pieces := list(islice(found, AT_A_TIME)):
-                waiting += pieces
-                owners.append((row, len(pieces)))
-                flush()
+                if not found:
+                    break
         flush()
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), sizes
 
@@ -120,6 +122,10 @@ class Codec:
         """The bytes of ids, as they are: an id may begin or end within a character."""
         return gather(self.token_bytes, self.token_start[ids], self.token_size[ids])
 
+    def decoded(self, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """The bytes of each run of ids ``cuts[i] : cuts[i + 1]``."""
+        return _binaries(self.decode(ids), np.r_[0, np.cumsum(self.token_size[ids])][cuts])
+
     def offsets(self, ids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last character of each id of one text; a split character counts for all its ids."""
         stop = np.cumsum(self.token_size[ids])
@@ -169,21 +175,24 @@ def _mapped(df: DataFrame, column: str, new: list[T.StructField], work) -> DataF
 
 
 def encode(
-    df: DataFrame, *, text: str = "text", offsets: bool = False, path: str | None = None,
+    df: DataFrame, *, text: str = "text", offsets: bool = False, decoded: bool = False, path: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
 ) -> DataFrame:
     """``df`` with ``n_tokens`` long and ``ids`` binary (unsigned 32-bit little-endian) of a text column.
 
     offsets : also ``starts`` and ``ends``, arrays of the first character of each id and the one after its last
+    decoded : also ``decoded`` binary, which the ids are turned back into in the same pass, as :func:`decode` does
     path    : a byte-level vocabulary in the tokenizers format, readable on every executor
 
     A null or empty text has no ids. Special tokens' strings are ordinary text. A text of any length is encoded
-    whole, a million pieces at a time. Columns of these names in ``df`` are replaced; rows keep their number.
+    whole, some pieces at a time. Columns of these names in ``df`` are replaced; rows keep their number.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     if offsets:
         new += [T.StructField(n, T.ArrayType(T.LongType())) for n in ("starts", "ends")]
+    if decoded:
+        new.append(T.StructField("decoded", T.BinaryType()))
 
     def work(column: pa.Array) -> list[pa.Array]:
         own = codec(path, pattern)
@@ -199,6 +208,8 @@ def encode(
             for side in (0, 1):
                 flat = np.concatenate([p[side] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64)
                 out.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat, pa.int64())))
+        if decoded:
+            out.append(own.decoded(ids, cuts))
         return out
 
     return _mapped(df, text, new, work)
@@ -219,9 +230,7 @@ def decode(
         _, where, data = column.buffers()
         cuts = np.frombuffer(where, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         raw = np.frombuffer(data, dtype=np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.zeros(0, np.uint8)
-        ids_ = np.ascontiguousarray(raw).view("<u4")
-        sizes = np.r_[0, np.cumsum(own.token_size[ids_])]
-        return [_binaries(own.decode(ids_), sizes[(cuts - cuts[0]) // 4])]
+        return [own.decoded(np.ascontiguousarray(raw).view("<u4"), (cuts - cuts[0]) // 4)]
 
     return _mapped(df, ids, [T.StructField("decoded", T.BinaryType())], work)
 
@@ -236,7 +245,7 @@ def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Digests of the ids of every text of ``documents`` and of the bytes that they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs).drop("text"))
+    out = encode(docs, decoded=True)
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
