@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from spoor.llm.byte_bpe import op7_byte_bpe
 from spoor.llm.decontamination import OP3_SQL, op3_decontamination
+from spoor.llm.license_scan import op4_license_scan
 from spoor.llm.quality_rules import OP9_SQL, op9_quality_rules
 from spoor.llm.substring_dedup import OP1_SQL, op1_substring_dedup
+from spoor.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_license_scan": op4_license_scan,
+    "op5_toxicity": op5_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
