@@ -5,9 +5,11 @@ from __future__ import annotations
 from spoor.llm.byte_bpe import op7_byte_bpe
 from spoor.llm.decontamination import OP3_SQL, op3_decontamination
 from spoor.llm.license_scan import op4_license_scan
+from spoor.llm.quality_classifier import op8_quality_classifier
 from spoor.llm.quality_rules import OP9_SQL, op9_quality_rules
 from spoor.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from spoor.llm.toxicity import op5_toxicity
+from spoor.llm.warc import op10_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -15,7 +17,9 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
