@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spoor.llm.byte_bpe import op7_byte_bpe
 from spoor.llm.decontamination import OP3_SQL, op3_decontamination
+from spoor.llm.language_model import op6_language_model
 from spoor.llm.license_scan import op4_license_scan
 from spoor.llm.quality_classifier import op8_quality_classifier
 from spoor.llm.quality_rules import OP9_SQL, op9_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
+    "op6_language_model": op6_language_model,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
