@@ -1,13 +1,14 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. Every text becomes its set of word shingles; texts with the same set are one class, kept once from here on.
-2. A class has a signature of minima. Bands of it deal classes into buckets; within a bucket each class is compared
-   with one pivot only, so a bucket of n classes makes n - 1 pairs however large it is.
-3. Signatures are compared in batches. After each one, pairs whose similarity reaches the threshold with less than
-   the chosen miss probability, given the matches so far, are dropped. Survivors are verified on full sets, first the
-   best pair of each class, then those whose ends are not connected yet.
-4. Buckets that still hold more than one component are compared exhaustively but for what is connected, block by
-   block: first the best pair of each two components, then all that are left.
+2. A class has a signature of minima. Bands of it deal classes into buckets; each class of a bucket makes a pair with
+   the bucket's pivot, so a bucket of n classes makes n - 1 pairs however large it is. What these pairs connect is a
+   group: every pair of classes that shares a bucket lies within one.
+3. Groups of more than one block: signatures of the pairs are compared in batches. After each one, pairs whose
+   similarity reaches the threshold with less than the chosen miss probability, given the matches so far, are
+   dropped. Survivors are verified on full sets, first the best of each class, then those not connected yet.
+4. In every group that still holds more than one component, classes of different components are compared in the same
+   way, block by block, and verified on full sets within the block; only links that connect something leave it.
 
 Components come from alternating stars on the links. Intermediate tables are written to the shared folder, so work
 is not repeated and lost executors cost their tasks only. Nothing is collected but counts.
@@ -31,8 +32,10 @@ from spoor.llm.tokens import SPACES, U64, Spans, mix, mix_int, slices, words_of
 VALUES, BAND = 128, 4
 #: Values that are compared before the next look at the posterior.
 BATCH = 32
-#: Classes of a bucket that are compared with each other in one task.
-BLOCK = 256
+#: Classes of a group, and shingles of them, that make a block; two blocks are compared in one task.
+BLOCK, BLOCK_SHINGLES = 256, 4_000_000
+#: Shingles of two blocks, and pairs, that are held as bits and verified at a time.
+BITS, PAIRS = 1 << 16, 20_000
 
 _SEEDS = np.array([mix_int(2 * i + 1) | 1 for i in range(VALUES)], dtype=U64)
 
@@ -90,6 +93,77 @@ def surviving(a: np.ndarray, b: np.ndarray, similarity: float, miss: float) -> t
     return rows, matches
 
 
+def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets ``a[i]`` and ``b[i]`` share, by rows of bits over some shingles at a time."""
+    used = np.unique(np.r_[a, b])
+    place = np.zeros(len(sets), dtype=np.int64)
+    place[used] = np.arange(len(used))
+    a, b = place[a], place[b]
+    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    _, element = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    out = np.zeros(len(a), dtype=np.int64)
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    for low in range(0, int(element[-1]) + 1 if len(element) else 0, BITS):
+        x, z = np.searchsorted(element, [low, low + BITS])
+        bits = np.zeros((len(used), BITS), dtype=bool)
+        bits[owner[x:z], element[x:z] - low] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for at in range(0, len(a), 2000):
+            part = slice(at, at + 2000)
+            out[part] += np.bitwise_count(packed[a[part]] & packed[b[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+class Forest:
+    """Which labels are connected."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def block_links(
+    sig: np.ndarray, sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray,
+    similarity: float, miss: float,
+) -> list[tuple[int, int]]:
+    """Links between rows ``left`` and ``right`` of different labels, as many as connect what all links connect."""
+    size = np.array([len(s) for s in sets])
+    percent = round(similarity * 100)
+    found = []
+    for x in left:
+        others = right[(label[right] != label[x]) & (right != x)]
+        # Sets of sizes too far apart cannot be similar enough.
+        others = others[100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])]
+        rows, matches = surviving(np.broadcast_to(sig[x], (len(others), VALUES)), sig[others], similarity, miss)
+        found.append((np.full(len(rows), x), others[rows], matches))
+    a, b, m = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(3))
+    order = np.argsort(-m, kind="stable")
+    a, b, forest, out = a[order], b[order], Forest(), []
+    while len(a):
+        some, a, other, b = a[:PAIRS], a[PAIRS:], b[:PAIRS], b[PAIRS:]
+        inter = intersections(sets, some, other)
+        linked = 100 * inter >= percent * (size[some] + size[other] - inter)
+        out += [
+            (x, y) for x, y in zip(some[linked].tolist(), other[linked].tolist(), strict=True)
+            if forest.join(int(label[x]), int(label[y]))
+        ]
+        roots = np.array([forest.root(int(v)) for v in label])
+        open_ = roots[a] != roots[b]
+        a, b = a[open_], b[open_]
+    return out
+
+
 def _signature_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
 
@@ -114,7 +188,7 @@ def components(links: DataFrame, tables: _Tables) -> DataFrame:
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = large.where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -136,7 +210,7 @@ def near_duplicates(
 
     Texts whose sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity`` are linked;
     component_id is the least id that links lead to, itself included, and kept tells whether it is the row's own.
-    miss: the probability with which a pair at the threshold may be dropped after each batch of signature values.
+    similarity counts in whole percent; miss: the probability with which a pair at the threshold may be dropped after each batch of signature values.
     A-Z are lower-cased; words stand between spaces and control characters of the same kind. A text with fewer words
     is one shingle. A null text, or one without words, has no shingles and is linked with nothing: it is kept, as
     its own component. A null id takes part in links but is never a component's id; such a row is kept only if it is
@@ -144,7 +218,7 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     tables = _Tables(spark, "near")
-    share = F.lit(similarity)
+    percent = round(similarity * 100)
     frame = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     frame = frame.withColumn("th", F.xxhash64("text"))
 
@@ -170,16 +244,20 @@ def near_duplicates(
     all_ = tables.keep(frame.mapInArrow(sketch, "id long, th long, n long, key binary, sig binary"))
     classes = all_.where("key IS NOT NULL").groupBy("key").agg(F.first("sig").alias("sig"), F.min("th").alias("th"), F.first("n").alias("n"))
     classes = tables.keep(classes.withColumn("node", F.monotonically_increasing_id()))
-    signed = classes.select("node", "sig")
 
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)),
         lambda i: F.xxhash64(i, F.substring("sig", i * (2 * BAND) + 1, F.lit(2 * BAND))),
     )
-    dealt = signed.select("node", F.explode(bands).alias("bucket"))
+    dealt = classes.select("node", F.explode(bands).alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = tables.keep(dealt.join(full, "bucket").select("bucket", "node", "pivot", "size"))
-    pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = dealt.join(full, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = tables.keep(pairs)
+    groups = components(pairs, tables).withColumnRenamed("label", "g")
+    groups = groups.join(classes.select("node", "th", "n", "sig"), "node")
+    sizes = groups.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("held"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
+    sizes = tables.keep(sizes.select("g", blocks.alias("blocks")))
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -188,23 +266,20 @@ def near_duplicates(
                 [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(matches)], ["a", "b", "m"]
             )
 
-    both = pairs.join(signed.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(
-        signed.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"
-    )
-    likely = tables.keep(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, m long"))
-
-    # The sets of all classes that share a bucket.
-    wanted = members.select("node").distinct().join(classes.select("node", "th", "n"), "node")
-    texts = frame.groupBy("th").agg(F.first("text").alias("text")).join(wanted, "th")
+    # The sets of all classes of groups.
+    texts = frame.groupBy("th").agg(F.first("text").alias("text")).join(groups.select("node", "g", "th", "sig"), "th")
 
     def sets_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for row, rows in slices(batch.column(1)):
-                found, first = shingles(batch.column(1).slice(row, rows), shingle)
+            for row, rows in slices(batch.column(3)):
+                part = batch.slice(row, rows)
+                found, first = shingles(part.column(3), shingle)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, rows), lists], ["node", "s"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], ["node", "g", "sig", "s"])
 
-    sets = tables.keep(texts.select("node", "text").mapInArrow(sets_of, "node long, s array<long>"))
+    sets = tables.keep(
+        texts.select("node", "g", "sig", "text").mapInArrow(sets_of, "node long, g long, sig binary, s array<long>")
+    )
 
     def verified(some: DataFrame) -> DataFrame:
         """The links among pairs (a, b), by the sizes of intersection and union of their full sets."""
@@ -212,7 +287,7 @@ def near_duplicates(
         two = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - inter
-        return two.where(inter >= F.ceil(share * 100) / 100 * union).select("a", "b")
+        return two.where(inter * 100 >= union * percent).select("a", "b")
 
     def labelled(df: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
         """With ``l<end>`` for each named end: its component so far, itself where it has no link."""
@@ -221,62 +296,42 @@ def near_duplicates(
             df = df.withColumn(f"l{e}", F.coalesce(f"l{e}", e))
         return df
 
-    best = likely.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-    links = tables.keep(verified(best))
-    labels = tables.keep(components(links, tables))
-    rest = likely.join(best, ["a", "b"], "left_anti")
-    more = tables.keep(verified(labelled(rest, labels, "a", "b").where("la <> lb")))
-
-    def grown(labels: DataFrame, more: DataFrame) -> DataFrame:
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        return tables.keep(components(known.unionAll(more), tables))
-
-    if not more.isEmpty():
-        labels = grown(labels, more)
-
-    def between(take: int | None) -> DataFrame:
-        """Likely pairs of different components within a bucket, the best ``take`` of each two components, or all."""
-        split = labelled(members, labels, "node").withColumnRenamed("lnode", "label")
-        mixed = split.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k"))
-        split = split.join(mixed.where("x <> y").select("bucket", "k"), "bucket").join(signed, "node")
-        blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-        split = split.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int"))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        split = split.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "sig")
-
-        def block(key: tuple, table: pa.Table) -> pa.Table:
-            sig, node = _signature_rows(table["sig"]), table["node"].to_numpy()
-            label, mine = table["label"].to_numpy(), table["mine"].to_numpy()
-            low, high = key[1].as_py(), key[2].as_py()
-            left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
-            a_, b_, m_ = [], [], []
-            for x in left:
-                others = right[(label[right] != label[x]) & ((node[right] > node[x]) if low == high else True)]
-                if len(others):
-                    rows, matches = surviving(np.broadcast_to(sig[x], (len(others), VALUES)), sig[others], similarity, miss)
-                    a_.append(np.full(len(rows), x))
-                    b_.append(others[rows])
-                    m_.append(matches)
-            a, b, m = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a_, b_, m_))
-            if take is not None and len(a):
-                least, most = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-                order = np.lexsort((-m, most, least))
-                new = np.r_[True, (least[order][1:] != least[order][:-1]) | (most[order][1:] != most[order][:-1])]
-                a, b = a[order][new], b[order][new]
-            return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
-
-        found = split.groupBy("bucket", "i", "j").applyInArrow(block, "a long, b long")
-        tried = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return tables.keep(found.join(tried, ["a", "b"], "left_anti"))
-
-    for take in (1, None):
-        pairs_left = between(take)
-        if pairs_left.isEmpty():
-            break
-        more = tables.keep(verified(pairs_left))
-        if not more.isEmpty():
-            labels = grown(labels, more)
+    # Groups of several blocks: the pairs with pivots first.
+    labels = spark.createDataFrame([], "node long, label long")
+    large = sizes.where("blocks > 1").select("g")
+    if not large.isEmpty():
+        of = sets.join(large, "g").select("node", "sig")
+        both = pairs.join(of.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(
+            of.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"
+        )
+        likely = tables.keep(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, m long"))
+        best = tables.keep(likely.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b")))
+        links = tables.keep(verified(best))
+        labels = tables.keep(components(links, tables))
+        rest = labelled(likely.join(best, ["a", "b"], "left_anti"), labels, "a", "b").where("la <> lb")
+        links = tables.keep(links.unionAll(verified(rest)))
+        labels = tables.keep(components(links, tables))
+
+    # What is not connected yet, within each group.
+    split = labelled(sets, labels, "node").withColumnRenamed("lnode", "label")
+    mixed = split.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+    split = split.join(mixed.join(sizes, "g"), "g")
+    split = split.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "sig", "s")
+
+    def block(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        sets_ = [np.asarray(s.values) for s in table["s"]]
+        node, mine = table["node"].to_numpy(), table["mine"].to_numpy()
+        left, right = np.flatnonzero(mine == key[1].as_py()), np.flatnonzero(mine == key[2].as_py())
+        found = block_links(_signature_rows(table["sig"]), sets_, table["label"].to_numpy(), left, right, similarity, miss)
+        ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
+
+    more = split.groupBy("g", "i", "j").applyInArrow(block, "a long, b long")
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = tables.keep(components(known.unionAll(more), tables))
 
     nodes = labelled(classes.select("node", "key"), labels, "node").select("key", F.col("lnode").alias("label"))
     by_class = all_.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least")).join(nodes, "key")
