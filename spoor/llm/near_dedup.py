@@ -206,7 +206,7 @@ def components(links: DataFrame, tables: _Tables) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 1e-6,
 ) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles long, component_id, kept boolean.
+    """One row for each row of ``docs``: id, text_hash long, n_shingles long, component_id, kept boolean.
 
     Texts whose sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity`` are linked;
     component_id is the least id that links lead to, itself included, and kept tells whether it is the row's own.
@@ -337,14 +337,31 @@ def near_duplicates(
     by_class = all_.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least")).join(nodes, "key")
     least = by_class.groupBy("label").agg(F.min("least").alias("component"))
     of_key = by_class.join(least, "label").select("key", "component")
-    out = all_.select("id", "n", "key").join(of_key, "key", "left")
+    out = all_.select("id", "th", "n", "key").join(of_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.col("id").alias(id), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
     )
 
 
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component of near-duplicates: that of the least id. All columns stay.
+
+    Rows of one id and text count once. Documents without an id stay unless linked with one that has an id, but for
+    equal texts, of which one stays. See :func:`near_duplicates` for the rest.
+    """
+    own = F.struct(F.col(f"`{id}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"))
+    found = near_duplicates(docs, id=id, text=text, **options).where("kept")
+    found = found.groupBy(F.struct(F.col(id).alias("i"), F.col("text_hash").alias("h")).alias("__own")).agg(F.count("*").alias("__n"))
+    found = _Tables(docs.sparkSession, "kept").keep(found)
+    out = docs.withColumn("__own", own).join(found.select("__own"), "__own", "left_semi")
+    if not found.where("__n > 1").isEmpty():
+        out = out.dropDuplicates(["__own"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Components of near-duplicates among all texts of ``documents``, with shingles of four words."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=4)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs, shingle=4).drop("text_hash")
