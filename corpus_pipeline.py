@@ -1,12 +1,71 @@
-"""The training-data pipeline: stages over ``documents``, each written and read again."""
+"""The training-data pipeline over ``documents``.
+
+Each stage gets what the one before kept, written as Parquet and read again, and calls one operator of
+:mod:`spoor.llm`. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spoor.llm.byte_bpe import encode
+from spoor.llm.decontamination import remove_leaks
+from spoor.llm.near_dedup import deduplicate
+from spoor.llm.shared import shared_dir
+from spoor.llm.substring_dedup import remove_repeats
+from spoor.llm.toxicity import score, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes to be toxic go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: shingles of five words, a similarity of 0.8."""
+    return deduplicate(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages of 13 words or more that an earlier document has go; n_chars follows the text."""
+    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = remove_repeats(docs, keep=keep)
+    if "n_chars" in keep:
+        n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or all of a shorter one, go."""
+    return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as ids, with the digest of what they decode to."""
+    out = encode(docs, decoded=True)
+    rest = [c for c in docs.columns if c != "text"]
+    return out.select(*[F.col(f"`{c}`") for c in rest], "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+#: The stages learn a classifier and apply a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage keeps is written to the shared folder for the next one."""
+    path = shared_dir(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
