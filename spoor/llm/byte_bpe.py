@@ -22,14 +22,15 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
 from spoor.llm.tokens import buffers, slices
+from spoor.llm.workers import streaming
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a codec remembers before it starts anew: bounds a worker's memory.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Pieces that the library encodes at a time.
 LEARNED = 10_000
 #: Pieces that are handled at a time, also of one text.
-AT_A_TIME = 500_000
+AT_A_TIME = 250_000
 
 
 def byte_characters() -> list[str]:
@@ -57,9 +58,9 @@ class Codec:
         self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.token_size = np.array([len(t) for t in tokens], dtype=np.int64)
         self.token_start = np.cumsum(self.token_size) - self.token_size
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.piece_size = np.zeros(0, dtype=np.int64)
         self.piece_start = np.zeros(0, dtype=np.int64)
@@ -83,7 +84,7 @@ class Codec:
         """The number of each piece; those that are new are learned."""
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
         if fresh and self.known and len(self.known) + len(fresh) > REMEMBERED:
-            self._forget()
+            self.forget()
             fresh = list(dict.fromkeys(pieces))
         if fresh:
             self._learn(fresh)
@@ -167,8 +168,10 @@ def _mapped(df: DataFrame, column: str, new: list[T.StructField], work) -> DataF
                 part = batch.slice(row, rows)
                 made = work(part.column(0))
                 yield pa.RecordBatch.from_arrays([*made, part.column(1)], [f.name for f in schema])
+        for own in sys.__dict__.get("_spoor_codecs", {}).values():
+            own.forget()  # the worker lives on
 
-    out = frame.mapInArrow(batches, schema)
+    out = frame.mapInArrow(streaming(batches), schema)
     return out.select(
         *[F.col(f"rest.`{c}`").alias(c) for c in rest], *[F.col(f"new{i}").alias(f.name) for i, f in enumerate(new)]
     )

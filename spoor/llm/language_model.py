@@ -29,6 +29,7 @@ from spoor.llm.blobs import pack, pieces, unpack
 from spoor.llm.learning import held_out
 from spoor.llm.shared import load, save, shared_dir
 from spoor.llm.tokens import SPACES, U64, Words, mix, mix_int, slices, words_of
+from spoor.llm.workers import grouped, streaming
 
 #: Stands for the end of a text; no word is hashed to it but by chance.
 END = mix_int(0xE0F)
@@ -221,7 +222,7 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
         ends = counts[words == U64(END)]
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(words)], "tokens": [int(counts.sum())], "texts": [int(ends.sum())]})
 
-    told = frame.mapInArrow(send_words, _MAIL).groupBy("shard").applyInArrow(write_words, "shard int, n long, tokens long, texts long")
+    told = frame.mapInArrow(streaming(send_words), _MAIL).groupBy("shard").applyInArrow(grouped(write_words), "shard int, n long, tokens long, texts long")
     found = {r["shard"]: r for r in told.collect()}
     for s in set(range(shards)) - set(found):
         save(f"{path}/word-{s}.npy", np.zeros(0, dtype=U64))
@@ -291,7 +292,7 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
             "n": pa.array([r[2] for r in rows], pa.int32()), "blob": pa.array([r[3] for r in rows], pa.binary()),
         })
 
-    stats = frame.mapInArrow(send_pairs, _MAIL).groupBy("shard").applyInArrow(write_pairs, "kind int, shard int, n int, blob binary")
+    stats = frame.mapInArrow(streaming(send_pairs), _MAIL).groupBy("shard").applyInArrow(grouped(write_pairs), "kind int, shard int, n int, blob binary")
     stats.write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
 
@@ -324,7 +325,7 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
         save(f"{path}/follows-{s}.npy", follows.astype(np.min_scalar_type(int(follows.max(initial=1)))))
         return pa.table({"shard": pa.array([s], pa.int32())} | {f"s{i}": [int((follows == i).sum()) if i else int((follows > 2).sum())] for i in range(5)})
 
-    dealt = stats.where("kind < 2").groupBy("shard").applyInArrow(write_stats, f"shard int, {five}")
+    dealt = stats.where("kind < 2").groupBy("shard").applyInArrow(grouped(write_stats), f"shard int, {five}")
     by = {r["shard"]: r for r in dealt.collect()}
     for s in set(range(shards)) - set(by):
         n = int(edges[s + 1] - edges[s]) + (s == shards - 1)
@@ -431,7 +432,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 part = batch.slice(row, rows)
                 yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(x) for x in scorer(part.column(0)))], ["row", *new])
 
-    out = frame.mapInArrow(work, schema)
+    out = frame.mapInArrow(streaming(work), schema)
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in rest], "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor.llm.tokens import NON_ALNUM, Words, slices, words_of
+from spoor.llm.workers import streaming
 
 #: Short phrases and their labels; each place where one stands is reported.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -248,7 +249,7 @@ def scan(
                     [f.name for f in schema],
                 )
 
-    return frame.mapInArrow(work, schema).withColumnRenamed("id", id)
+    return frame.mapInArrow(streaming(work), schema).withColumnRenamed("id", id)
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

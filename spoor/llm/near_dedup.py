@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from spoor.llm.shared import shared_dir
 from spoor.llm.tokens import SPACES, U64, Spans, mix, mix_int, slices, words_of
+from spoor.llm.workers import grouped, streaming
 
 #: Values of a signature (16 bits each), and those of a band: 32 bands of 4 miss a pair of similarity 0.8 in 5e-8.
 VALUES, BAND = 128, 4
@@ -241,7 +242,7 @@ def near_duplicates(
                     ["id", "th", "n", "key", "sig"],
                 )
 
-    all_ = tables.keep(frame.mapInArrow(sketch, "id long, th long, n long, key binary, sig binary"))
+    all_ = tables.keep(frame.mapInArrow(streaming(sketch), "id long, th long, n long, key binary, sig binary"))
     classes = all_.where("key IS NOT NULL").groupBy("key").agg(F.first("sig").alias("sig"), F.min("th").alias("th"), F.first("n").alias("n"))
     classes = tables.keep(classes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -278,7 +279,7 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], ["node", "g", "sig", "s"])
 
     sets = tables.keep(
-        texts.select("node", "g", "sig", "text").mapInArrow(sets_of, "node long, g long, sig binary, s array<long>")
+        texts.select("node", "g", "sig", "text").mapInArrow(streaming(sets_of), "node long, g long, sig binary, s array<long>")
     )
 
     def verified(some: DataFrame) -> DataFrame:
@@ -304,7 +305,7 @@ def near_duplicates(
         both = pairs.join(of.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(
             of.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"
         )
-        likely = tables.keep(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, m long"))
+        likely = tables.keep(both.select("a", "b", "sa", "sb").mapInArrow(streaming(compare), "a long, b long, m long"))
         best = tables.keep(likely.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b")))
         links = tables.keep(verified(best))
         labels = tables.keep(components(links, tables))
@@ -329,7 +330,7 @@ def near_duplicates(
         ends = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
 
-    more = split.groupBy("g", "i", "j").applyInArrow(block, "a long, b long")
+    more = split.groupBy("g", "i", "j").applyInArrow(grouped(block), "a long, b long")
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = tables.keep(components(known.unionAll(more), tables))
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from spoor.llm.learning import held_out, labelled_sample
 from spoor.llm.tokens import SPACES, Spans, Words, mix, slices, words_of
+from spoor.llm.workers import streaming
 
 STATISTICS = (
     "words", "bytes per word", "long words", "short words", "upper-case bytes", "upper-case words", "capitals", "digits",
@@ -173,7 +174,7 @@ def train(
             x = [r.tobytes() for r in statistics(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], ["id", "x", "y"])
 
-    got = sample.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(work, schema).toArrow().sort_by("id")
+    got = sample.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(streaming(work), schema).toArrow().sort_by("id")
     x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=float).reshape(-1, len(STATISTICS))
     y = got["y"].to_numpy().astype(np.int64)
     total = counts[0] + counts[1]
@@ -200,7 +201,7 @@ def score(docs: DataFrame, trees: Trees, *, text: str = "text", threshold: float
                 found = trees.scores(statistics(part.column(0)))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found)], ["row", "score"])
 
-    out = frame.mapInArrow(work, schema)
+    out = frame.mapInArrow(streaming(work), schema)
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in rest], "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from spoor.llm.blobs import pack, pieces, shard_cuts, unpack
 from spoor.llm.recompression import Groups, window_groups
 from spoor.llm.tokens import SPACES, U64, Spans, Words, buffers, slices, words_of
+from spoor.llm.workers import grouped
 
 MAIL = "shard int, batch int, n int, blob binary"
 ANSWER = "batch int, shard int, kind int, n int, blob binary"
@@ -243,7 +244,7 @@ def remove_repeats(
         F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in row] or [F.lit(0).alias("none")]).alias("row"),
     )
-    batches, shards = pieces(frame, 8), pieces(frame, 64)
+    batches, shards = pieces(frame, 5), pieces(frame, 64)
     frame = frame.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
 
     def reveal(key: tuple, table: pa.Table) -> pa.Table:
@@ -269,7 +270,7 @@ def remove_repeats(
         T.StructField("row", kind),
     ])
 
-    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def cut(_: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = table["text"]
         parts = _parts(table["id"], texts, window, levels)
         whole, edges = _verdicts(parts, answers, window, shards)
@@ -312,10 +313,10 @@ def remove_repeats(
         })
 
     dealt = frame.groupBy("batch")
-    groups = dealt.applyInArrow(reveal, MAIL).groupBy("shard").applyInArrow(judge_groups, ANSWER)
-    edges = dealt.cogroup(groups.groupBy("batch")).applyInArrow(reveal_edges, MAIL)
-    windows = edges.groupBy("shard").applyInArrow(judge_windows, ANSWER)
-    out = dealt.cogroup(groups.unionAll(windows).groupBy("batch")).applyInArrow(cut, out_schema)
+    groups = dealt.applyInArrow(grouped(reveal), MAIL).groupBy("shard").applyInArrow(grouped(judge_groups), ANSWER)
+    edges = dealt.cogroup(groups.groupBy("batch")).applyInArrow(grouped(reveal_edges), MAIL)
+    windows = edges.groupBy("shard").applyInArrow(grouped(judge_windows), ANSWER)
+    out = dealt.cogroup(groups.unionAll(windows).groupBy("batch")).applyInArrow(grouped(cut), out_schema)
     return out.select(
         F.col("id").alias(id), F.col("text").alias(text), "n_words", "n_removed", "removed",
         *[F.col(f"row.`{c}`").alias(c) for c in row],

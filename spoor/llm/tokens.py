@@ -59,7 +59,7 @@ def powers(n: int, base: int) -> np.ndarray:
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 24:  # a longer one is not worth its memory
+        if size <= 1 << 20:  # a longer one is not worth its memory
             _powers[base] = have
     return have[:n]
 

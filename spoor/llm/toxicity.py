@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from spoor.llm.learning import held_out, labelled_sample
 from spoor.llm.tokens import SPACES, U64, mix, mix_int, slices, words_of
+from spoor.llm.workers import streaming
 
 #: Beginnings of words, in bytes, that patterns look at; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
@@ -188,7 +189,7 @@ def train(
                     ["id", "terms", "y"],
                 )
 
-    got = sample.select("id", "text", "y").mapInArrow(terms, "id long, terms binary, y int").toArrow().sort_by("id")
+    got = sample.select("id", "text", "y").mapInArrow(streaming(terms), "id long, terms binary, y int").toArrow().sort_by("id")
     rows = [np.frombuffer(blob.as_py(), dtype=U64) for blob in got["terms"]]
     return fit(rows, got["y"].to_numpy().astype(np.int64), counts)
 
@@ -209,7 +210,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float
                 part = batch.slice(row, rows)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(model.scores(part.column(0)))], ["row", "score"])
 
-    out = frame.mapInArrow(work, schema)
+    out = frame.mapInArrow(streaming(work), schema)
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in rest], "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

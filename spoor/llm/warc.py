@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from spoor.llm.workers import streaming
 
 #: Columns of a record; block is binary, the others are text, null where a header is absent.
 RECORD = (
@@ -178,7 +179,7 @@ def responses(
                 rows, urls, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 yield _batch(rows, [response(u, t, str(r), date) for r, u, t in zip(rows, urls, texts, strict=True)])
 
-    return frame.mapInArrow(work, _SCHEMA)
+    return frame.mapInArrow(streaming(work), _SCHEMA)
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 made = [(r["row"], d) for r in some for d in derive(r)]
                 yield _batch([row for row, _ in made], [d for _, d in made])
 
-    return frame.mapInArrow(work, _SCHEMA)
+    return frame.mapInArrow(streaming(work), _SCHEMA)
 
 
 def serialized(records: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def serialized(records: DataFrame) -> DataFrame:
                 columns = [part.column(part.schema.get_field_index(c)) for c in ("row", "warc_type", "record_id")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], ["row", "warc_type", "record_id", "record"])
 
-    return records.select("row", *RECORD).mapInArrow(work, "row long, warc_type string, record_id string, record binary")
+    return records.select("row", *RECORD).mapInArrow(streaming(work), "row long, warc_type string, record_id string, record binary")
 
 
 def parsed(files: DataFrame, *, content: str = "content") -> DataFrame:
@@ -222,7 +223,7 @@ def parsed(files: DataFrame, *, content: str = "content") -> DataFrame:
                 records = parse(data or b"")
                 yield _batch([None] * len(records), records)
 
-    return files.select(F.col(f"`{content}`").cast("binary")).mapInArrow(work, _SCHEMA)
+    return files.select(F.col(f"`{content}`").cast("binary")).mapInArrow(streaming(work), _SCHEMA)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
