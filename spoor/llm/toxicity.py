@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from spoor.llm.learning import held_out, labelled_sample
 from spoor.llm.tokens import SPACES, U64, mix, mix_int, slices, words_of
-from spoor.llm.workers import streaming
+from spoor.llm.workers import release, streaming
 
 #: Beginnings of words, in bytes, that patterns look at; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
@@ -172,7 +172,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int], *, voters
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", target: str = "toxic",
-    each: int = 2000, parts: int = 4,
+    each: int = 1500, parts: int = 4,
 ) -> Model:
     """Fits on at most ``each`` labelled rows of either class that are not held out; only their terms are collected."""
     sample, counts = labelled_sample(docs, labels, target, id=id, text=text, each=each, parts=parts)
@@ -189,9 +189,14 @@ def train(
                     ["id", "terms", "y"],
                 )
 
-    got = sample.select("id", "text", "y").mapInArrow(streaming(terms), "id long, terms binary, y int").toArrow().sort_by("id")
-    rows = [np.frombuffer(blob.as_py(), dtype=U64) for blob in got["terms"]]
-    return fit(rows, got["y"].to_numpy().astype(np.int64), counts)
+    def fitted() -> Model:
+        got = sample.select("id", "text", "y").mapInArrow(streaming(terms), "id long, terms binary, y int").toArrow().sort_by("id")
+        rows = [np.frombuffer(blob.as_py(), dtype=U64) for blob in got["terms"]]
+        return fit(rows, got["y"].to_numpy().astype(np.int64), counts)
+
+    model = fitted()
+    release()  # the driver goes on with other work
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
