@@ -286,7 +286,7 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
             start = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
             deal(1, second[start], [np.diff(np.r_[start, len(second)])])
         sums = [len(pairs), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
-        rows.append((2, -1, len(sums), pack([(np.cumsum(sums).astype(U64), 8)])))
+        rows.append((2, key[0].as_py(), len(sums), pack([(np.cumsum(sums).astype(U64), 8)])))
         return pa.table({
             "kind": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()),
             "n": pa.array([r[2] for r in rows], pa.int32()), "blob": pa.array([r[3] for r in rows], pa.binary()),
@@ -296,6 +296,10 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
     stats.write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
 
+    for s in set(range(shards)) - {r["shard"] for r in stats.where("kind = 2").select("shard").collect()}:
+        save(f"{path}/pair-{s}.npy", np.zeros(0, dtype=U64))
+        save(f"{path}/pair-count-{s}.npy", np.zeros(0, dtype=np.uint8))
+
     def sums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for n, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
@@ -345,13 +349,7 @@ class Scorer:
         self.words = int(model.edges[-1])
         self.vocabulary = Vocabulary(model.path, model.edges)
         self.counts, self.follows, self.rest = (ByWord(model.path, n, model.edges) for n in ("count", "follows", "rest"))
-        self.pairs = [self._pairs_of(s) for s in range(model.pairs)]
-
-    def _pairs_of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        try:
-            return load(f"{self.model.path}/pair-{shard}.npy"), load(f"{self.model.path}/pair-count-{shard}.npy")
-        except FileNotFoundError:  # no pair was dealt to this shard
-            return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.uint8)
+        self.pairs = [(load(f"{model.path}/pair-{s}.npy"), load(f"{model.path}/pair-count-{s}.npy")) for s in range(model.pairs)]
 
     def _known(self, array: ByWord, numbers: np.ndarray, but: float) -> np.ndarray:
         """Values of distinct word numbers in any order; ``but`` for those below 0."""
