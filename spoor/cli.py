@@ -1,4 +1,4 @@
-"""Command line: ``analyze DIRECTORY`` and ``sniff PATH [-r] [-o FILE] [-f text|json]``."""
+"""Command line: ``analyze DIRECTORY [--library FILE]`` and ``sniff PATH [-r] [-o FILE] [-f text|json] [--denylist FILE]``."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from spoor.operators.functions import definitions, entry_point, functions
 from spoor.sources.corpus import denylist, library_file, listings, pseudo_c_directory
 
 
-def analyze(spark: SparkSession, directory: str, *, library: str = "pseudo_C_analyzer_lib.txt", out: str = ".") -> dict[str, str]:
+def analyze(spark: SparkSession, directory: str, *, library: str = "library.txt", out: str = ".") -> dict[str, str]:
     """The four files of the analyzer, written to ``out``; none if no function is found."""
     names = ("organized_code.txt", "flow_chart.txt", "missing_functions.txt", "all_functions.txt")
     for name in names:
@@ -44,7 +44,7 @@ def analyze(spark: SparkSession, directory: str, *, library: str = "pseudo_C_ana
     return texts
 
 
-def sniff(spark: SparkSession, path: str, *, recursive: bool = False, form: str = "text", deny: str | None = "asm_footprint_sniffer_lib.txt") -> str | None:
+def sniff(spark: SparkSession, path: str, *, recursive: bool = False, form: str = "text", deny: str | None = "denylist.txt") -> str | None:
     """The report on a listing or a directory of them; None if nothing is found."""
     terms = None
     if deny and os.path.exists(deny):
@@ -63,16 +63,18 @@ def main(args: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("analyze")
     one.add_argument("directory")
+    one.add_argument("--library", default="library.txt")
     two = commands.add_parser("sniff")
     two.add_argument("path")
     two.add_argument("-r", "--recursive", action="store_true")
     two.add_argument("-o", "--output")
+    two.add_argument("--denylist", default="denylist.txt")
     two.add_argument("-f", "--format", choices=["json", "text"], default="text")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("spoor").getOrCreate()
     if given.command == "analyze":
         try:
-            analyze(spark, given.directory)
+            analyze(spark, given.directory, library=given.library)
         except FileNotFoundError:
             print("there is no file called 0", file=sys.stderr)
             return 1
@@ -80,7 +82,7 @@ def main(args: list[str] | None = None) -> int:
     if not os.path.exists(given.path):
         print(f"path '{given.path}' does not exist", file=sys.stderr)
         return 1
-    text = sniff(spark, given.path, recursive=given.recursive, form=given.format)
+    text = sniff(spark, given.path, recursive=given.recursive, form=given.format, deny=given.denylist)
     if text is None:
         print("no IoCs found in the scanned files")
     elif given.output:

@@ -109,7 +109,6 @@ extern
 memset
 qmemcpy
 reflect_*
-# helper macros from IDA
 a*
 v*
 LABEL_*
@@ -166,3 +165,9 @@ LIBRARY_TEMPLATE = (
     "=== FUNCTIONS ===\n# add actual function names here, one per line\n\n"
     "=== NON-FUNCTIONS ===\n# add non-function names here, one per line\n\n"
 )
+
+# --- Fixed values: headings of the files that are written.
+CLASSIFICATION_HEAD = (
+    "=== NEW FUNCTIONS TO CLASSIFY ===\n(add these to pseudo_C_analyzer_lib.txt under FUNCTIONS or NON-FUNCTIONS)\n"
+)
+CLASSIFIED_ALL = "all functions already classified in pseudo_C_analyzer_lib.txt\n"

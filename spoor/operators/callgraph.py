@@ -147,10 +147,10 @@ def classification_text(corpora: DataFrame, functions: DataFrame, kept: DataFram
         some = _listed(names.where(F.col("found") == flag), shown, F.col("name"))
         parts[flag] = some.select("corpus_id", F.col("text").alias("t" if flag else "f"))
     out = corpora.select("corpus_id").distinct().join(parts[True], "corpus_id", "left").join(parts[False], "corpus_id", "left")
-    head = F.lit("=== NEW FUNCTIONS TO CLASSIFY ===\n(add these to pseudo_C_analyzer_lib.txt under FUNCTIONS or NON-FUNCTIONS)\n")
+    head = F.lit(fixed.CLASSIFICATION_HEAD)
     found = F.when(F.col("t").isNotNull(), F.concat(F.lit("=== FOUND FUNCTIONS ===\n"), "t", F.lit("\n\n"))).otherwise("")
     lost = F.when(F.col("f").isNotNull(), F.concat(F.lit("=== MISSING FUNCTIONS ===\n"), "f", F.lit("\n"))).otherwise("")
-    none = F.lit("all functions already classified in pseudo_C_analyzer_lib.txt\n")
+    none = F.lit(fixed.CLASSIFIED_ALL)
     text = F.when(F.coalesce("t", "f").isNull(), none).otherwise(F.concat(found, lost))
     return out.select("corpus_id", F.concat(head, text).alias("text"))
 
