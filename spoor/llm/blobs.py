@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 
 from spoor.llm.tokens import U64
 
+#: Sizes from here on are Catalyst's way to say that it does not know.
+UNKNOWN = 10**18
+
 
 def planes(values: np.ndarray, width: int = 8) -> bytes:
     """The low ``width`` bytes of 64-bit values, bytes of the same weight together."""
@@ -53,7 +56,11 @@ def size_in_bytes(df: DataFrame) -> int:
 
 
 def pieces(df: DataFrame, each_mb: float, most: int = 1 << 17) -> int:
-    """Into how many pieces of ``each_mb`` the input goes: as many as shuffle partitions at least."""
+    """Into how many pieces of ``each_mb`` the input goes: as many as shuffle partitions at least.
+
+    Of a frame whose size Catalyst does not know (one made from rows), as many as it has partitions.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = size_in_bytes(df) / (each_mb * 1e6)
+    size = size_in_bytes(df)
+    wanted = size / (each_mb * 1e6) if size < UNKNOWN else df.rdd.getNumPartitions()
     return max(1, least, min(most, int(wanted)))
