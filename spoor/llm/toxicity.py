@@ -29,7 +29,7 @@ BEGINNINGS = (0, 4, 5, 6)
 #: Least likelihood ratio of a term; by chance one in some million terms has it.
 SURE = 24
 #: Least log odds of a term that a voter speaks for; chosen by threefold cross-validation on rows that are not held out.
-PRECISE = 3.5
+PRECISE = 3.0
 
 
 def term_hashes(column: pa.Array, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
