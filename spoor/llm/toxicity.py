@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spoor.llm.blobs import pack, pieces, shard_cuts, unpack
 from spoor.llm.learning import held_out, labelled_sample
+from spoor.llm.shared import shared_dir
 from spoor.llm.tokens import SPACES, U64, mix, mix_int, slices, words_of
-from spoor.llm.workers import release, streaming
+from spoor.llm.workers import grouped, release, streaming
 
 #: Beginnings of words, in bytes, that patterns look at; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
@@ -113,88 +115,151 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
     return posterior
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int], *, voters: int = 6, most: int = 20_000, steps: int = 300) -> Model:
-    """A model from labelled texts.
+def _weighed(clean: np.ndarray, toxic: np.ndarray, totals: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of terms, and their likelihood ratio against a term that stands in both classes alike."""
+    all_clean, all_toxic = (max(1.0, float(n)) for n in totals)
+    clean, toxic = clean.astype(float), toxic.astype(float)
+    odds = np.log((toxic + 0.5) / all_toxic) - np.log((clean + 0.5) / all_clean)
+    both = toxic + clean
+    sure = 2 * sum(x * np.log(np.maximum(x, 1e-9) / (both * k / (all_toxic + all_clean))) for x, k in ((toxic, all_toxic), (clean, all_clean)))
+    return odds, sure
+
 
-    rows: the distinct terms with places of each text; y: its label; counts: labelled rows of either class in all,
-    for the share of class 1. With no row of one class every score is that share (0.5 without any).
+def choose(sample: DataFrame, path: str, most: int) -> list:
+    """(term, odds, sure) of the ``most`` surest terms, counted in shards by term; only these are collected.
 
     A term counts once for each place, that is for each pair of words around it, in either class: what stands in
     copies of one toxic text counts once, and a term that is toxic by itself stands in many places.
     """
-    total = counts[0] + counts[1]
-    share = min(max(counts[1] / total, 1e-3), 1 - 1e-3) if total else 0.5
-    bias = float(np.log(share / (1 - share)))
+    shards = pieces(sample, 8)
+
+    def send(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for row, rows in slices(batch.column(1)):
+                text, term = term_hashes(batch.column(1).slice(row, rows), places=True)
+                of = batch.column(2).slice(row, rows).to_numpy(zero_copy_only=False)[text]
+                for y in (0, 1):
+                    keys = np.unique(term[of == y])
+                    cuts = shard_cuts(keys, shards)
+                    parts = [(s, keys[a:z]) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([s for s, _ in parts], pa.int32()), pa.array([y] * len(parts), pa.int32()),
+                            pa.array([len(k) for _, k in parts], pa.int32()), pa.array([pack([(k, 8)]) for _, k in parts], pa.binary()),
+                        ],
+                        ["shard", "y", "n", "blob"],
+                    )
+
+    def count(key: tuple, mail: pa.Table) -> pa.Table:
+        sent = list(zip(*(mail[c].to_pylist() for c in ("y", "n", "blob")), strict=True))
+        placed = [np.unique(np.concatenate([np.zeros(0, dtype=U64), *(unpack(blob, n, [8])[0] for y, n, blob in sent if y == k)])) >> U64(24) for k in (0, 1)]
+        terms = np.unique(np.concatenate(placed))
+        counts = [np.bincount(np.searchsorted(terms, p), minlength=len(terms)) for p in placed]
+        blob = pack([(terms, 8), *((c, 5) for c in counts)])
+        return pa.table({
+            "n": pa.array([len(terms)], pa.int32()), "clean": [len(placed[0])], "toxic": [len(placed[1])], "blob": pa.array([blob], pa.binary()),
+        })
+
+    sent = sample.select("id", "text", "y").mapInArrow(streaming(send), "shard int, y int, n int, blob binary")
+    sent.groupBy("shard").applyInArrow(grouped(count), "n int, clean long, toxic long, blob binary").write.parquet(f"{path}/counts")
+    counted = sample.sparkSession.read.parquet(f"{path}/counts")
+    total = counted.agg(F.sum("clean"), F.sum("toxic")).first()
+    totals = (total[0] or 0, total[1] or 0)
+
+    def surest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms, clean, toxic = unpack(blob, n, [8, 5, 5])
+                odds, sure = _weighed(clean, toxic, totals)
+                some = np.flatnonzero(sure > SURE)
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (terms.view(np.int64), odds, sure)], ["term", "odds", "sure"])
+
+    some = counted.select("n", "blob").mapInArrow(streaming(surest), "term long, odds double, sure double")
+    return some.orderBy(F.desc("sure"), "term").limit(most).collect()
+
+
+def features(sample: DataFrame, terms: np.ndarray) -> pa.Table:
+    """(id, y, held) of each text, in order of id: which of ``terms`` it holds, as 32-bit numbers."""
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for row, rows in slices(batch.column(1)):
+                text, term = term_hashes(batch.column(1).slice(row, rows))
+                place = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+                hit = terms[place] == term
+                code = np.unique(text[hit] * len(terms) + place[hit])
+                cuts = np.searchsorted(code, np.arange(rows + 1) * len(terms))
+                held = (code % len(terms)).astype(np.int32)
+                blobs = [held[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, rows), batch.column(2).slice(row, rows), pa.array(blobs, pa.binary())], ["id", "y", "held"]
+                )
+
+    schema = T.StructType([sample.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("held", T.BinaryType())])
+    return sample.select("id", "text", "y").mapInArrow(streaming(work), schema).toArrow().sort_by("id")
+
+
+def fit(terms: np.ndarray, odds: np.ndarray, sure: np.ndarray, held: list[np.ndarray], y: np.ndarray, bias: float, *, voters: int = 6, steps: int = 300) -> Model:
+    """A model from labelled texts.
+
+    terms, odds, sure: the chosen terms, ascending, and what is known of them; held: the terms of each text, by
+    number; y: its label; bias: log odds of class 1 among all labelled rows.
+    """
     toxic, clean = int(y.sum()), int(len(y) - y.sum())
-    if not toxic or not clean:
-        return Model(np.zeros(0, dtype=U64), np.zeros(0), bias)
-    placed = [np.unique(np.concatenate([r for r, of in zip(rows, y, strict=True) if of == k])) >> U64(24) for k in (0, 1)]
-    terms = np.unique(np.concatenate(placed))
-    in_clean, in_toxic = (np.bincount(np.searchsorted(terms, p), minlength=len(terms)).astype(float) for p in placed)
-    all_clean, all_toxic = max(1.0, in_clean.sum()), max(1.0, in_toxic.sum())
-    odds = np.log((in_toxic + 0.5) / all_toxic) - np.log((in_clean + 0.5) / all_clean)
-    # Likelihood ratio against a term that stands in both classes alike.
-    both = in_toxic + in_clean
-    sure = 2 * sum(x * np.log(np.maximum(x, 1e-9) / (both * k / (all_toxic + all_clean))) for x, k in ((in_toxic, all_toxic), (in_clean, all_clean)))
-    chosen = np.flatnonzero(sure > SURE)
-    chosen = np.sort(chosen[np.argsort(-sure[chosen], kind="stable")[:most]])
-    if not len(chosen):
-        return Model(np.zeros(0, dtype=U64), np.zeros(0), bias)
-    held = []
-    for i, row in enumerate(rows):
-        own = np.unique(row >> U64(24))
-        place = np.minimum(np.searchsorted(terms[chosen], own), len(chosen) - 1)
-        feature = place[terms[chosen][place] == own]
-        held.append((np.full(len(feature), i), feature))
-    owner, feature = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    feature = np.concatenate(held).astype(np.int64)
     # Voters: terms that stand mostly in toxic texts, the surest first, dealt out.
-    lexicon = np.flatnonzero(odds[chosen] > PRECISE)
-    lexicon = lexicon[np.argsort(-sure[chosen][lexicon], kind="stable")]
-    speaker = np.full(len(chosen), -1)
+    lexicon = np.flatnonzero(odds > PRECISE)
+    lexicon = lexicon[np.argsort(-sure[lexicon], kind="stable")]
+    speaker = np.full(len(terms), -1)
     speaker[lexicon] = np.arange(len(lexicon)) % voters
-    votes = np.zeros((len(rows), voters + 1), dtype=bool)
+    votes = np.zeros((len(held), voters + 1), dtype=bool)
     speaks = speaker[feature] >= 0
     votes[owner[speaks], speaker[feature[speaks]]] = True
     votes[:, voters] = ~votes[:, :voters].any(axis=1)
     target = label_model(votes, toxic / len(y))
     # Logistic regression on the posterior labels, by gradient steps of adaptive size.
-    weights, intercept, grown = np.zeros(len(chosen)), 0.0, np.full(len(chosen) + 1, 1e-6)
+    weights, intercept, grown = np.zeros(len(terms)), 0.0, np.full(len(terms) + 1, 1e-6)
     for _ in range(steps):
-        logit = np.bincount(owner, weights=weights[feature], minlength=len(rows)) + intercept
+        logit = np.bincount(owner, weights=weights[feature], minlength=len(held)) + intercept
         error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target
-        slope = np.bincount(feature, weights=error[owner], minlength=len(chosen)) + 0.3 * weights
+        slope = np.bincount(feature, weights=error[owner], minlength=len(terms)) + 0.3 * weights
         grown[:-1] += slope**2
         grown[-1] += error.sum() ** 2
         weights -= 0.5 * slope / np.sqrt(grown[:-1])
         intercept -= 0.5 * error.sum() / np.sqrt(grown[-1])
     # The sample has the classes in other shares than the table.
     shift = bias - float(np.log(toxic / clean))
-    return Model(terms[chosen], weights, intercept + shift)
+    return Model(terms, weights, intercept + shift)
 
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", target: str = "toxic",
-    each: int = 1500, parts: int = 4,
+    each: int = 2000, parts: int = 4, most: int = 20_000,
 ) -> Model:
-    """Fits on at most ``each`` labelled rows of either class that are not held out; only their terms are collected."""
-    sample, counts = labelled_sample(docs, labels, target, id=id, text=text, each=each, parts=parts)
+    """Fits on at most ``each`` labelled rows of either class that are not held out.
 
-    def terms(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for row, rows in slices(batch.column(1)):
-                text_, term = term_hashes(batch.column(1).slice(row, rows), places=True)
-                order = np.argsort(text_, kind="stable")
-                cuts = np.searchsorted(text_[order], np.arange(rows + 1))
-                blobs = [np.unique(term[order[a:z]]).tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, rows), pa.array(blobs, pa.binary()), batch.column(2).slice(row, rows)],
-                    ["id", "terms", "y"],
-                )
+    Their terms are counted in Spark; only the ``most`` surest terms, and which of them each text holds, are
+    collected. With no row of one class, or no sure term, every score is the share of class 1 (0.5 without any).
+    """
+    sample, counts = labelled_sample(docs, labels, target, id=id, text=text, each=each, parts=parts)
+    total = counts[0] + counts[1]
+    share = min(max(counts[1] / total, 1e-3), 1 - 1e-3) if total else 0.5
+    bias = float(np.log(share / (1 - share)))
+    path = shared_dir(docs.sparkSession, "toxicity")
+    sample.write.parquet(f"{path}/sample")
+    sample = docs.sparkSession.read.parquet(f"{path}/sample")
+    found = choose(sample, path, most) if sample.select("y").distinct().count() == 2 else []
+    if not found:
+        return Model(np.zeros(0, dtype=U64), np.zeros(0), bias)
 
     def fitted() -> Model:
-        got = sample.select("id", "text", "y").mapInArrow(streaming(terms), "id long, terms binary, y int").toArrow().sort_by("id")
-        rows = [np.frombuffer(blob.as_py(), dtype=U64) for blob in got["terms"]]
-        return fit(rows, got["y"].to_numpy().astype(np.int64), counts)
+        terms, odds, sure = (np.array(c) for c in zip(*found, strict=True))
+        order = np.argsort(terms)
+        terms = terms[order].astype(U64)
+        got = features(sample, terms)
+        held = [np.frombuffer(blob.as_py(), dtype=np.int32) for blob in got["held"]]
+        return fit(terms, odds[order], sure[order], held, got["y"].to_numpy().astype(np.int64), bias)
 
     model = fitted()
     release()  # the driver goes on with other work

@@ -1,6 +1,7 @@
 """Operators 5 and 8 on held-out rows, and the pipeline stage by stage."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,25 @@ def test_nulls_and_missing_classes(spark, module, target):
     assert module.score(docs.where("false"), module.train(docs, labels.where("false"))).count() == 0
 
 
+def test_toxicity_learns_from_two_thousand_rows_of_either_class(spark):
+    from pyspark.sql import Window
+
+    from spoor.llm.learning import held_out
+
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    known = rows.where(~held_out(F.col("doc_id"), 4))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id"))
+    late = known.withColumn("rank", rank).where("toxic = 1 AND rank > 1500 AND rank <= 2000").select("doc_id", F.lit("zorkish").alias("word"))
+    word = F.coalesce("word", F.when(F.col("toxic") == 1, "blargle").otherwise("quiet"))
+    text = F.concat_ws(" ", F.md5(F.col("doc_id").cast("string")), word, F.md5(F.concat(F.lit("b"), F.col("doc_id"))))
+    docs = rows.join(late, "doc_id", "left").select("doc_id", text.alias("text"))
+    model = toxicity.train(docs, rows)
+    whole = toxicity.term_hashes(pa.array(["zorkish", "blargle", "quiet"]))[1][:3]
+    assert np.isin(whole, model.terms).all()
+    late, early, none = model.scores(pa.array(["a zorkish b", "a blargle b", "a b"]))
+    assert late > none and early > none
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(2)
     x = rng.random((800, 3))
