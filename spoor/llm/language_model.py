@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark and kept as sorted arrays.
+"""An interpolated modified Kneser-Ney model of word pairs or triples, counted in Spark and kept as sorted arrays.
 
 Words are known by 64-bit hashes. The vocabulary is a sorted array of hashes in shards, and a word's number is its
 rank; a pair is the two numbers in one 64-bit key, again in sorted shards. Workers map the arrays into memory.
@@ -10,6 +10,11 @@ rank; a pair is the two numbers in one 64-bit key, again in sorted shards. Worke
    more often; that goes to arrays by word, which with a few sums over all give the discounts.
 4. Every text is scored against the mapped arrays.
 
+In a model of order 3, step 2 counts triples first: in shards by the middle word, or by a hash where that is common. Each
+triple is in one shard, so what shards tell of its two pairs adds up: how many words a pair stands after, how often it
+has a word after it, and how many such words once, twice and more often. A pair's count is the number of words it
+stands after; a pair at a text's begin keeps its own count, and a text's first word is scored by pairs.
+
 Nothing of the corpus is collected but a few numbers for each shard. Files are written whole under another name and
 moved, so a task that is run again leaves the same files.
 """
@@ -44,7 +49,7 @@ class Model(NamedTuple):
     edges: the first word number of each vocabulary shard, and the number of words; tokens: training tokens; texts:
     training texts; hot: word numbers whose pairs are dealt by their second word; pairs: shards of pairs; types:
     distinct pairs; high and low: the discounts of counts 1, 2, 3 and more, of pairs and of following; spare: what
-    the lower order keeps for words unseen.
+    the lower order keeps for words unseen; order: 2 or 3; top: the discounts of triples.
     """
 
     path: str
@@ -57,6 +62,8 @@ class Model(NamedTuple):
     high: np.ndarray
     low: np.ndarray
     spare: float
+    order: int = 2
+    top: np.ndarray | None = None
 
 
 def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +188,44 @@ def _numbered(words: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndar
     return vocabulary.numbers(kinds), which, first
 
 
+def _triples(before: np.ndarray, own: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, a hash of it and the two before it, and these two in one number, the nearer one in the high bits.
+
+    Before a text's begin stands ``words + 1``.
+    """
+    far = np.empty_like(before)
+    far[1:] = before[:-1]
+    far[first[:-1]] = words + 1
+    two = before.view(U64) << U64(32) | far.view(U64)
+    return _triple_hashes(two, own.view(U64)), two
+
+
+def _triple_hashes(two: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return mix(two ^ mix(own + U64(1)))
+
+
+def _triple_shards(hashes: np.ndarray, middle: np.ndarray, words: int, hot: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each triple: by the middle word's number, or for a common one by the hash."""
+    out = (middle * U64(shards) // U64(words + 1)).astype(np.int64)
+    common = np.isin(middle.view(np.int64), hot)
+    out[common] = (hashes[common] % U64(shards)).astype(np.int64)
+    return out
+
+
+def _added(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ascending distinct keys and the sums of each of their values."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[new], [np.add.reduceat(v[order], new) for v in values]
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=1))))
+
+
 def _discounts(n: list[int]) -> np.ndarray:
     """Of counts 0, 1, 2, and 3 and more, from how many keys are counted once to four times."""
     n1, n2, n3, n4 = n
@@ -191,14 +236,16 @@ def _discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(wanted, 1))])
 
 
-def train(texts: DataFrame, *, text: str = "text") -> Model:
-    """Counts all words and pairs of a column and writes the model to the shared folder.
+def train(texts: DataFrame, *, text: str = "text", order: int = 2) -> Model:
+    """Counts all words and pairs of a column (of order 3, triples too) and writes the model to the shared folder.
 
     A null text counts as empty; every text ends with one end token. Refuses more than 2**32 - 2 distinct words.
     """
+    if order not in (2, 3):
+        raise ValueError(f"order {order}; models are of order 2 or 3")
     spark = texts.sparkSession
     frame = texts.select(F.col(f"`{text}`").cast("string").alias("text"))
-    path, shards = shared_dir(spark, "ngrams"), pieces(frame, 64)
+    path, shards = shared_dir(spark, "ngrams"), pieces(frame, 64 if order == 2 else 24)
 
     def send_words(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -265,11 +312,108 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
                     yield sent()
         yield sent()
 
+    def send_triples(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(path, edges)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def combined() -> tuple[np.ndarray, ...]:
+            hashes, two, own, count = (np.concatenate(c) for c in zip(*held, strict=True))
+            order_ = np.argsort(hashes, kind="stable")
+            new = np.flatnonzero(np.r_[True, hashes[order_[1:]] != hashes[order_[:-1]]])
+            at = order_[new]
+            return hashes[at], two[at], own[at], np.add.reduceat(count[order_], new)
+
+        def sent() -> pa.RecordBatch:
+            hashes, two, own, count = combined()
+            order_ = np.argsort(two, kind="stable")
+            shard = _triple_shards(hashes, two >> U64(32), words, hot, shards)[order_]
+            order_ = order_[np.argsort(shard, kind="stable")]
+            cuts = np.searchsorted(np.sort(shard), np.arange(shards + 1))
+            runs = [(s, order_[a:z]) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([s for s, _ in runs], pa.int32()), pa.array([len(r) for _, r in runs], pa.int32()),
+                    pa.array([pack([(two[r], 8), (own[r], 4), (count[r], 5)]) for _, r in runs], pa.binary()),
+                ],
+                ["shard", "n", "blob"],
+            )
+
+        size = 0
+        for batch in stream:
+            for row, rows in slices(batch.column(0)):
+                kinds, which, first = _numbered(words_of(batch.column(0).slice(row, rows), SPACES, lower=True), vocabulary)
+                if (kinds < 0).any():
+                    raise RuntimeError("a training text has changed between the stages")
+                before, own = _pairs(kinds[which], first, words)
+                hashes, two = _triples(before, own, first, words)
+                held.append((hashes, two, own.view(U64), np.ones(len(own), dtype=np.int64)))
+                size += len(own)
+                if size > HELD:
+                    held[:] = [combined()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield sent()
+                        size = 0
+        if held:
+            yield sent()
+
+    def write_triples(key: tuple, mail: pa.Table) -> pa.Table:
+        parts = [unpack(b.as_py(), n.as_py(), [8, 4, 5]) for b, n in zip(mail["blob"], mail["n"], strict=True)]
+        two, own, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+        hashes = _triple_hashes(two, own)
+        order_ = np.argsort(hashes, kind="stable")
+        new = np.flatnonzero(np.r_[True, hashes[order_[1:]] != hashes[order_[:-1]]])
+        at = order_[new]
+        hashes, two, own, count = hashes[at], two[at], own[at], np.add.reduceat(count.view(np.int64)[order_], new)
+        middle, far = two >> U64(32), two & U64(0xFFFFFFFF)
+        real = far <= U64(words)
+        save(f"{path}/triple-{key[0].as_py()}.npy", hashes[real])
+        save(f"{path}/triple-count-{key[0].as_py()}.npy", _small(count[real]))
+        rows: list[tuple[int, int, int, bytes]] = []
+
+        def deal(kind: int, pairs: np.ndarray, values: list[np.ndarray]) -> None:
+            pairs, values = _added(pairs, values)
+            shard = _pair_shards(pairs, words, hot, shards)
+            order_ = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order_], np.arange(shards + 1))
+            for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if z > a:
+                    rows.append((kind, s, int(z - a), pack([(pairs[order_[a:z]], 8), *((v[order_[a:z]], 5) for v in values)])))
+
+        deal(0, middle << U64(32) | own, [np.where(real, 1, count)])
+        c = count[real]
+        deal(1, far[real] << U64(32) | middle[real], [c, *(hit.astype(np.int64) for hit in (c == 1, c == 2, c > 2))])
+        sums = np.cumsum([0, *(int((c == k).sum()) for k in (1, 2, 3, 4))]).astype(U64)
+        rows.append((3, key[0].as_py(), len(sums), pack([(sums, 8)])))
+        return pa.table({
+            "kind": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()),
+            "n": pa.array([r[2] for r in rows], pa.int32()), "blob": pa.array([r[3] for r in rows], pa.binary()),
+        })
+
+    def of_triples(mail: pa.Table, s: int, rows: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a shard and their counts, from what shards of triples told; writes what stands after each pair."""
+        told: dict[int, list] = {0: [[np.zeros(0, dtype=U64)] * 2], 1: [[np.zeros(0, dtype=U64)] * 5]}
+        for kind, n, blob in zip(*(mail[c].to_pylist() for c in ("kind", "n", "blob")), strict=True):
+            if kind == 3:
+                rows.append((3, s, n, blob))
+            else:
+                told[kind].append(unpack(blob, n, [8, *[5] * (1 + 3 * kind)]))
+        (pairs, (counts,)), (contexts, after) = (
+            _added(k, [v.view(np.int64) for v in vs]) for k, *vs in ([np.concatenate(c) for c in zip(*told[kind], strict=True)] for kind in (0, 1))
+        )
+        place = np.searchsorted(pairs, contexts)
+        for name, values in zip(("all", "once", "twice", "more"), after, strict=True):
+            out = np.zeros(len(pairs), dtype=np.int64)
+            out[place] = values
+            save(f"{path}/pair-{name}-{s}.npy", _small(out))
+        return pairs, counts
+
     def write_pairs(key: tuple, mail: pa.Table) -> pa.Table:
-        pairs, counts = _merged(mail)
-        save(f"{path}/pair-{key[0].as_py()}.npy", pairs)
-        save(f"{path}/pair-count-{key[0].as_py()}.npy", counts.astype(np.min_scalar_type(int(counts.max(initial=1)))))
         rows: list[tuple[int, int, int, bytes]] = []
+        pairs, counts = _merged(mail) if order == 2 else of_triples(mail, key[0].as_py(), rows)
+        save(f"{path}/pair-{key[0].as_py()}.npy", pairs)
+        save(f"{path}/pair-count-{key[0].as_py()}.npy", _small(counts))
         first, second = pairs >> U64(32), np.sort(pairs & U64(0xFFFFFFFF))
         tops = np.r_[edges[:-1], words + 1].astype(U64)
 
@@ -282,7 +426,7 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
         new = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.zeros(0, dtype=np.int64)
         thrice = [np.add.reduceat(hit.astype(np.int64), new) for hit in (counts == 1, counts == 2, counts > 2)] if len(new) else []
         if len(new):
-            deal(0, first[new], thrice)
+            deal(0, first[new], [*thrice, np.add.reduceat(counts, new)])
             start = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
             deal(1, second[start], [np.diff(np.r_[start, len(second)])])
         sums = [len(pairs), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
@@ -292,13 +436,23 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
             "n": pa.array([r[2] for r in rows], pa.int32()), "blob": pa.array([r[3] for r in rows], pa.binary()),
         })
 
-    stats = frame.mapInArrow(streaming(send_pairs), _MAIL).groupBy("shard").applyInArrow(grouped(write_pairs), "kind int, shard int, n int, blob binary")
+    kinds_mail = "kind int, shard int, n int, blob binary"
+    if order == 2:
+        mailed = frame.mapInArrow(streaming(send_pairs), _MAIL)
+    else:
+        mailed = frame.mapInArrow(streaming(send_triples), _MAIL).groupBy("shard").applyInArrow(grouped(write_triples), kinds_mail)
+    stats = mailed.groupBy("shard").applyInArrow(grouped(write_pairs), kinds_mail)
     stats.write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
 
     for s in set(range(shards)) - {r["shard"] for r in stats.where("kind = 2").select("shard").collect()}:
         save(f"{path}/pair-{s}.npy", np.zeros(0, dtype=U64))
-        save(f"{path}/pair-count-{s}.npy", np.zeros(0, dtype=np.uint8))
+        for name in ("count", "all", "once", "twice", "more")[: 1 if order == 2 else 5]:
+            save(f"{path}/pair-{name}-{s}.npy", np.zeros(0, dtype=np.uint8))
+    if order == 3:
+        for s in set(range(shards)) - {r["shard"] for r in stats.where("kind = 3").select("shard").collect()}:
+            save(f"{path}/triple-{s}.npy", np.zeros(0, dtype=U64))
+            save(f"{path}/triple-count-{s}.npy", np.zeros(0, dtype=np.uint8))
 
     def sums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -310,22 +464,25 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
     five = ", ".join(f"s{i} long" for i in range(5))
     total = stats.where("kind = 2").select("n", "blob").mapInArrow(sums, five).agg(*adds).first()
     types, high = int(total[0] or 0), _discounts([int(total[i] or 0) for i in range(1, 5)])
+    top = None
+    if order == 3:
+        total = stats.where("kind = 3").select("n", "blob").mapInArrow(sums, five).agg(*adds).first()
+        top = _discounts([int(total[i] or 0) for i in range(1, 5)])
 
     def write_stats(key: tuple, mail: pa.Table) -> pa.Table:
         s = key[0].as_py()
         low = int(edges[s])
         n = int(edges[s + 1]) - low + (s == shards - 1)
-        after, follows = np.zeros((n, 3), dtype=np.int64), np.zeros(n, dtype=np.int64)
+        after, follows = np.zeros((n, 4), dtype=np.int64), np.zeros(n, dtype=np.int64)
         for kind, size, blob in zip(mail["kind"].to_pylist(), mail["n"].to_pylist(), mail["blob"].to_pylist(), strict=True):
             if kind == 0:
-                own, *three = unpack(blob, size, [8, 5, 5, 5])
-                np.add.at(after, own.view(np.int64) - low, np.stack(three, axis=1).view(np.int64))
+                own, *four = unpack(blob, size, [8, 5, 5, 5, 5])
+                np.add.at(after, own.view(np.int64) - low, np.stack(four, axis=1).view(np.int64))
             else:
                 own, count = unpack(blob, size, [8, 5])
                 np.add.at(follows, own.view(np.int64) - low, count.view(np.int64))
-        counts = load(f"{path}/count-{s}.npy")
-        counts = np.r_[counts, ends] if s == shards - 1 else counts
-        save(f"{path}/rest-{s}.npy", after @ high[1:] / np.maximum(counts, 1))
+        save(f"{path}/rest-{s}.npy", after[:, :3] @ high[1:] / np.maximum(after[:, 3], 1))
+        save(f"{path}/after-{s}.npy", _small(after[:, 3]))
         save(f"{path}/follows-{s}.npy", follows.astype(np.min_scalar_type(int(follows.max(initial=1)))))
         return pa.table({"shard": pa.array([s], pa.int32())} | {f"s{i}": [int((follows == i).sum()) if i else int((follows > 2).sum())] for i in range(5)})
 
@@ -334,11 +491,12 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
     for s in set(range(shards)) - set(by):
         n = int(edges[s + 1] - edges[s]) + (s == shards - 1)
         save(f"{path}/rest-{s}.npy", np.zeros(n))
+        save(f"{path}/after-{s}.npy", np.zeros(n, dtype=np.uint8))
         save(f"{path}/follows-{s}.npy", np.zeros(n, dtype=np.uint8))
     low_n = [sum(r[f"s{i}"] for r in by.values()) for i in range(5)]
     low = _discounts(low_n[1:])
     kept = low[1] * low_n[1] + low[2] * low_n[2] + low[3] * low_n[0]
-    return Model(path, edges, tokens, ends, hot, shards, types, high, low, kept / types if types else 1.0)
+    return Model(path, edges, tokens, ends, hot, shards, types, high, low, kept / types if types else 1.0, order, top)
 
 
 class Scorer:
@@ -348,8 +506,11 @@ class Scorer:
         self.model = model
         self.words = int(model.edges[-1])
         self.vocabulary = Vocabulary(model.path, model.edges)
-        self.counts, self.follows, self.rest = (ByWord(model.path, n, model.edges) for n in ("count", "follows", "rest"))
-        self.pairs = [(load(f"{model.path}/pair-{s}.npy"), load(f"{model.path}/pair-count-{s}.npy")) for s in range(model.pairs)]
+        self.counts, self.follows, self.rest, self.after = (ByWord(model.path, n, model.edges) for n in ("count", "follows", "rest", "after"))
+        names = ("count", "all", "once", "twice", "more")[: 1 if model.order == 2 else 5]
+        self.pairs = [[load(f"{model.path}/pair-{s}.npy"), *(load(f"{model.path}/pair-{n}-{s}.npy") for n in names)] for s in range(model.pairs)]
+        if model.order == 3:
+            self.triples = [[load(f"{model.path}/triple-{s}.npy"), load(f"{model.path}/triple-count-{s}.npy")] for s in range(model.pairs)]
 
     def _known(self, array: ByWord, numbers: np.ndarray, but: float) -> np.ndarray:
         """Values of distinct word numbers in any order; ``but`` for those below 0."""
@@ -359,17 +520,46 @@ class Scorer:
         out[order] = array[numbers[order]]
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Of ascending pairs; 0 where a pair was not seen."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        shard = _pair_shards(keys, self.words, self.model.hot, self.model.pairs)
+    def _found(self, shards: list[list[np.ndarray]], shard: np.ndarray, keys: np.ndarray, columns: slice) -> np.ndarray:
+        """Values of ascending keys (keys x columns); 0 where a key was not seen."""
+        out = np.zeros((len(keys), len(shards[0][1:][columns])), dtype=np.int64)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.model.pairs + 1))
-        for s, (known, counts) in enumerate(self.pairs):
+        cuts = np.searchsorted(shard[order], np.arange(len(shards) + 1))
+        for s, (known, *values) in enumerate(shards):
             rows = order[cuts[s] : cuts[s + 1]]
             if len(rows) and len(known):
                 place = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-                out[rows] = np.where(known[place] == keys[rows], counts[place], 0)
+                hit = known[place] == keys[rows]
+                for i, value in enumerate(values[columns]):
+                    out[rows, i] = np.where(hit, value[place], 0)
+        return out
+
+    def pair_values(self, keys: np.ndarray, columns: slice = slice(1)) -> np.ndarray:
+        """Of ascending pairs: the count, and of order 3 how often a word stands after it and how many once, twice, more often."""
+        return self._found(self.pairs, _pair_shards(keys, self.words, self.model.hot, self.model.pairs), keys, columns)
+
+    def longer(self, number: np.ndarray, first: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """Chances of all tokens by the two words before them, from those by the one before (order 3)."""
+        m = self.model
+        before, own = _pairs(number, first, self.words)
+        far = np.empty_like(before)
+        far[1:] = before[:-1]
+        far[first[:-1]] = -1
+        some = np.flatnonzero((far >= 0) & (before >= 0))
+        pairs, which = np.unique(far[some].view(U64) << U64(32) | before[some].view(U64), return_inverse=True)
+        after = self.pair_values(pairs, slice(1, 5))
+        rest = (after[:, 1:] @ m.top[1:] / np.maximum(after[:, 0], 1))[which]
+        total = after[which, 0]
+        some, rest, total = some[total > 0], rest[total > 0], total[total > 0]
+        seen = np.zeros(len(some), dtype=np.int64)
+        known = np.flatnonzero(own[some] >= 0)
+        at = some[known]
+        two = before[at].view(U64) << U64(32) | far[at].view(U64)
+        hashes, index, back = np.unique(_triple_hashes(two, own[at].view(U64)), return_index=True, return_inverse=True)
+        shard = _triple_shards(hashes, two[index] >> U64(32), self.words, m.hot, m.pairs)
+        seen[known] = self._found(self.triples, shard, hashes, slice(1))[back, 0]
+        out = chance.copy()
+        out[some] = np.maximum(seen - m.top[np.minimum(seen, 3)], 0) / total + rest * chance[some]
         return out
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
@@ -385,7 +575,7 @@ class Scorer:
         lower = np.broadcast_to(lower, kinds.shape)
         # What follows a begin or a word; a word that was not seen, or only at ends, has no pairs of its own.
         begin = np.array([self.words], dtype=np.int64)
-        after, rest = np.r_[count, float(m.texts)], np.r_[self._known(self.rest, kinds, 0), self._known(self.rest, begin, 0)]
+        after, rest = (np.r_[self._known(x, kinds, 0), self._known(x, begin, 0)] for x in (self.after, self.rest))
         number = np.r_[kinds, self.words]
         after = np.where(rest > 0, after, 0)
         before = np.empty_like(which)
@@ -398,10 +588,13 @@ class Scorer:
         keys = number[a[both]].view(U64) << U64(32) | number[b[both]].view(U64)
         order = np.argsort(keys, kind="stable")
         seen = np.zeros(len(distinct), dtype=np.int64)
-        seen[both[order]] = self.pair_counts(keys[order])
+        seen[both[order]] = self.pair_values(keys[order])[:, 0]
         total = np.maximum(after[a], 1)
         chance = np.where(after[a] > 0, np.maximum(seen - m.high[np.minimum(seen, 3)], 0) / total + rest[a] * lower[b], lower[b])
-        logs = np.log10(np.maximum(chance, 1e-300))[back]
+        chance = chance[back]
+        if m.order == 3:
+            chance = self.longer(kinds[which], first, chance)
+        logs = np.log10(np.maximum(chance, 1e-300))
         add = lambda values: np.diff(np.r_[0, np.cumsum(values)][first])
         return [np.diff(first), add((count > 0)[which]), _sums(base[which], first), _sums(logs, first)]
 
@@ -441,4 +634,4 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every text of ``documents``, learned from six sevenths of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("held_out", held_out(F.col("doc_id"), 7))
-    return score(docs, train(docs.where("NOT held_out"))).drop("text")
+    return score(docs, train(docs.where("NOT held_out"), order=3)).drop("text")

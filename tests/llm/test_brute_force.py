@@ -114,6 +114,53 @@ def test_language_model_is_kneser_ney(spark):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, own.score(text), rel_tol=1e-9)
 
 
+class OfTriples:
+    """Interpolated modified Kneser-Ney of triples, by the textbook, in dictionaries; pairs at a begin keep their counts."""
+
+    def __init__(self, texts):
+        begin = "begin of a text"
+        lists = [[begin, *tokens_of(t)] for t in texts]
+        self.triples = Counter(t for ws in lists for t in zip(ws, ws[1:], ws[2:], strict=False))
+        self.pairs = Counter((v, w) for _, v, w in self.triples)
+        self.pairs.update((begin, ws[1]) for ws in lists)
+        follows = Counter(w for _, w in self.pairs)
+        words = len({w for ws in lists for w in ws[1:]})
+        self.levels = []
+        for grams in (self.pairs, self.triples):
+            discount, total, kept = discounts(grams.values()), Counter(), Counter()
+            for g, c in grams.items():
+                total[g[:-1]] += c
+                kept[g[:-1]] += discount(c)
+            self.levels.append((grams, discount, total, kept))
+        low, types = discounts(follows.values()), len(self.pairs)
+        spare = sum(map(low, follows.values())) / types
+        self.lower = lambda w: (follows[w] - low(follows[w])) / types + spare / (words + 1)
+
+    def chance(self, *gram):
+        if len(gram) == 1:
+            return self.lower(*gram)
+        grams, discount, total, kept = self.levels[len(gram) - 2]
+        v, lower = gram[:-1], self.chance(*gram[1:])
+        return (grams[gram] - discount(grams[gram]) + kept[v] * lower) / total[v] if total[v] else lower
+
+    def score(self, text):
+        ws = ["begin of a text", *tokens_of(text)]
+        return sum(math.log10(self.chance(*ws[max(0, i - 2) : i + 1])) for i in range(1, len(ws)))
+
+
+def test_language_model_of_triples_is_kneser_ney(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").collect()
+    texts, fresh = [r.text for r in rows[:150]], [*(r.text for r in rows[150:]), "never SEEN", None, "\x1c é " * 50]
+    own = OfTriples(texts)
+    model = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    docs = spark.createDataFrame(list(enumerate([*texts, *fresh])), "doc_id long, text string")
+    found = rows_of(language_model.score(docs, model))
+    for i, text in enumerate([*texts, *fresh]):
+        assert math.isclose(found[i].score, own.score(text), rel_tol=1e-9)
+    empty = language_model.train(docs.where("false"), order=3)
+    assert language_model.score(docs, empty).where("n_known = 0").count() == len(texts) + len(fresh)
+
+
 def test_language_model_tells_held_out_texts_better_than_single_words(spark):
     rows = QUERIES["op6_language_model"](spark, "/root/testdata/sf0.01").where("held_out AND n_known = n_tokens")
     score, base = rows.agg(F.sum("score"), F.sum("base_score")).first()
