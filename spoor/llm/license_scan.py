@@ -4,8 +4,11 @@ The automaton holds every run of words of every template. A text streams through
 longest run ending there that stands in a template (the matching statistics). Maximal long matches are chained, in
 the order of both text and template, into spans that cover a share of a template.
 
+A template may hold only a shorter run that ends at the same place as the longest one; suffix links lead to those.
+
 Most words of a text stand in no template next to the word before them; those places are found for a whole batch at
-once, and the automaton runs only over the stretches between them, where its state is known to be the root.
+once, and the automaton runs only over the stretches between them, where its state is known to be the root. A word that
+is a phrase or a template by itself is a stretch of its own.
 """
 
 from __future__ import annotations
@@ -89,6 +92,7 @@ class Automaton:
         for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
             ends[self.link[state]] |= ends[state]
         self.ends = [sorted(e) for e in ends]
+        self.single = np.array(sorted({r[0] for r in runs if len(r) == 1}), dtype=np.int64)
         self.phrases = [(label, len(run)) for label, run in zip(phrases.values(), runs[len(texts) :], strict=True)]
         own: dict[int, list[int]] = defaultdict(list)
         for number, run in enumerate(runs[len(texts) :]):
@@ -147,7 +151,12 @@ class Automaton:
             yield state, length
 
     def stretches(self, words: Words) -> Iterator[tuple[int, int, list[int]]]:
-        """(text, first word, word numbers) of the maximal stretches in which each two neighbours stand in a template."""
+        """(text, first word, word numbers) of the maximal stretches in which each two neighbours stand in a template.
+
+        A phrase or template of one word is a stretch by itself.
+        """
+        if not len(words):
+            return
         hashes = words.hashes()
         number = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         number[self.words[number] != hashes] = -1
@@ -155,16 +164,48 @@ class Automaton:
         pair = (number[:-1] >= 0) & (number[1:] >= 0) & (text[1:] == text[:-1])
         at = np.flatnonzero(pair)
         code = number[at] * len(self.words) + number[at + 1]
-        place = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        at = at[self.pairs[place] == code]
-        if not len(at):
-            return
-        # Stretches end where the next pair is not the neighbour; a text's edge breaks the pairs by itself.
-        cuts = np.flatnonzero(np.r_[True, np.diff(at) > 1, True])
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            first, last = at[a], at[z - 1] + 1
+        # Whether a word is joined to the one before it; a text's edge breaks the pairs by itself.
+        joined = np.zeros(len(number) + 1, dtype=bool)
+        if len(self.pairs):
+            place = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            joined[at[self.pairs[place] == code] + 1] = True
+        inside = joined[:-1] | joined[1:]
+        if len(self.single):
+            inside |= np.isin(number, self.single)
+        for first, last in zip(np.flatnonzero(inside & ~joined[:-1]), np.flatnonzero(inside & ~joined[1:]), strict=True):
             yield int(text[first]), int(first - words.first[text[first]]), number[first : last + 1].tolist()
 
+    def matches(self, found: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int]]:
+        """(template, text start, template start, words) of the longest matches of a stretch, in the order of their ends.
+
+        found: the matching statistics. A match has ``least`` words or is a whole template; it cannot be made longer,
+        and lies in no longer match of the same template.
+        """
+        ending: list[dict[tuple[int, int], int]] = []
+        for state, length in found:
+            here: dict[tuple[int, int], int] = {}
+            while state > 0:
+                for template, end in self.ends[state]:
+                    if length >= min(least, self.sizes[template]):
+                        here.setdefault((template, end), length)
+                state = self.link[state]
+                length = self.length[state]
+            ending.append(here)
+        out: list[tuple[int, int, int, int]] = []
+        begun: dict[int, int] = {}
+        # From the end, so that a match that holds another comes before it.
+        for at in range(len(ending) - 1, -1, -1):
+            goes_on = ending[at + 1] if at + 1 < len(ending) else {}
+            kept = [(template, end, n) for (template, end), n in ending[at].items() if (template, end + 1) not in goes_on]
+            longest: dict[int, int] = {}
+            for template, _, n in kept:
+                longest[template] = max(n, longest.get(template, 0))
+            here = [(t, at + 1 - n, end - n, n) for t, end, n in kept if n == longest[t] and at + 1 - n < begun.get(t, len(ending))]
+            for template, start, _, _ in here:
+                begun[template] = start
+            out += sorted(here, key=lambda m: (m[0], m[2]), reverse=True)
+        return out[::-1]
+
     def spans(self, matches: list[tuple[int, int, int, int]], gap: int) -> list[Span]:
         """Chains of (template, text start, template start, words) into spans, for matches in the order of the text.
 
@@ -201,7 +242,7 @@ def scan(
     text), spans (array of structs label, start, end, covered), score (largest share covered, 0 to 1).
 
     Words are runs of ASCII letters, digits and other characters than ASCII, A-Z lower-cased; the first is 0.
-    least  : words of the shortest match that is chained; gap: words that a chain may skip in text and template
+    least  : words of the shortest match that is chained, or fewer if the template has no more; gap: words that a chain may skip in text and template
     enough : the share of a template that a reported span covers
 
     A null text counts as empty and has neither. Texts are streamed whole; working memory is that of a few MB of
@@ -230,12 +271,7 @@ def scan(
                             label, size = automaton.phrases[number]
                             if size <= length:
                                 places[of].append({"label": label, "start": first + at + 1 - size})
-                        longer = at + 1 < len(found) and found[at + 1][1] == length + 1
-                        if length >= least and not longer:
-                            matches[of] += [
-                                (template, first + at + 1 - length, end - length, length)
-                                for template, end in automaton.ends[state]
-                            ]
+                    matches[of] += [(t, first + start, from_, n) for t, start, from_, n in automaton.matches(found, least)]
                 spans = [automaton.spans(m, gap) for m in matches]
                 score = [max((s.covered for s in many), default=0.0) for many in spans]
                 told = [[s._asdict() for s in sorted(many, key=lambda s: s[1:]) if s.covered >= enough] for many in spans]

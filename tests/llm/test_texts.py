@@ -58,6 +58,16 @@ def test_licenses(odd, spark):
     assert [(s.label, s.covered) for s in row.spans] == [("bsd", 1.0), ("cc-by-nc", 1.0)] and row.score == 1.0
 
 
+def test_licenses_within_others_and_of_one_word(spark):
+    long, short = "licensed under the foo license version 2 or later", "the foo license version 2 or later"
+    templates = {"a": [long + " as you like"], "b": [short], "c": ["Unlicensed"]}
+    docs = spark.createDataFrame([(1, f"x {long} as you like y"), (2, f"{long} y"), (3, "x isc. Unlicensed y"), (4, "x")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.scan(docs, templates=templates, phrases={"isc": "isc", "foo license": "foo"}).collect()}
+    spans = {i: [(s.label, s.start, s.end, s.covered) for s in r.spans] for i, r in rows.items()}
+    assert spans == {1: [("a", 1, 13, 1.0), ("b", 3, 10, 1.0)], 2: [("a", 0, 9, 0.75), ("b", 2, 9, 1.0)], 3: [("c", 2, 3, 1.0)], 4: []}
+    assert {i: [(p.label, p.start) for p in r.places] for i, r in rows.items()} == {1: [("foo", 4)], 2: [("foo", 3)], 3: [("isc", 1)], 4: []}
+
+
 def test_matching_statistics_are_those_of_brute_force():
     automaton = license_scan.Automaton({"a": ["x y x y z", "y z x x y"], "b": ["z z y"]}, {"y z": "p"})
     runs = [[0, 1, 0, 1, 2], [1, 2, 0, 0, 1], [2, 2, 1]]
