@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as markup
+from urllib.parse import urljoin
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +14,39 @@ _ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
 _HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
 
-def links(pages: DataFrame, *, mark: str = "Download", page: str = "page_id", html: str = "html") -> DataFrame:
+_BASE = r"(?is)<base\b([^>]*\bhref\b[^>]*)>"
+
+
+def resolved(url: str | None, base: str | None, href: str | None) -> str | None:
+    """The absolute target of a link on a page at ``url`` with the base tag's target ``base``; as it stands if it cannot be resolved."""
+    if href is None:
+        return None
+    try:
+        return urljoin(urljoin(url or "", markup.unescape(base or "").strip()), markup.unescape(href).strip())
+    except ValueError:
+        return href
+
+
+def links(pages: DataFrame, *, mark: str = "Download", page: str = "page_id", html: str = "html", url: str | None = None) -> DataFrame:
     """(page_id, ord, href, text, link_id) of anchors whose first own text contains ``mark`` and that have a target.
 
-    text is all text within, trimmed; link_id is the md5 of target and text. Spark's functions only.
+    text is all text within, trimmed; link_id is the md5 of target and text. url: the column of the page's address, by
+    which (and by the page's base tag) targets are made absolute, in Python; without it they stay as they stand, so the
+    pages must be of one site with absolute paths, and Spark's functions do all.
     """
     column = F.col(f"`{html}`")
     attributes, inner = (F.regexp_extract_all(column, F.lit(_ANCHOR), F.lit(g)) for g in (1, 2))
-    each = pages.select(F.col(f"`{page}`").alias("page_id"), F.posexplode(F.arrays_zip(attributes.alias("a"), inner.alias("t"))).alias("ord", "x"))
+    tag = F.regexp_extract(column, _BASE, 1)
+    base = F.coalesce(*[F.nullif(F.regexp_extract(tag, _HREF, g), F.lit("")) for g in (1, 2, 3)])
+    at = [] if url is None else [F.col(f"`{url}`").cast("string").alias("url"), base.alias("base")]
+    each = pages.select(F.col(f"`{page}`").alias("page_id"), *at, F.posexplode(F.arrays_zip(attributes.alias("a"), inner.alias("t"))).alias("ord", "x"))
     href = F.coalesce(*[F.nullif(F.regexp_extract(F.col("x.a"), _HREF, g), F.lit("")) for g in (1, 2, 3)])
     first = F.regexp_extract(F.regexp_replace(F.col("x.t"), r"^(?:<[^>]*>[^<]*</[^>]*>)+", ""), r"^([^<]*)", 1)
     text = strip(F.regexp_replace(F.col("x.t"), "<[^>]*>", ""))
-    found = each.select("page_id", "ord", href.alias("href"), first.alias("first"), text.alias("text"))
+    found = each.select("page_id", "ord", href.alias("href"), first.alias("first"), text.alias("text"), *([] if url is None else ["url", "base"]))
     found = found.where(F.contains("first", F.lit(mark)) & F.col("href").isNotNull())
+    if url is not None:
+        found = found.withColumn("href", F.udf(resolved, "string")("url", "base", "href"))
     return found.select("page_id", "ord", "href", "text", F.md5(F.concat("href", "text")).alias("link_id"))
 
 

@@ -70,3 +70,17 @@ def test_links(spark):
     found = links.links(pages)
     assert [r.href for r in found.collect()] == ["/a", "/a"]
     assert links.unseen(found, spark.createDataFrame([], "link_id string")).count() == 1
+
+
+def test_relative_links_of_different_pages_are_apart(spark):
+    link = '<a href="get.php?id=1&amp;x=2">Download</a>'
+    pages = [
+        (1, "https://a.example/x/list.html", link), (2, "https://a.example/y/list.html", link), (3, "https://b.example/x/", link),
+        (4, "https://c.example/", f'<base target=_top><base href="https://a.example/x/">{link}'), (5, None, link),
+    ]
+    found = links.links(spark.createDataFrame(pages, "page_id long, url string, html string"), url="url")
+    of = {r.page_id: (r.href, r.link_id) for r in found.collect()}
+    assert [of[i][0].removesuffix("get.php?id=1&x=2") for i in (1, 2, 3, 4, 5)] == [
+        "https://a.example/x/", "https://a.example/y/", "https://b.example/x/", "https://a.example/x/", "",
+    ]
+    assert sorted(r.page_id for r in links.unseen(found, found.select("link_id").limit(0)).collect()) == [1, 2, 3, 5]
