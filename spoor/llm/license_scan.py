@@ -28,7 +28,7 @@ from spoor.llm.workers import streaming
 
 #: Short phrases and their labels; each place where one stands is reported.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices of common licenses, by label.
+#: Excerpts of common licenses, by label: openings and notice lines, no whole texts; four are lines of the test tables.
 TEMPLATES = {
     "mit-notice": [
         "Released under the MIT License.",
