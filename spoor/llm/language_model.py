@@ -1,19 +1,18 @@
-"""An interpolated modified Kneser-Ney model of word pairs or triples, counted in Spark and kept as sorted arrays.
+"""An interpolated modified Kneser-Ney model of n-grams, counted in Spark and kept as sorted hash arrays.
 
 Words are known by 64-bit hashes. The vocabulary is a sorted array of hashes in shards, and a word's number is its
-rank; a pair is the two numbers in one 64-bit key, again in sorted shards. Workers map the arrays into memory.
+rank. Longer n-grams are hashes of numbers in sorted tables (:mod:`spoor.llm.grams`). Workers map the arrays into memory.
 
 1. Words: each partition sends sorted hashes and counts to shards by hash range; a shard writes its array.
-2. Pairs: the same by ranges of the first word's number. A first word that is as common as a quarter of a shard is
-   dealt by the second word instead; there are at most four such words a shard, so their list is bounded.
-3. Shards of pairs tell how often each word follows different words, and how many words follow it once, twice and
-   more often; that goes to arrays by word, which with a few sums over all give the discounts.
-4. Every text is scored against the mapped arrays.
-
-In a model of order 3, step 2 counts triples first: in shards by the middle word, or by a hash where that is common. Each
-triple is in one shard, so what shards tell of its two pairs adds up: how many words a pair stands after, how often it
-has a word after it, and how many such words once, twice and more often. A pair's count is the number of words it
-stands after; a pair at a text's begin keeps its own count, and a text's first word is scored by pairs.
+2. n-grams of the model's order: the same, dealt by their middle words, so that what stands before and after a middle
+   is in one shard. A middle of words that are all as common as a quarter of a shard is dealt by the whole n-gram; there
+   are at most four such words a shard, so their list is bounded.
+3. Each shard writes its table, adds up what follows each context, and sends each n-gram without its first word to the
+   next lower order, whose count is the number of words that it stands after. An n-gram at a text's begin has no word
+   before it and keeps its own count. Contexts of common middles, which several shards know in part, go through one more
+   exchange. A context that is followed once is not written: the lower order's table holds it already.
+4. Shards of pairs tell how often words follow and are followed, by word; sums over all give the discounts.
+5. Every text is scored against the mapped arrays.
 
 Nothing of the corpus is collected but a few numbers for each shard. Files are written whole under another name and
 moved, so a task that is run again leaves the same files.
@@ -30,40 +29,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoor.llm.blobs import pack, pieces, unpack
+from spoor.llm.blobs import pieces
+from spoor.llm.grams import Table, by_shard, coded, decoded, gram_hash, pack, route, save_table, summed, unpack
 from spoor.llm.learning import held_out
-from spoor.llm.shared import load, save, shared_dir
-from spoor.llm.tokens import SPACES, U64, Words, mix, mix_int, slices, words_of
+from spoor.llm.shared import load_many, release_shuffles, save_many, shared_dir
+from spoor.llm.tokens import SPACES, U64, Words, mix_int, slices, words_of
 from spoor.llm.workers import grouped, streaming
 
 #: Stands for the end of a text; no word is hashed to it but by chance.
 END = mix_int(0xE0F)
 #: Distinct keys that a worker holds before it sends them.
 HELD = 2_000_000
-_MAIL = "shard int, n int, blob binary"
+#: MB of compressed input for each shard.
+SHARD_MB = 16
+#: Tables of a model that a worker keeps mapped.
+OPEN = 4096
+_MAIL = "kind string, shard int, n int, blob binary"
+#: How often a context is followed, and by how many words once, twice, and more often.
+AFTER = ("all", "once", "twice", "more")
 
 
 class Model(NamedTuple):
     """Where the arrays are, and what holds for all of them.
 
-    edges: the first word number of each vocabulary shard, and the number of words; tokens: training tokens; texts:
-    training texts; hot: word numbers whose pairs are dealt by their second word; pairs: shards of pairs; types:
-    distinct pairs; high and low: the discounts of counts 1, 2, 3 and more, of pairs and of following; spare: what
-    the lower order keeps for words unseen; order: 2 or 3; top: the discounts of triples.
+    edges: the first word number of each vocabulary shard, and the number of words; tokens: training tokens; hot: numbers
+    of common words; shards: of tables; held: names of the tables that were written; types: distinct pairs; discounts: of
+    counts 0, 1, 2, 3 and more, for each order from 1 on; spare: what the lowest order keeps for words unseen.
     """
 
     path: str
+    order: int
     edges: np.ndarray
     tokens: int
-    texts: int
     hot: np.ndarray
-    pairs: int
+    shards: int
+    held: frozenset[str]
     types: int
-    high: np.ndarray
-    low: np.ndarray
+    discounts: list[np.ndarray]
     spare: float
-    order: int = 2
-    top: np.ndarray | None = None
 
 
 def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -74,156 +77,92 @@ def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys and the sums of their counts."""
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    if not len(key):
-        return key, count
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[new], np.add.reduceat(count, new)
-
-
-class _Held:
-    """Keys with counts that are combined before they are sent."""
-
-    def __init__(self):
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, key: np.ndarray, count: np.ndarray) -> bool:
-        self.keys.append(key)
-        self.counts.append(count)
-        self.size += len(key)
-        if self.size > HELD:
-            key, count = _counted(self.keys, self.counts)
-            self.keys, self.counts, self.size = [key], [count], len(key)
-        return self.size > HELD // 2 and len(self.keys) == 1
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = _counted(self.keys, self.counts) if self.keys else (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
-        self.__init__()
-        return out
-
-
-def _mail(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([s for s, _, _ in rows], pa.int32()), pa.array([len(k) for _, k, _ in rows], pa.int32()),
-            pa.array([pack([(k, 8), (c, 5)]) for _, k, c in rows], pa.binary()),
-        ],
-        ["shard", "n", "blob"],
-    )
-
-
-def _merged(mail: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(b.as_py(), n.as_py(), [8, 5]) for b, n in zip(mail["blob"], mail["n"], strict=True)]
-    return _counted([p[0] for p in parts], [p[1].view(np.int64) for p in parts])
-
-
 def _hash_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.r_[np.searchsorted(keys, np.array([(i << 64) // shards for i in range(shards)], dtype=U64)), len(keys)]
 
 
 class Vocabulary:
-    """Word numbers and counts from the mapped arrays."""
+    """Word numbers, and columns of counts by word number, from the mapped arrays."""
 
     def __init__(self, path: str, edges: np.ndarray):
-        self.shards = len(edges) - 1
-        self.hashes = [load(f"{path}/word-{s}.npy") for s in range(self.shards)]
-        self.edges = edges
+        self.path, self.edges, self.shards = path, edges, len(edges) - 1
+        self.open: dict[str, list[dict[str, np.ndarray]]] = {}
+
+    def _files(self, name: str) -> list[dict[str, np.ndarray]]:
+        if name not in self.open:
+            self.open[name] = [load_many(f"{self.path}/{name}-{s}.npy") for s in range(self.shards)]
+        return self.open[name]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Of ascending hashes; -1 for a word that was not seen."""
         out = np.full(len(hashes), -1, dtype=np.int64)
         cuts = _hash_cuts(hashes, self.shards)
-        for s in range(self.shards):
-            a, z = cuts[s], cuts[s + 1]
-            if z > a and len(self.hashes[s]):
-                place = np.minimum(np.searchsorted(self.hashes[s], hashes[a:z]), len(self.hashes[s]) - 1)
-                out[a:z] = np.where(self.hashes[s][place] == hashes[a:z], self.edges[s] + place, -1)
+        for s, file in enumerate(self._files("words")):
+            a, z, own = cuts[s], cuts[s + 1], file["hash"]
+            if z > a and len(own):
+                place = np.minimum(np.searchsorted(own, hashes[a:z]), len(own) - 1)
+                out[a:z] = np.where(own[place] == hashes[a:z], self.edges[s] + place, -1)
         return out
 
-
-class ByWord:
-    """A mapped array with a value for each word number, in shards like the vocabulary's."""
-
-    def __init__(self, path: str, name: str, edges: np.ndarray):
-        self.values = [load(f"{path}/{name}-{s}.npy") for s in range(len(edges) - 1)]
-        self.edges = edges
-
-    def __getitem__(self, numbers: np.ndarray) -> np.ndarray:
-        """For ascending numbers."""
-        cuts = np.searchsorted(numbers, self.edges)
-        cuts[-1] = len(numbers)
-        parts = [v[numbers[a:z] - e] for v, e, a, z in zip(self.values, self.edges, cuts[:-1], cuts[1:], strict=False) if z > a]
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-
-
-def _pair_shards(keys: np.ndarray, words: int, hot: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each pair: by the first word's number, or for a common first word by the second."""
-    first, second = keys >> U64(32), keys & U64(0xFFFFFFFF)
-    out = (first * U64(shards) // U64(words + 1)).astype(np.int64)
-    if len(hot):
-        place = np.minimum(np.searchsorted(hot, first.view(np.int64)), len(hot) - 1)
-        common = hot[place] == first.view(np.int64)
-        out[common] = (mix(second[common]) % U64(shards)).astype(np.int64)
-    return out
-
-
-def _pairs(numbers: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token, the number before it (``words`` at a text's begin), and its own."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    before[first[:-1]] = words
-    return before, numbers
-
-
-def _numbered(words: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word numbers of the tokens (ascending but for -1), which one each token is, and the texts' begins."""
-    tokens, first = _tokens(words)
-    kinds, which = np.unique(tokens, return_inverse=True)
-    return vocabulary.numbers(kinds), which, first
+    def counts(self, file: str, name: str, numbers: np.ndarray) -> np.ndarray:
+        """Of word numbers in any order; 0 for those below 0."""
+        out = np.zeros(len(numbers), dtype=np.int64)
+        order = np.argsort(numbers, kind="stable")
+        order = order[np.searchsorted(numbers[order], 0) :]
+        cuts = np.searchsorted(numbers[order], self.edges)
+        cuts[-1] = len(order)  # the mark of a begin is the last shard's
+        for s, arrays in enumerate(self._files(file)):
+            rows = order[cuts[s] : cuts[s + 1]]
+            if len(rows):
+                out[rows] = decoded(arrays, name, numbers[rows] - self.edges[s])
+        return out
 
 
-def _triples(before: np.ndarray, own: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token, a hash of it and the two before it, and these two in one number, the nearer one in the high bits.
+def _grams(numbers: np.ndarray, first: np.ndarray, order: int, words: int) -> list[np.ndarray]:
+    """For each token, the ``order - 1`` before it and itself.
 
-    Before a text's begin stands ``words + 1``.
+    Before a text stand the mark ``words`` and, before that, ``words + 1``, which makes an n-gram none of this order.
     """
-    far = np.empty_like(before)
-    far[1:] = before[:-1]
-    far[first[:-1]] = words + 1
-    two = before.view(U64) << U64(32) | far.view(U64)
-    return _triple_hashes(two, own.view(U64)), two
+    lead, texts = order - 1, len(first) - 1
+    place = np.arange(len(numbers)) + np.repeat(lead * np.arange(1, texts + 1), np.diff(first))
+    row = np.full(len(numbers) + lead * texts, words + 1, dtype=np.int64)
+    row[place] = numbers
+    if lead:
+        row[first[:-1] + lead * np.arange(1, texts + 1) - 1] = words
+    return [row[place - lead + i] for i in range(order)]
+
+
+def _common(columns: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+    """Whether the middle words of each row are common ones, as those of a pair, which has none, are."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    for c in columns[1:-1]:
+        place = np.minimum(np.searchsorted(hot, c), max(len(hot) - 1, 0))
+        out &= hot[place] == c if len(hot) else False
+    return out
 
 
-def _triple_hashes(two: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return mix(two ^ mix(own + U64(1)))
+def _dealt(columns: list[np.ndarray], hashes: np.ndarray, common: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each n-gram: by its middle, or for a common middle by all of it."""
+    out = route(hashes, shards)
+    if len(columns) > 2:
+        out = np.where(common, out, route(gram_hash(columns[1:-1]), shards))
+    return out.astype(np.int64)
 
 
-def _triple_shards(hashes: np.ndarray, middle: np.ndarray, words: int, hot: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each triple: by the middle word's number, or for a common one by the hash."""
-    out = (middle * U64(shards) // U64(words + 1)).astype(np.int64)
-    common = np.isin(middle.view(np.int64), hot)
-    out[common] = (hashes[common] % U64(shards)).astype(np.int64)
-    return out
+def _letters(kind: str, shard: np.ndarray, shards: int, columns: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
+    """Rows of mail: what goes to each shard."""
+    order, cuts = by_shard(shard, shards)
+    runs = [(s, order[a:z]) for s, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
+    return [(kind, s, len(rows), pack([c[rows] for c in columns], [v[rows] for v in values])) for s, rows in runs]
 
 
-def _added(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ascending distinct keys and the sums of each of their values."""
-    if not len(keys):
-        return keys, values
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[new], [np.add.reduceat(v[order], new) for v in values]
+def _mail(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))]
 
 
-def _small(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.min_scalar_type(int(values.max(initial=1))))
+def _read(mail: pa.Table, columns: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    parts = [unpack(b.as_py(), n.as_py(), columns, values) for b, n in zip(mail["blob"], mail["n"], strict=True)]
+    return tuple([np.concatenate(side) for side in zip(*(p[k] for p in parts), strict=True)] for k in (0, 1))
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -236,267 +175,209 @@ def _discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(wanted, 1))])
 
 
-def train(texts: DataFrame, *, text: str = "text", order: int = 2) -> Model:
-    """Counts all words and pairs of a column (of order 3, triples too) and writes the model to the shared folder.
+def _after(hashes: np.ndarray, columns: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of contexts with the counts of what follows them: each context once, with the values of ``AFTER``."""
+    return summed(hashes, columns, [count, *((hit.astype(np.int64) for hit in (count == 1, count == 2, count > 2)))])
+
+
+class _Held:
+    """n-grams with counts, combined before they are sent."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = []
+        self.size = 0
+
+    def add(self, hashes: np.ndarray, columns: list[np.ndarray]) -> bool:
+        """True if it is time to send."""
+        self.parts.append((hashes, columns, [np.ones(len(hashes), dtype=np.int64)]))
+        self.size += len(hashes)
+        if self.size > HELD:
+            self._combine()
+            return self.size > HELD // 2
+        return False
+
+    def _combine(self) -> None:
+        hashes, columns, counts = zip(*self.parts, strict=True)
+        join = lambda many: [np.concatenate(c) for c in zip(*many, strict=True)]
+        self.parts = [summed(np.concatenate(hashes), join(columns), join(counts))]
+        self.size = len(self.parts[0][0])
+
+    def take(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray] | None:
+        """Ascending distinct hashes with their columns and counts; None if there are none."""
+        if not self.parts:
+            return None
+        self._combine()
+        hashes, columns, (count,) = self.parts[0]
+        self.__init__()
+        return hashes, columns, count
+
+
+def train(texts: DataFrame, *, text: str = "text", order: int = 3) -> Model:
+    """Counts all n-grams of a column up to ``order`` words (2 to 8) and writes the model to the shared folder.
 
     A null text counts as empty; every text ends with one end token. Refuses more than 2**32 - 2 distinct words.
     """
-    if order not in (2, 3):
-        raise ValueError(f"order {order}; models are of order 2 or 3")
+    if not 2 <= order <= 8:
+        raise ValueError(f"order {order}; models are of order 2 to 8")
     spark = texts.sparkSession
     frame = texts.select(F.col(f"`{text}`").cast("string").alias("text"))
-    path, shards = shared_dir(spark, "ngrams"), pieces(frame, 64 if order == 2 else 24)
+    path, shards = shared_dir(spark, "ngrams"), pieces(frame, SHARD_MB)
 
     def send_words(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
 
-        def sent() -> pa.RecordBatch:
-            key, count = held.take()
-            cuts = _hash_cuts(key, shards)
-            return _mail([(s, key[a:z], count[a:z]) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a])
+        def sent() -> Iterator[pa.RecordBatch]:
+            if (got := held.take()) is not None:
+                key, _, count = got
+                cuts = _hash_cuts(key, shards)
+                rows = [
+                    ("words", s, int(z - a), pack([key[a:z] & U64(0xFFFFFFFF), key[a:z] >> U64(32)], [count[a:z]]))
+                    for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a
+                ]
+                yield pa.RecordBatch.from_arrays(_mail(rows), names)
 
         for batch in stream:
             for row, rows in slices(batch.column(0)):
                 tokens, _ = _tokens(words_of(batch.column(0).slice(row, rows), SPACES, lower=True))
-                if held.add(*np.unique(tokens, return_counts=True)):
-                    yield sent()
-        yield sent()
+                if held.add(tokens, []):
+                    yield from sent()
+        yield from sent()
+
+    names = ["kind", "shard", "n", "blob"]
 
     def write_words(key: tuple, mail: pa.Table) -> pa.Table:
-        words, counts = _merged(mail)
-        save(f"{path}/word-{key[0].as_py()}.npy", words)
-        save(f"{path}/count-{key[0].as_py()}.npy", counts)
-        ends = counts[words == U64(END)]
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(words)], "tokens": [int(counts.sum())], "texts": [int(ends.sum())]})
+        (low, high), counts = _read(mail, 2, 1)
+        hashes, _, (count,) = summed(high.astype(U64) << U64(32) | low, [], counts)
+        save_many(f"{path}/words-{key[0].as_py()}.npy", {"hash": hashes} | coded("count", count))
+        ends = int(count[hashes == U64(END)].sum())
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(hashes)], "tokens": [int(count.sum())], "texts": [ends]})
 
     told = frame.mapInArrow(streaming(send_words), _MAIL).groupBy("shard").applyInArrow(grouped(write_words), "shard int, n long, tokens long, texts long")
     found = {r["shard"]: r for r in told.collect()}
     for s in set(range(shards)) - set(found):
-        save(f"{path}/word-{s}.npy", np.zeros(0, dtype=U64))
-        save(f"{path}/count-{s}.npy", np.zeros(0, dtype=np.int64))
-    sizes = [found[s]["n"] if s in found else 0 for s in range(shards)]
-    edges = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        save_many(f"{path}/words-{s}.npy", {"hash": np.zeros(0, dtype=U64)} | coded("count", np.zeros(0, dtype=np.int64)))
+    edges = np.r_[0, np.cumsum([found[s]["n"] if s in found else 0 for s in range(shards)])].astype(np.int64)
     words, tokens, ends = int(edges[-1]), sum(r["tokens"] for r in found.values()), sum(r["texts"] for r in found.values())
-    if words >= 2**32 - 1:
-        raise ValueError(f"{words} distinct words; pairs of up to 2**32 - 2 fit into a key")
+    if words >= 2**32 - 2:
+        raise ValueError(f"{words} distinct words; up to 2**32 - 3 fit into a number")
 
     common = tokens / (4 * shards)
 
     def hot_words(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for s in batch.column(0).to_pylist():
-                some = np.flatnonzero(load(f"{path}/count-{s}.npy") > common) + edges[s]
+                arrays = load_many(f"{path}/words-{s}.npy")
+                some = np.flatnonzero(decoded(arrays, "count", np.arange(len(arrays["hash"]))) > common) + edges[s]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64())], ["word"])
 
     many = spark.range(shards).repartition(max(1, shards // 16)).mapInArrow(hot_words, "word long")
-    hot = np.array(sorted([r["word"] for r in many.collect()] + ([words] if ends > common else [])), dtype=np.int64)
+    hot = np.array(sorted([r["word"] for r in many.collect()] + ([words] if ends > common else [])), dtype=np.uint32)
 
-    def send_pairs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_grams(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held = Vocabulary(path, edges), _Held()
 
-        def sent() -> pa.RecordBatch:
-            key, count = held.take()
-            shard = _pair_shards(key, words, hot, shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            runs = [(s, order[a:z]) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-            return _mail([(s, key[rows], count[rows]) for s, rows in runs])
+        def sent() -> Iterator[pa.RecordBatch]:
+            if (got := held.take()) is not None:
+                hashes, columns, count = got
+                shard = _dealt(columns, hashes, _common(columns, hot), shards)
+                yield pa.RecordBatch.from_arrays(_mail(_letters(f"gram{order}", shard, shards, columns, [count])), names)
 
         for batch in stream:
             for row, rows in slices(batch.column(0)):
-                kinds, which, first = _numbered(words_of(batch.column(0).slice(row, rows), SPACES, lower=True), vocabulary)
-                if (kinds < 0).any():
+                tokens, first = _tokens(words_of(batch.column(0).slice(row, rows), SPACES, lower=True))
+                kinds, which = np.unique(tokens, return_inverse=True)
+                number = vocabulary.numbers(kinds)
+                if (number < 0).any():
                     raise RuntimeError("a training text has changed between the stages")
-                before, own = _pairs(kinds[which], first, words)
-                if held.add(*np.unique(before.view(U64) << U64(32) | own.view(U64), return_counts=True)):
-                    yield sent()
-        yield sent()
-
-    def send_triples(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path, edges)
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def combined() -> tuple[np.ndarray, ...]:
-            hashes, two, own, count = (np.concatenate(c) for c in zip(*held, strict=True))
-            order_ = np.argsort(hashes, kind="stable")
-            new = np.flatnonzero(np.r_[True, hashes[order_[1:]] != hashes[order_[:-1]]])
-            at = order_[new]
-            return hashes[at], two[at], own[at], np.add.reduceat(count[order_], new)
-
-        def sent() -> pa.RecordBatch:
-            hashes, two, own, count = combined()
-            order_ = np.argsort(two, kind="stable")
-            shard = _triple_shards(hashes, two >> U64(32), words, hot, shards)[order_]
-            order_ = order_[np.argsort(shard, kind="stable")]
-            cuts = np.searchsorted(np.sort(shard), np.arange(shards + 1))
-            runs = [(s, order_[a:z]) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([s for s, _ in runs], pa.int32()), pa.array([len(r) for _, r in runs], pa.int32()),
-                    pa.array([pack([(two[r], 8), (own[r], 4), (count[r], 5)]) for _, r in runs], pa.binary()),
-                ],
-                ["shard", "n", "blob"],
-            )
-
-        size = 0
-        for batch in stream:
-            for row, rows in slices(batch.column(0)):
-                kinds, which, first = _numbered(words_of(batch.column(0).slice(row, rows), SPACES, lower=True), vocabulary)
-                if (kinds < 0).any():
-                    raise RuntimeError("a training text has changed between the stages")
-                before, own = _pairs(kinds[which], first, words)
-                hashes, two = _triples(before, own, first, words)
-                held.append((hashes, two, own.view(U64), np.ones(len(own), dtype=np.int64)))
-                size += len(own)
-                if size > HELD:
-                    held[:] = [combined()]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield sent()
-                        size = 0
-        if held:
-            yield sent()
-
-    def write_triples(key: tuple, mail: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_py(), n.as_py(), [8, 4, 5]) for b, n in zip(mail["blob"], mail["n"], strict=True)]
-        two, own, count = (np.concatenate(c) for c in zip(*parts, strict=True))
-        hashes = _triple_hashes(two, own)
-        order_ = np.argsort(hashes, kind="stable")
-        new = np.flatnonzero(np.r_[True, hashes[order_[1:]] != hashes[order_[:-1]]])
-        at = order_[new]
-        hashes, two, own, count = hashes[at], two[at], own[at], np.add.reduceat(count.view(np.int64)[order_], new)
-        middle, far = two >> U64(32), two & U64(0xFFFFFFFF)
-        real = far <= U64(words)
-        save(f"{path}/triple-{key[0].as_py()}.npy", hashes[real])
-        save(f"{path}/triple-count-{key[0].as_py()}.npy", _small(count[real]))
-        rows: list[tuple[int, int, int, bytes]] = []
-
-        def deal(kind: int, pairs: np.ndarray, values: list[np.ndarray]) -> None:
-            pairs, values = _added(pairs, values)
-            shard = _pair_shards(pairs, words, hot, shards)
-            order_ = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order_], np.arange(shards + 1))
-            for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if z > a:
-                    rows.append((kind, s, int(z - a), pack([(pairs[order_[a:z]], 8), *((v[order_[a:z]], 5) for v in values)])))
-
-        deal(0, middle << U64(32) | own, [np.where(real, 1, count)])
-        c = count[real]
-        deal(1, far[real] << U64(32) | middle[real], [c, *(hit.astype(np.int64) for hit in (c == 1, c == 2, c > 2))])
-        sums = np.cumsum([0, *(int((c == k).sum()) for k in (1, 2, 3, 4))]).astype(U64)
-        rows.append((3, key[0].as_py(), len(sums), pack([(sums, 8)])))
-        return pa.table({
-            "kind": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()),
-            "n": pa.array([r[2] for r in rows], pa.int32()), "blob": pa.array([r[3] for r in rows], pa.binary()),
-        })
-
-    def of_triples(mail: pa.Table, s: int, rows: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of a shard and their counts, from what shards of triples told; writes what stands after each pair."""
-        told: dict[int, list] = {0: [[np.zeros(0, dtype=U64)] * 2], 1: [[np.zeros(0, dtype=U64)] * 5]}
-        for kind, n, blob in zip(*(mail[c].to_pylist() for c in ("kind", "n", "blob")), strict=True):
-            if kind == 3:
-                rows.append((3, s, n, blob))
+                columns = [c.astype(np.uint32) for c in _grams(number[which], first, order, words)]
+                if held.add(gram_hash(columns), columns):
+                    yield from sent()
+        yield from sent()
+
+    def write_grams(k: int):
+        """For n-grams of ``k`` words: writes a shard's table, and tells contexts and lower orders of it."""
+
+        def work(key: tuple, mail: pa.Table) -> pa.Table:
+            s = key[0].as_py()
+            columns, (count,) = _read(mail, k, 1)
+            hashes, columns, (count,) = summed(gram_hash(columns), columns, [count])
+            real = columns[0] <= words
+            seen, own = count[real], [c[real] for c in columns]
+            save_table(f"{path}/gram{k}-{s}.npy", hashes[real], {"count": seen})
+            sums = np.array([len(seen), *(int((seen == i).sum()) for i in (1, 2, 3, 4))])
+            rows = [(f"sums{k}", s, len(sums), pack([np.arange(len(sums))], [sums]))]
+            if k == 2:
+                context, (first,), after = _after(own[0].astype(U64), [own[0]], seen)
+                rows += _letters("after", np.searchsorted(edges[1:-1], first, side="right"), shards, [first], after)
+                _, (second,), follows = summed(own[1].astype(U64), [own[1]], [np.ones(len(seen), dtype=np.int64)])
+                rows += _letters("follows", np.searchsorted(edges[1:-1], second, side="right"), shards, [second], follows)
             else:
-                told[kind].append(unpack(blob, n, [8, *[5] * (1 + 3 * kind)]))
-        (pairs, (counts,)), (contexts, after) = (
-            _added(k, [v.view(np.int64) for v in vs]) for k, *vs in ([np.concatenate(c) for c in zip(*told[kind], strict=True)] for kind in (0, 1))
-        )
-        place = np.searchsorted(pairs, contexts)
-        for name, values in zip(("all", "once", "twice", "more"), after, strict=True):
-            out = np.zeros(len(pairs), dtype=np.int64)
-            out[place] = values
-            save(f"{path}/pair-{name}-{s}.npy", _small(out))
-        return pairs, counts
-
-    def write_pairs(key: tuple, mail: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int, bytes]] = []
-        pairs, counts = _merged(mail) if order == 2 else of_triples(mail, key[0].as_py(), rows)
-        save(f"{path}/pair-{key[0].as_py()}.npy", pairs)
-        save(f"{path}/pair-count-{key[0].as_py()}.npy", _small(counts))
-        first, second = pairs >> U64(32), np.sort(pairs & U64(0xFFFFFFFF))
-        tops = np.r_[edges[:-1], words + 1].astype(U64)
-
-        def deal(kind: int, own: np.ndarray, values: list[np.ndarray]) -> None:
-            cuts = np.searchsorted(own, tops)
-            for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if z > a:
-                    rows.append((kind, s, int(z - a), pack([(own[a:z], 8), *((v[a:z], 5) for v in values)])))
-
-        new = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.zeros(0, dtype=np.int64)
-        thrice = [np.add.reduceat(hit.astype(np.int64), new) for hit in (counts == 1, counts == 2, counts > 2)] if len(new) else []
-        if len(new):
-            deal(0, first[new], [*thrice, np.add.reduceat(counts, new)])
-            start = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
-            deal(1, second[start], [np.diff(np.r_[start, len(second)])])
-        sums = [len(pairs), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
-        rows.append((2, key[0].as_py(), len(sums), pack([(np.cumsum(sums).astype(U64), 8)])))
-        return pa.table({
-            "kind": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()),
-            "n": pa.array([r[2] for r in rows], pa.int32()), "blob": pa.array([r[3] for r in rows], pa.binary()),
-        })
-
-    kinds_mail = "kind int, shard int, n int, blob binary"
-    if order == 2:
-        mailed = frame.mapInArrow(streaming(send_pairs), _MAIL)
-    else:
-        mailed = frame.mapInArrow(streaming(send_triples), _MAIL).groupBy("shard").applyInArrow(grouped(write_triples), kinds_mail)
-    stats = mailed.groupBy("shard").applyInArrow(grouped(write_pairs), kinds_mail)
-    stats.write.parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")
-
-    for s in set(range(shards)) - {r["shard"] for r in stats.where("kind = 2").select("shard").collect()}:
-        save(f"{path}/pair-{s}.npy", np.zeros(0, dtype=U64))
-        for name in ("count", "all", "once", "twice", "more")[: 1 if order == 2 else 5]:
-            save(f"{path}/pair-{name}-{s}.npy", np.zeros(0, dtype=np.uint8))
-    if order == 3:
-        for s in set(range(shards)) - {r["shard"] for r in stats.where("kind = 3").select("shard").collect()}:
-            save(f"{path}/triple-{s}.npy", np.zeros(0, dtype=U64))
-            save(f"{path}/triple-count-{s}.npy", np.zeros(0, dtype=np.uint8))
-
-    def sums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for n, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                found = np.diff(unpack(blob, n, [8])[0].view(np.int64), prepend=0)
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in found], [f"s{i}" for i in range(5)])
-
-    adds = [F.sum(f"s{i}").alias(f"s{i}") for i in range(5)]
-    five = ", ".join(f"s{i} long" for i in range(5))
-    total = stats.where("kind = 2").select("n", "blob").mapInArrow(sums, five).agg(*adds).first()
-    types, high = int(total[0] or 0), _discounts([int(total[i] or 0) for i in range(1, 5)])
-    top = None
-    if order == 3:
-        total = stats.where("kind = 3").select("n", "blob").mapInArrow(sums, five).agg(*adds).first()
-        top = _discounts([int(total[i] or 0) for i in range(1, 5)])
-
-    def write_stats(key: tuple, mail: pa.Table) -> pa.Table:
+                part = _common(own, hot)
+                whole = [c[~part] for c in own[:-1]]
+                context, _, after = _after(gram_hash(whole), [], seen[~part])
+                some = after[0] > 1
+                save_table(f"{path}/context{k}-{s}.npy", context[some], {n: v[some] for n, v in zip(AFTER, after, strict=True)})
+                several = [c[part] for c in own[:-1]]
+                context, several, after = _after(gram_hash(several), several, seen[part])
+                rows += _letters(f"context{k}", route(context, shards), shards, several, after)
+                lower, shorter, (stands,) = summed(gram_hash(columns[1:]), columns[1:], [np.where(real, 1, count)])
+                rows += _letters(f"gram{k - 1}", _dealt(shorter, lower, _common(shorter, hot), shards), shards, shorter, [stands])
+            return pa.Table.from_arrays(_mail(rows), names)
+
+        return work
+
+    def write_contexts(k: int):
+        def work(key: tuple, mail: pa.Table) -> pa.Table:
+            s = key[0].as_py()
+            columns, values = _read(mail, k - 1, len(AFTER))
+            context, _, after = summed(gram_hash(columns), [], values)
+            some = after[0] > 1
+            save_table(f"{path}/common{k}-{s}.npy", context[some], {n: v[some] for n, v in zip(AFTER, after, strict=True)})
+            return pa.table({"shard": pa.array([s], pa.int32())})
+
+        return work
+
+    held: set[str] = set()
+    discounts: dict[int, np.ndarray] = {}
+    types = 0
+    mailed = frame.mapInArrow(streaming(send_grams), _MAIL)
+    for k in range(order, 1, -1):
+        mailed.groupBy("shard").applyInArrow(grouped(write_grams(k)), _MAIL).write.parquet(f"{path}/told-{k}")
+        told = spark.read.schema(_MAIL).parquet(f"{path}/told-{k}")
+        sums = [(r["shard"], unpack(r["blob"], r["n"], 1, 1)[1][0]) for r in told.where(F.col("kind") == f"sums{k}").collect()]
+        held |= {f"gram{k}-{s}" for s, _ in sums} | ({f"context{k}-{s}" for s, _ in sums} if k > 2 else set())
+        total = np.sum([x for _, x in sums], axis=0, dtype=np.int64) if sums else np.zeros(5, dtype=np.int64)
+        discounts[k], types = _discounts(total[1:].tolist()), int(total[0])
+        if k > 2:
+            of = told.where(F.col("kind") == f"context{k}").groupBy("shard").applyInArrow(grouped(write_contexts(k)), "shard int")
+            held |= {f"common{k}-{r['shard']}" for r in of.collect()}
+        mailed = told.where(F.col("kind") == f"gram{k - 1}")
+        release_shuffles(spark)
+
+    def write_words_after(key: tuple, mail: pa.Table) -> pa.Table:
         s = key[0].as_py()
         low = int(edges[s])
         n = int(edges[s + 1]) - low + (s == shards - 1)
-        after, follows = np.zeros((n, 4), dtype=np.int64), np.zeros(n, dtype=np.int64)
-        for kind, size, blob in zip(mail["kind"].to_pylist(), mail["n"].to_pylist(), mail["blob"].to_pylist(), strict=True):
-            if kind == 0:
-                own, *four = unpack(blob, size, [8, 5, 5, 5, 5])
-                np.add.at(after, own.view(np.int64) - low, np.stack(four, axis=1).view(np.int64))
-            else:
-                own, count = unpack(blob, size, [8, 5])
-                np.add.at(follows, own.view(np.int64) - low, count.view(np.int64))
-        save(f"{path}/rest-{s}.npy", after[:, :3] @ high[1:] / np.maximum(after[:, 3], 1))
-        save(f"{path}/after-{s}.npy", _small(after[:, 3]))
-        save(f"{path}/follows-{s}.npy", follows.astype(np.min_scalar_type(int(follows.max(initial=1)))))
+        out = {name: np.zeros(n, dtype=np.int64) for name in (*AFTER, "follows")}
+        for kind, size, blob in zip(*(mail[c].to_pylist() for c in ("kind", "n", "blob")), strict=True):
+            (own,), values = unpack(blob, size, 1, len(AFTER) if kind == "after" else 1)
+            for name, value in zip(AFTER if kind == "after" else ("follows",), values, strict=True):
+                out[name][own.astype(np.int64) - low] += value
+        save_many(f"{path}/after-{s}.npy", {k: v for name, values in out.items() for k, v in coded(name, values).items()})
+        follows = out["follows"]
         return pa.table({"shard": pa.array([s], pa.int32())} | {f"s{i}": [int((follows == i).sum()) if i else int((follows > 2).sum())] for i in range(5)})
 
-    dealt = stats.where("kind < 2").groupBy("shard").applyInArrow(grouped(write_stats), f"shard int, {five}")
-    by = {r["shard"]: r for r in dealt.collect()}
+    five = ", ".join(f"s{i} long" for i in range(5))
+    words_after = told.where("kind IN ('after', 'follows')").groupBy("shard").applyInArrow(grouped(write_words_after), f"shard int, {five}")
+    by = {r["shard"]: r for r in words_after.collect()}
     for s in set(range(shards)) - set(by):
-        n = int(edges[s + 1] - edges[s]) + (s == shards - 1)
-        save(f"{path}/rest-{s}.npy", np.zeros(n))
-        save(f"{path}/after-{s}.npy", np.zeros(n, dtype=np.uint8))
-        save(f"{path}/follows-{s}.npy", np.zeros(n, dtype=np.uint8))
-    low_n = [sum(r[f"s{i}"] for r in by.values()) for i in range(5)]
-    low = _discounts(low_n[1:])
-    kept = low[1] * low_n[1] + low[2] * low_n[2] + low[3] * low_n[0]
-    return Model(path, edges, tokens, ends, hot, shards, types, high, low, kept / types if types else 1.0, order, top)
+        none = np.zeros(int(edges[s + 1] - edges[s]) + (s == shards - 1), dtype=np.int64)
+        save_many(f"{path}/after-{s}.npy", {k: v for name in (*AFTER, "follows") for k, v in coded(name, none).items()})
+    n = [sum(r[f"s{i}"] for r in by.values()) for i in range(5)]
+    discounts[1] = low = _discounts(n[1:])
+    spare = (low[1] * n[1] + low[2] * n[2] + low[3] * n[0]) / types if types else 1.0
+    release_shuffles(spark)
+    return Model(path, order, edges, tokens, hot, shards, frozenset(held), types, [discounts[k] for k in range(1, order + 1)], spare)
 
 
 class Scorer:
@@ -506,94 +387,85 @@ class Scorer:
         self.model = model
         self.words = int(model.edges[-1])
         self.vocabulary = Vocabulary(model.path, model.edges)
-        self.counts, self.follows, self.rest, self.after = (ByWord(model.path, n, model.edges) for n in ("count", "follows", "rest", "after"))
-        names = ("count", "all", "once", "twice", "more")[: 1 if model.order == 2 else 5]
-        self.pairs = [[load(f"{model.path}/pair-{s}.npy"), *(load(f"{model.path}/pair-{n}-{s}.npy") for n in names)] for s in range(model.pairs)]
-        if model.order == 3:
-            self.triples = [[load(f"{model.path}/triple-{s}.npy"), load(f"{model.path}/triple-count-{s}.npy")] for s in range(model.pairs)]
-
-    def _known(self, array: ByWord, numbers: np.ndarray, but: float) -> np.ndarray:
-        """Values of distinct word numbers in any order; ``but`` for those below 0."""
-        out = np.full(len(numbers), float(but))
-        order = np.argsort(numbers, kind="stable")
-        order = order[numbers[order] >= 0]
-        out[order] = array[numbers[order]]
-        return out
-
-    def _found(self, shards: list[list[np.ndarray]], shard: np.ndarray, keys: np.ndarray, columns: slice) -> np.ndarray:
-        """Values of ascending keys (keys x columns); 0 where a key was not seen."""
-        out = np.zeros((len(keys), len(shards[0][1:][columns])), dtype=np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(shards) + 1))
-        for s, (known, *values) in enumerate(shards):
-            rows = order[cuts[s] : cuts[s + 1]]
-            if len(rows) and len(known):
-                place = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-                hit = known[place] == keys[rows]
-                for i, value in enumerate(values[columns]):
-                    out[rows, i] = np.where(hit, value[place], 0)
-        return out
-
-    def pair_values(self, keys: np.ndarray, columns: slice = slice(1)) -> np.ndarray:
-        """Of ascending pairs: the count, and of order 3 how often a word stands after it and how many once, twice, more often."""
-        return self._found(self.pairs, _pair_shards(keys, self.words, self.model.hot, self.model.pairs), keys, columns)
-
-    def longer(self, number: np.ndarray, first: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """Chances of all tokens by the two words before them, from those by the one before (order 3)."""
-        m = self.model
-        before, own = _pairs(number, first, self.words)
-        far = np.empty_like(before)
-        far[1:] = before[:-1]
-        far[first[:-1]] = -1
-        some = np.flatnonzero((far >= 0) & (before >= 0))
-        pairs, which = np.unique(far[some].view(U64) << U64(32) | before[some].view(U64), return_inverse=True)
-        after = self.pair_values(pairs, slice(1, 5))
-        rest = (after[:, 1:] @ m.top[1:] / np.maximum(after[:, 0], 1))[which]
-        total = after[which, 0]
-        some, rest, total = some[total > 0], rest[total > 0], total[total > 0]
-        seen = np.zeros(len(some), dtype=np.int64)
-        known = np.flatnonzero(own[some] >= 0)
-        at = some[known]
-        two = before[at].view(U64) << U64(32) | far[at].view(U64)
-        hashes, index, back = np.unique(_triple_hashes(two, own[at].view(U64)), return_index=True, return_inverse=True)
-        shard = _triple_shards(hashes, two[index] >> U64(32), self.words, m.hot, m.pairs)
-        seen[known] = self._found(self.triples, shard, hashes, slice(1))[back, 0]
-        out = chance.copy()
-        out[some] = np.maximum(seen - m.top[np.minimum(seen, 3)], 0) / total + rest * chance[some]
+        self.open: dict[str, Table] = {}
+
+    def _table(self, name: str) -> Table | None:
+        """A table, mapped when it is first wanted; None if nothing was written. The oldest of too many is closed."""
+        if name not in self.model.held:
+            return None
+        if name not in self.open:
+            if len(self.open) >= OPEN:
+                del self.open[next(iter(self.open))]
+            self.open[name] = Table(f"{self.model.path}/{name}.npy")
+        return self.open[name]
+
+    def _found(self, name: str, shard: np.ndarray, hashes: np.ndarray, columns: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is held, and its values in the columns."""
+        hit, out = np.zeros(len(hashes), dtype=bool), np.zeros((len(columns), len(hashes)), dtype=np.int64)
+        order, cuts = by_shard(shard, self.model.shards)
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            if (table := self._table(f"{name}-{s}")) is not None:
+                rows = order[cuts[s] : cuts[s + 1]]
+                at = table.find(hashes[rows])
+                rows, at = rows[at >= 0], at[at >= 0]
+                hit[rows] = True
+                for value, column in zip(out, columns, strict=True):
+                    value[rows] = table.counts(column, at)
+        return hit, out
+
+    def _contexts(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The values of ``AFTER`` for contexts that were seen: n-grams without their last word."""
+        k, shards = len(columns), self.model.shards
+        hashes, common = gram_hash(columns[:-1]), _common(columns, self.model.hot)
+        out = np.zeros((len(AFTER), len(hashes)), dtype=np.int64)
+        out[:2] = 1  # what is not written is followed once
+        for name, rows, key in (("context", ~common, columns[1:-1]), ("common", common, columns[:-1])):
+            rows = np.flatnonzero(rows)
+            if len(rows):
+                hit, found = self._found(f"{name}{k}", route(gram_hash([c[rows] for c in key]), shards), hashes[rows], AFTER)
+                out[:, rows[hit]] = found[:, hit]
         return out
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """For each text: tokens, known tokens, add-one score, model score (log10)."""
-        m = self.model
-        kinds, which, first = _numbered(words_of(column, SPACES, lower=True), self.vocabulary)
-        count = self._known(self.counts, kinds, 0)
-        follows = self._known(self.follows, kinds, 0)
+        m, v = self.model, self.vocabulary
+        tokens, first = _tokens(words_of(column, SPACES, lower=True))
+        kinds, which = np.unique(tokens, return_inverse=True)
+        kinds = v.numbers(kinds)
+        count, follows = v.counts("words", "count", kinds), v.counts("after", "follows", kinds)
         base = np.log10((count + 1) / (m.tokens + self.words + 1))
-        lower = m.spare / (self.words + 1)
+        lowest = np.full(len(kinds), m.spare / (self.words + 1))
         if m.types:
-            lower = lower + np.maximum(follows - m.low[np.minimum(follows, 3).astype(np.int64)], 0) / m.types
-        lower = np.broadcast_to(lower, kinds.shape)
-        # What follows a begin or a word; a word that was not seen, or only at ends, has no pairs of its own.
-        begin = np.array([self.words], dtype=np.int64)
-        after, rest = (np.r_[self._known(x, kinds, 0), self._known(x, begin, 0)] for x in (self.after, self.rest))
-        number = np.r_[kinds, self.words]
-        after = np.where(rest > 0, after, 0)
+            lowest += np.maximum(follows - m.discounts[0][np.minimum(follows, 3)], 0) / m.types
+        chance = lowest[which]
+        number = kinds[which]
+        grams = _grams(number, first, m.order, self.words)
+        # What follows a word or a begin; a word that was not seen, or only at ends, is no context.
+        both = np.r_[kinds, self.words]
+        after = np.stack([v.counts("after", name, both) for name in AFTER])
         before = np.empty_like(which)
         before[1:] = which[:-1]
         before[first[:-1]] = len(kinds)
-        code = before * (len(kinds) + 1) + which
-        distinct, back = np.unique(code, return_inverse=True)
-        a, b = distinct // (len(kinds) + 1), distinct % (len(kinds) + 1)
-        both = np.flatnonzero((number[a] >= 0) & (number[b] >= 0) & (after[a] > 0))
-        keys = number[a[both]].view(U64) << U64(32) | number[b[both]].view(U64)
-        order = np.argsort(keys, kind="stable")
-        seen = np.zeros(len(distinct), dtype=np.int64)
-        seen[both[order]] = self.pair_values(keys[order])[:, 0]
-        total = np.maximum(after[a], 1)
-        chance = np.where(after[a] > 0, np.maximum(seen - m.high[np.minimum(seen, 3)], 0) / total + rest[a] * lower[b], lower[b])
-        chance = chance[back]
-        if m.order == 3:
-            chance = self.longer(kinds[which], first, chance)
+        seen = np.zeros(0, dtype=np.int64)
+        for k in range(2, m.order + 1):
+            if k == 2:
+                some = np.flatnonzero(after[0][before] > 0)
+                told = after[:, before[some]]
+            else:
+                # The context ends one token earlier, in the same text; it was seen if that n-gram was.
+                some = np.flatnonzero(np.r_[False, seen[:-1] > 0][: len(number)] & (grams[-k] <= self.words) & (grams[-k] >= 0))
+                told = self._contexts([g[some].astype(np.uint32) for g in grams[-k:]])
+            discount = m.discounts[k - 1]
+            got = np.zeros(len(some), dtype=np.int64)
+            known = np.flatnonzero(number[some] >= 0)
+            own = [g[some[known]].astype(np.uint32) for g in grams[-k:]]
+            hashes = gram_hash(own)
+            _, found = self._found(f"gram{k}", _dealt(own, hashes, _common(own, m.hot), m.shards), hashes, ("count",))
+            got[known] = found[0]
+            rest = (discount[1:] @ told[1:]) / told[0]
+            chance[some] = np.maximum(got - discount[np.minimum(got, 3)], 0) / told[0] + rest * chance[some]
+            seen = np.zeros(len(number), dtype=np.int64)
+            seen[some] = got
         logs = np.log10(np.maximum(chance, 1e-300))
         add = lambda values: np.diff(np.r_[0, np.cumsum(values)][first])
         return [np.diff(first), add((count > 0)[which]), _sums(base[which], first), _sums(logs, first)]
@@ -634,4 +506,4 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every text of ``documents``, learned from six sevenths of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("held_out", held_out(F.col("doc_id"), 7))
-    return score(docs, train(docs.where("NOT held_out"), order=3)).drop("text")
+    return score(docs, train(docs.where("NOT held_out"))).drop("text")

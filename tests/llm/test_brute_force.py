@@ -4,7 +4,7 @@ import base64
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -60,50 +60,61 @@ def discounts(counts):
     n = Counter(counts)
     assert all(n[k] for k in (1, 2, 3, 4))
     y = n[1] / (n[1] + 2 * n[2])
-    of = [0, *(k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3))]
-    assert all(0.05 <= d <= k - 0.05 for k, d in enumerate(of) if k)
+    # The model keeps each discount of k at least 0.05 and at most k - 0.05, which few n-grams of four words need.
+    of = [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))]
     return lambda c: of[min(c, 3)]
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney of pairs, by the textbook, in dictionaries."""
-
-    def __init__(self, texts):
-        lists = [tokens_of(t) for t in texts]
-        self.words = Counter(w for ws in lists for w in ws)
-        self.pairs = Counter(p for ws in lists for p in zip(["begin of a text", *ws], ws, strict=False))
-        self.after, self.context = defaultdict(list), Counter()
-        for (v, _), c in self.pairs.items():
-            self.after[v].append(c)
-            self.context[v] += c
-        self.follows = Counter(w for _, w in self.pairs)
-        self.high, self.low = discounts(self.pairs.values()), discounts(self.follows.values())
-        self.spare = sum(self.low(c) for c in self.follows.values()) / len(self.pairs)
-        self.rest = {v: sum(map(self.high, cs)) / self.context[v] for v, cs in self.after.items()}
-
-    def lower(self, w):
-        c = self.follows.get(w, 0)
-        return (c - self.low(c)) / len(self.pairs) + self.spare / (len(self.words) + 1)
-
-    def chance(self, v, w):
-        if v not in self.context:
-            return self.lower(w)
-        c = self.pairs.get((v, w), 0)
-        return (c - self.high(c)) / self.context[v] + self.rest[v] * self.lower(w)
+    """Interpolated modified Kneser-Ney, by the textbook, in dictionaries; n-grams at a text's begin keep their counts."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        lists = [[BEGIN, *tokens_of(t)] for t in texts]
+        self.words = Counter(w for ws in lists for w in ws[1:])
+        grams = {order: Counter(tuple(ws[i : i + order]) for ws in lists for i in range(len(ws) - order + 1))}
+        for k in range(order - 1, 0, -1):
+            grams[k] = Counter(g[1:] for g in grams[k + 1])
+            if k > 1:
+                grams[k].update(tuple(ws[:k]) for ws in lists if len(ws) >= k)
+        self.levels = {}
+        for k in range(2, order + 1):
+            discount, total, kept = discounts(grams[k].values()), Counter(), Counter()
+            for g, c in grams[k].items():
+                total[g[:-1]] += c
+                kept[g[:-1]] += discount(c)
+            self.levels[k] = (grams[k], discount, total, kept)
+        low, self.types = discounts(grams[1].values()), len(grams[2])
+        self.spare = sum(map(low, grams[1].values())) / self.types
+        self.low = lambda w: (grams[1][(w,)] - low(grams[1][(w,)])) / self.types
+
+    def chance(self, *gram):
+        if len(gram) == 1:
+            return self.low(*gram) + self.spare / (len(self.words) + 1)
+        grams, discount, total, kept = self.levels[len(gram)]
+        lower, context = self.chance(*gram[1:]), gram[:-1]
+        return (grams[gram] - discount(grams[gram]) + kept[context] * lower) / total[context] if total[context] else lower
 
     def score(self, text):
-        ws = tokens_of(text)
-        return sum(math.log10(self.chance(v, w)) for v, w in zip(["begin of a text", *ws], ws, strict=False))
+        ws = [BEGIN, *tokens_of(text)]
+        return sum(math.log10(self.chance(*ws[max(0, i - self.order + 1) : i + 1])) for i in range(1, len(ws)))
+
 
+BEGIN = "begin of a text"
 
-def test_language_model_is_kneser_ney(spark):
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_is_kneser_ney(spark, order, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_MB", 0.01)  # many shards, common words, several sendings
+    monkeypatch.setattr(language_model, "HELD", 3000)
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").collect()
     texts, fresh = [r.text for r in rows[:150]], [*(r.text for r in rows[150:]), "never SEEN", None, "\x1c é " * 50]
-    own = KneserNey(texts)
+    own = KneserNey(texts, order)
     seen = [*own.words, "a word that no text has"]
-    for v in ("begin of a text", "no such word", *[w for w in own.rest if len(own.after[w]) > 30][:3]):
-        assert math.isclose(sum(own.chance(v, w) for w in seen), 1, rel_tol=1e-9)
-    model = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    contexts = [c for c in own.levels[order][2] if c[-1] is not None][:: 2000 * order]
+    for c in [(BEGIN,), ("no such word",), *contexts]:
+        assert math.isclose(sum(own.chance(*c, w) for w in seen), 1, rel_tol=1e-9)
+    model = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=order)
     docs = spark.createDataFrame(list(enumerate([*texts, *fresh])), "doc_id long, text string")
     found = rows_of(language_model.score(docs, model))
     total, kinds = sum(own.words.values()), len(own.words)
@@ -112,52 +123,7 @@ def test_language_model_is_kneser_ney(spark):
         base = sum(math.log10((own.words.get(w, 0) + 1) / (total + kinds + 1)) for w in ws)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in own.words for w in ws), total)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, own.score(text), rel_tol=1e-9)
-
-
-class OfTriples:
-    """Interpolated modified Kneser-Ney of triples, by the textbook, in dictionaries; pairs at a begin keep their counts."""
-
-    def __init__(self, texts):
-        begin = "begin of a text"
-        lists = [[begin, *tokens_of(t)] for t in texts]
-        self.triples = Counter(t for ws in lists for t in zip(ws, ws[1:], ws[2:], strict=False))
-        self.pairs = Counter((v, w) for _, v, w in self.triples)
-        self.pairs.update((begin, ws[1]) for ws in lists)
-        follows = Counter(w for _, w in self.pairs)
-        words = len({w for ws in lists for w in ws[1:]})
-        self.levels = []
-        for grams in (self.pairs, self.triples):
-            discount, total, kept = discounts(grams.values()), Counter(), Counter()
-            for g, c in grams.items():
-                total[g[:-1]] += c
-                kept[g[:-1]] += discount(c)
-            self.levels.append((grams, discount, total, kept))
-        low, types = discounts(follows.values()), len(self.pairs)
-        spare = sum(map(low, follows.values())) / types
-        self.lower = lambda w: (follows[w] - low(follows[w])) / types + spare / (words + 1)
-
-    def chance(self, *gram):
-        if len(gram) == 1:
-            return self.lower(*gram)
-        grams, discount, total, kept = self.levels[len(gram) - 2]
-        v, lower = gram[:-1], self.chance(*gram[1:])
-        return (grams[gram] - discount(grams[gram]) + kept[v] * lower) / total[v] if total[v] else lower
-
-    def score(self, text):
-        ws = ["begin of a text", *tokens_of(text)]
-        return sum(math.log10(self.chance(*ws[max(0, i - 2) : i + 1])) for i in range(1, len(ws)))
-
-
-def test_language_model_of_triples_is_kneser_ney(spark):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").collect()
-    texts, fresh = [r.text for r in rows[:150]], [*(r.text for r in rows[150:]), "never SEEN", None, "\x1c é " * 50]
-    own = OfTriples(texts)
-    model = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
-    docs = spark.createDataFrame(list(enumerate([*texts, *fresh])), "doc_id long, text string")
-    found = rows_of(language_model.score(docs, model))
-    for i, text in enumerate([*texts, *fresh]):
-        assert math.isclose(found[i].score, own.score(text), rel_tol=1e-9)
-    empty = language_model.train(docs.where("false"), order=3)
+    empty = language_model.train(docs.where("false"), order=order)
     assert language_model.score(docs, empty).where("n_known = 0").count() == len(texts) + len(fresh)
 
 
