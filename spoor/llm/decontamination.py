@@ -67,19 +67,8 @@ def _n_hit(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), zero, step)["n"]
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """One row for each row of ``docs``: id, text_hash long, n_words, n_hit, n_items long, items (sorted array of
-    strings), hits (sorted array of structs start, stop: words from 1), contaminated boolean.
-
-    Words are runs of ASCII letters, digits and other characters than ASCII, A-Z lower-cased. A word is hit if a
-    window of ``window`` words of an item (or the whole of a shorter item) covers it. Null texts and texts without
-    words have no hits, and so have all if the benchmark is empty. Rows with the same id and text give equal rows;
-    null ids are kept. The benchmark's size is checked: windows over ``block_bytes`` are taken in several blocks,
-    each broadcast against all texts, and the result is the same.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """(id, h, n_words, items, hits) for each row of ``docs``; see :func:`find_leaks`."""
     table = item_windows(benchmark, item=item, text=item_text, window=window)
     held = F.sum(F.octet_length(F.array_join("win", " ")) + F.size("items") * 16 + 64)
     blocks = 1 + int((table.agg(held.alias("b")).first()["b"] or 0) // block_bytes)
@@ -96,7 +85,23 @@ def find_leaks(
     )
     items = F.array_sort(F.transform("found", lambda x: x.cast("string")))
     out = whole.select("id", "h", "copies", "n_words", "hits", items.alias("items"))
-    out = out.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+    return out.select("id", "h", "n_words", "items", "hits", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """One row for each row of ``docs``: id, text_hash long, n_words, n_hit, n_items long, items (sorted array of
+    strings), hits (sorted array of structs start, stop: words from 1), contaminated boolean.
+
+    Words are runs of ASCII letters, digits and other characters than ASCII, A-Z lower-cased. A word is hit if a
+    window of ``window`` words of an item (or the whole of a shorter item) covers it. Null texts and texts without
+    words have no hits, and so have all if the benchmark is empty. Rows with the same id and text give equal rows;
+    null ids are kept. The benchmark's size is checked: windows over ``block_bytes`` are taken in several blocks,
+    each broadcast against all texts, and the result is the same.
+    """
+    out = _leaks(docs, benchmark, id, text, item, item_text, window, block_bytes)
     return out.select(
         F.col("id").alias(id), F.col("h").alias("text_hash"), "n_words", _n_hit(F.col("hits")).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), "items", "hits", (F.size("hits") > 0).alias("contaminated"),
@@ -104,29 +109,31 @@ def find_leaks(
 
 
 def remove_leaks(
-    docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", spans: bool = False, **options
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+    window: int = 10, block_bytes: int = BLOCK_BYTES, spans: bool = False,
+) -> DataFrame:
     """``docs`` without contaminated documents, or with ``spans`` without the words that are hit.
 
     A removed word goes with the separators after it; a document that loses nothing stays as it is. All columns
-    stay. See :func:`find_leaks` for the rest.
+    stay, whatever their names. See :func:`find_leaks` for the rest.
     """
-    found = find_leaks(docs, benchmark, id=id, text=text, **options).where("contaminated")
-    found = found.select(F.col(id).alias("__id"), F.col("text_hash").alias("__h"), F.col("hits").alias("__hits"))
-    found = found.dropDuplicates(["__id", "__h"])
+    found = _leaks(docs, benchmark, id, text, item, item_text, window, block_bytes).where(F.size("hits") > 0)
+    found = found.select("id", "h", "hits").dropDuplicates(["id", "h"])
     column = F.col(f"`{text}`")
-    same = F.col(f"`{id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(column) == F.col("__h"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").alias("own"), F.xxhash64(column).alias("hash"),
+        column.alias("text"),
+    )
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))
     if not spans:
-        return docs.join(found, same, "left_anti")
+        return rows.join(found, same, "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     # Pieces of a word and the separators after it.
-    cut = F.regexp_extract_all(column, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(1))
-    head = F.regexp_extract(column, r"^([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)", 1)
-    joined = docs.join(found, same, "left").withColumn("__cut", cut)
-    kept = F.filter(
-        "__cut", lambda x, i: ~F.exists("__hits", lambda h: (h["start"] <= i + 1) & (i + 1 <= h["stop"]))
-    )
-    text_ = F.when(F.col("__hits").isNull(), column).otherwise(F.concat(head, F.array_join(kept, "")))
-    return joined.select(*[text_.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    cut = F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(1))
+    head = F.regexp_extract("text", r"^([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)", 1)
+    kept = F.filter(cut, lambda x, i: ~F.exists("hits", lambda h: (h["start"] <= i + 1) & (i + 1 <= h["stop"])))
+    text_ = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(kept, "")))
+    joined = rows.join(found, same, "left")
+    return joined.select(*[(text_ if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

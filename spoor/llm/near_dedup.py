@@ -207,7 +207,7 @@ def components(links: DataFrame, tables: _Tables) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 1e-6,
 ) -> DataFrame:
-    """One row for each row of ``docs``: id, text_hash long, n_shingles long, component_id, kept boolean.
+    """One row for each row of ``docs``: id (of any type with an order), text_hash long, n_shingles long, component_id, kept boolean.
 
     Texts whose sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity`` are linked;
     component_id is the least id that links lead to, itself included, and kept tells whether it is the row's own.
@@ -220,8 +220,12 @@ def near_duplicates(
     spark = docs.sparkSession
     tables = _Tables(spark, "near")
     percent = round(similarity * 100)
-    frame = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    frame = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     frame = frame.withColumn("th", F.xxhash64("text"))
+    sketched = T.StructType([
+        frame.schema["id"], T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
+        T.StructField("sig", T.BinaryType()),
+    ])
 
     def sketch(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -242,7 +246,7 @@ def near_duplicates(
                     ["id", "th", "n", "key", "sig"],
                 )
 
-    all_ = tables.keep(frame.mapInArrow(streaming(sketch), "id long, th long, n long, key binary, sig binary"))
+    all_ = tables.keep(frame.mapInArrow(streaming(sketch), sketched))
     classes = all_.where("key IS NOT NULL").groupBy("key").agg(F.first("sig").alias("sig"), F.min("th").alias("th"), F.first("n").alias("n"))
     classes = tables.keep(classes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -352,14 +356,16 @@ def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **op
     Rows of one id and text count once. Documents without an id stay unless linked with one that has an id, but for
     equal texts, of which one stays. See :func:`near_duplicates` for the rest.
     """
-    own = F.struct(F.col(f"`{id}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"))
-    found = near_duplicates(docs, id=id, text=text, **options).where("kept")
-    found = found.groupBy(F.struct(F.col(id).alias("i"), F.col("text_hash").alias("h")).alias("__own")).agg(F.count("*").alias("__n"))
-    found = _Tables(docs.sparkSession, "kept").keep(found)
-    out = docs.withColumn("__own", own).join(found.select("__own"), "__own", "left_semi")
-    if not found.where("__n > 1").isEmpty():
-        out = out.dropDuplicates(["__own"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(docs, id=id, text=text, **options).toDF("i", "h", "n", "component", "kept").where("kept")
+    found = _Tables(docs.sparkSession, "kept").keep(found.groupBy("i", "h").agg(F.count("*").alias("n")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").alias("own"),
+        F.xxhash64(F.col(f"`{text}`").cast("string")).alias("hash"),
+    )
+    out = rows.join(found, F.col("own").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left_semi")
+    if not found.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["own", "hash"])
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

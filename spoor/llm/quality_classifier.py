@@ -167,14 +167,14 @@ def train(
     score is the share of class 1 (0.5 without any label).
     """
     sample, counts = labelled_sample(docs, labels, target, id=id, text=text, each=each, parts=parts)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("y", T.IntegerType())])
+    schema = T.StructType([sample.schema["id"], T.StructField("x", T.BinaryType()), T.StructField("y", T.IntegerType())])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             x = [r.tobytes() for r in statistics(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], ["id", "x", "y"])
 
-    got = sample.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(streaming(work), schema).toArrow().sort_by("id")
+    got = sample.select("id", "text", "y").mapInArrow(streaming(work), schema).toArrow().sort_by("id")
     x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=float).reshape(-1, len(STATISTICS))
     y = got["y"].to_numpy().astype(np.int64)
     total = counts[0] + counts[1]

@@ -11,11 +11,13 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from spoor.llm.workers import streaming
 
 #: Columns of a record; block is binary, the others are text, null where a header is absent.
@@ -35,17 +37,20 @@ SOURCE_HEADER = "X-Source-HTTP-Headers"
 _TYPES = {c: pa.binary() if c == "block" else pa.string() for c in RECORD}
 _SCHEMA = "row long, " + ", ".join(f"{c} {'binary' if c == 'block' else 'string'}" for c in RECORD)
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BLOCK = re.compile(
-    r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|"
-    r"section|table|td|th|title|tr|ul)\b[^>]*>", re.I,
+#: Elements whose content is not shown, and those that begin and end a line.
+_UNSEEN = ("script", "style", "noscript", "template", "svg")
+_BLOCKS = frozenset(
+    "address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table "
+    "td th title tr ul".split()
 )
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_UNSEEN, "title")}
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"=\s*([\"'])|>")
+_LANG = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _GAPS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -58,23 +63,82 @@ def record_id(kind: str, *of: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((kind, *of)))}>"
 
 
+def _tags(page: str) -> Iterator[tuple[str, str, int]]:
+    """(text before, tag, place after it) of each tag that is seen, in one pass; at the end the last text and no tag.
+
+    A ``>`` in a quoted value does not end a tag, unless the quotes of the page do not come out even. Comments and the
+    content of :data:`_UNSEEN` count as a space; without an end they go on to the end of the page.
+    """
+    at, quotes, parts = 0, True, []
+    while (low := page.find("<", at)) >= 0:
+        parts.append(page[at:low])
+        if page.startswith("<!--", low):
+            end = page.find("-->", low + 4)
+            parts.append(" ")
+            at = len(page) if end < 0 else end + 3
+            continue
+        if not re.match(r"/?[A-Za-z!?]", page[low + 1 : low + 3]):
+            parts.append("<")
+            at = low + 1
+            continue
+        plain = page.find(">", low)
+        if plain < 0:
+            at = low
+            break
+        end = plain
+        if quotes:
+            look, end = low, -1
+            while found := _QUOTE_OR_END.search(page, look):
+                if not found[1]:
+                    end = found.start()
+                    break
+                shut = page.find(found[1], found.end())
+                if shut < 0:
+                    break
+                look = shut + 1
+            if end < 0:
+                quotes, end = False, plain
+        tag = page[low : end + 1]
+        at = end + 1
+        name = _NAME.match(tag)
+        if name and not tag.startswith("</") and name[1].lower() in _UNSEEN:
+            shut = _CLOSING[name[1].lower()].search(page, at)
+            parts.append(" ")
+            at = shut.end() if shut else len(page)
+            continue
+        yield "".join(parts), tag, at
+        parts = []
+    yield "".join([*parts, page[at:]]), "", len(page)
+
+
+def _name(tag: str) -> str:
+    found = _NAME.match(tag)
+    return found[1].lower() if found else ""
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page: a line for each block, white space run together, entities resolved."""
-    text = _BLOCK.sub("\n", _HIDDEN.sub(" ", page))
-    text = html.unescape(_TAG.sub("", text))
-    return _LINES.sub("\n", _GAPS.sub(" ", text)).strip(" \n")
+    parts = []
+    for text, tag, _ in _tags(page):
+        parts += [text, "\n" if _name(tag) in _BLOCKS else ""]
+    return _LINES.sub("\n", _GAPS.sub(" ", html.unescape("".join(parts)))).strip(" \n")
 
 
 def fields(page: str) -> list[tuple[str, str]]:
     """What a metadata record tells about a page: title, language, outgoing links in order."""
-    seen = _HIDDEN.sub(" ", page)
-    out = []
-    if found := _TITLE.search(seen):
-        out.append(("title", _one_line(html.unescape(found[1]))))
-    if found := _LANG.search(seen):
-        out.append(("language", found[1].lower()))
-    out += [("outlink", _one_line(html.unescape(next(g for g in m.groups() if g is not None)))) for m in _LINK.finditer(seen)]
-    return [(k, v) for k, v in out if v]
+    title = language = None
+    links = []
+    for _, tag, at in _tags(page):
+        name = "" if tag.startswith("</") else _name(tag)
+        if name == "title" and title is None:
+            shut = _CLOSING["title"].search(page, at)
+            title = html.unescape(page[at : shut.start()]) if shut else ""
+        elif name == "html" and language is None and (found := _LANG.search(tag)):
+            language = found[1].lower()
+        elif name == "a" and (found := _HREF.search(tag)):
+            links.append(html.unescape(next(g for g in found.groups() if g is not None)))
+    out = [("title", title or ""), ("language", language or ""), *(("outlink", x) for x in links)]
+    return [(k, v) for k, v in ((k, _one_line(v)) for k, v in out) if v]
 
 
 def _one_line(text: str) -> str:
@@ -87,6 +151,51 @@ def split_http(block: bytes) -> tuple[str, bytes]:
     return (head.decode("utf-8", "replace"), payload) if gap else ("", block)
 
 
+def _unchunked(payload: bytes) -> bytes:
+    """The body of chunks; what does not look like one is taken as it is from there on."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(payload[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join([*out, payload[at:]])
+
+
+def page_of(head: str, payload: bytes) -> str:
+    """The text of a payload: chunks joined, gzip and deflate undone, in the charset of the headers or of the page.
+
+    A payload that is not as its headers say counts as it stands, an unknown charset as UTF-8; bytes that are not valid
+    in it become replacement characters.
+    """
+    told = {}
+    for line in head.split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        told.setdefault(name.strip().lower(), value.strip().lower())
+    if "chunked" in told.get("transfer-encoding", ""):
+        payload = _unchunked(payload)
+    coding = told.get("content-encoding", "")
+    for wbits in (47,) if "gzip" in coding else (15, -15) if "deflate" in coding else ():
+        unpacked = zlib.decompressobj(wbits)
+        try:
+            payload = unpacked.decompress(payload) + unpacked.flush()
+            break
+        except zlib.error:
+            continue
+    named = _CHARSET.search(told.get("content-type", "").encode()) or _CHARSET.search(payload[:2048])
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if payload.startswith(mark):
+            return payload[len(mark) :].decode(name, "replace")
+    try:
+        return payload.decode(named[1].decode() if named else "utf-8", "replace")
+    except (LookupError, UnicodeError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
 def serialize(record: dict) -> bytes:
     """A record as it stands in a WARC file."""
     block = record["block"] or b""
@@ -97,28 +206,61 @@ def serialize(record: dict) -> bytes:
 
 
 def parse(data: bytes) -> list[dict]:
-    """The records of a WARC file, in order. A block is as long as its header says, whatever is in it."""
+    """The records of a WARC file, plain or gzipped, in order.
+
+    A block is as long as its header says, whatever is in it; without a length it goes up to the next record. A header
+    line without a colon does not count, one that begins with white space goes on with the line before. What stands
+    before a record's version is skipped. A record that is cut short is told as far as it goes.
+    """
+    if data[:2] == b"\x1f\x8b":
+        data = _gunzipped(data)
     of = {h.lower(): c for c, h in HEADERS.items()} | {SOURCE_HEADER.lower(): "source_headers"}
-    out, at = [], 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("a record does not begin with its version")
-        named = [line.split(":", 1) for line in lines[1:]]
+    out, found = [], _VERSION.search(data)
+    while found:
+        head = _HEAD_END.search(data, found.end())
+        start = head.end() if head else len(data)
+        lines: list[str] = []
+        for line in data[found.end() : head.start() if head else len(data)].decode("utf-8", "replace").replace("\r\n", "\n").split("\n"):
+            if line[:1] in (" ", "\t") and lines:
+                lines[-1] += " " + line.strip()
+            else:
+                lines.append(line)
         record: dict = dict.fromkeys(RECORD)
-        length = 0
-        for name, value in named:
-            if name.lower() == "content-length":
-                length = int(value)
-            elif name.lower() in of:
-                record[of[name.lower()]] = value.strip()
-        record["block"] = data[end + 4 : end + 4 + length]
+        length = None
+        for line in lines:
+            name, colon, value = line.partition(":")
+            if colon and name.strip().lower() == "content-length":
+                length = int(value) if value.strip().isdecimal() else None
+            elif colon and name.strip().lower() in of:
+                record[of[name.strip().lower()]] = value.strip()
+        if length is None:
+            after = _VERSION.search(data, start)
+            record["block"] = data[start : after.start() if after else len(data)].removesuffix(b"\r\n\r\n")
+        else:
+            record["block"] = data[start : start + length]
+            after = _VERSION.search(data, start + length)
         out.append(record)
-        at = end + 4 + length + 4
+        found = after
     return out
 
 
+_VERSION = re.compile(rb"(?:\A|(?<=\n))WARC/\d[^\r\n]*\r?\n")
+_HEAD_END = re.compile(rb"(?:\r?\n|(?<=\n))\r?\n")
+
+
+def _gunzipped(data: bytes) -> bytes:
+    """All members of a gzip file, as far as they are whole."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data) + member.flush())
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def response(uri: str | None, page: str | None, key: str, date: str) -> dict:
     """The response record of a stored page, as a server would have sent it."""
     payload = (page or "").encode()
@@ -134,7 +276,7 @@ def response(uri: str | None, page: str | None, key: str, date: str) -> dict:
 def derive(source: dict) -> list[dict]:
     """The metadata and the conversion record of a response, each of which names the other's source."""
     head, payload = split_http(source["block"] or b"")
-    page = payload.decode("utf-8", "replace")
+    page = page_of(head, payload)
     linked = {
         "target_uri": source["target_uri"], "date": source["date"], "refers_to": source["record_id"],
         "refers_to_target_uri": source["target_uri"], "refers_to_date": source["date"],
@@ -185,7 +327,7 @@ def responses(
 def derivatives(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of the response records among ``records``; others have none.
 
-    Same columns; two rows for each response. Text is decoded as UTF-8, with what is not valid replaced. A record
+    Same columns; two rows for each response. Chunks, gzip and charsets are undone (:func:`page_of`). A record
     with no payload gives an empty text and a metadata record without page fields.
     """
     frame = records.where("warc_type = 'response'").select("row", *RECORD)
