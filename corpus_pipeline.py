@@ -6,7 +6,7 @@ Each stage gets what the one before kept, written as Parquet and read again, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm.byte_bpe import encode
@@ -17,10 +17,19 @@ from spoor.llm.substring_dedup import remove_repeats
 from spoor.llm.toxicity import score, train
 
 
+def _row(columns: list[str]) -> Column:
+    """Columns as one, so that none clashes with what an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns] or [F.lit(0).alias("none")]).alias("row")
+
+
+def _columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes to be toxic go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _columns(score(docs.select("text", _row(docs.columns)), model).where("predicted = 0"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages of 13 words or more that an earlier document has go; n_chars follows the text."""
-    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = remove_repeats(docs, keep=keep)
-    if "n_chars" in keep:
-        n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = remove_repeats(docs.select("doc_id", "text", _row(rest)), keep=["row"])
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in rest:
+        n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("row.n_chars"))
+        own["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as ids, with the digest of what they decode to."""
     out = encode(docs, decoded=True)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded_sha256")]
     return out.select(*[F.col(f"`{c}`") for c in rest], "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
