@@ -7,8 +7,10 @@
 3. Groups of more than one block: signatures of the pairs are compared in batches. After each one, pairs whose
    similarity reaches the threshold with less than the chosen miss probability, given the matches so far, are
    dropped. Survivors are verified on full sets, first the best of each class, then those not connected yet.
-4. In every group that still holds more than one component, classes of different components are compared in the same
-   way, block by block, and verified on full sets within the block; only links that connect something leave it.
+4. What is not connected yet is looked for bucket by bucket: in every bucket that still holds several components, classes
+   of different components are compared in the same way and verified on full sets; only links that connect something
+   leave the task. A small group is one such task, in which again only classes that share a band are compared. So a set
+   is sent at most once for each of its bands, unless a single bucket is larger than a block.
 
 Components come from alternating stars on the links. Intermediate tables are written to the shared folder, so work
 is not repeated and lost executors cost their tasks only. Nothing is collected but counts.
@@ -33,8 +35,10 @@ from spoor.llm.workers import grouped, streaming
 VALUES, BAND = 128, 4
 #: Values that are compared before the next look at the posterior.
 BATCH = 32
-#: Classes of a group, and shingles of them, that make a block; two blocks are compared in one task.
+#: Classes of a group or bucket, and shingles of them, that make a block; two blocks are compared in one task.
 BLOCK, BLOCK_SHINGLES = 256, 4_000_000
+#: Pairs of one pivot that are verified together.
+SALT = 256
 #: Shingles of two blocks, and pairs, that are held as bits and verified at a time.
 BITS, PAIRS = 1 << 16, 20_000
 
@@ -138,12 +142,14 @@ def block_links(
     sig: np.ndarray, sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray,
     similarity: float, miss: float,
 ) -> list[tuple[int, int]]:
-    """Links between rows ``left`` and ``right`` of different labels, as many as connect what all links connect."""
+    """Links between rows ``left`` and ``right`` of different labels that share a band, as many as connect what all connect."""
     size = np.array([len(s) for s in sets])
     percent = round(similarity * 100)
+    bands = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), -1)
     found = []
     for x in left:
         others = right[(label[right] != label[x]) & (right != x)]
+        others = others[(bands[others] == bands[x]).any(axis=1)]
         # Sets of sizes too far apart cannot be similar enough.
         others = others[100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])]
         rows, matches = surviving(np.broadcast_to(sig[x], (len(others), VALUES)), sig[others], similarity, miss)
@@ -287,9 +293,17 @@ def near_duplicates(
     )
 
     def verified(some: DataFrame) -> DataFrame:
-        """The links among pairs (a, b), by the sizes of intersection and union of their full sets."""
-        one = some.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        two = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        """The links among pairs (a, b), by the sizes of intersection and union of their full sets.
+
+        The pairs of a frequent b are dealt by salts, and b's set goes once to each.
+        """
+        many = some.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+        salted = some.select("a", "b").join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int"))
+        one = salted.select("a", "b", "salt").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+        other = sets.join(many.withColumnRenamed("b", "node"), "node").select(
+            F.col("node").alias("b"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+        )
+        two = one.join(other, ["b", "salt"])
         inter = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - inter
         return two.where(inter * 100 >= union * percent).select("a", "b")
@@ -317,13 +331,17 @@ def near_duplicates(
         links = tables.keep(links.unionAll(verified(rest)))
         labels = tables.keep(components(links, tables))
 
-    # What is not connected yet, within each group.
-    split = labelled(sets, labels, "node").withColumnRenamed("lnode", "label")
-    mixed = split.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-    split = split.join(mixed.join(sizes, "g"), "g")
-    split = split.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    # What is not connected yet: within each small group, and within the buckets of the others.
+    nodes = labelled(sets.select("node", "g", F.size("s").alias("held")), labels, "node").withColumnRenamed("lnode", "label").join(sizes, "g")
+    cell = lambda of, bucket: F.struct(F.col(of).alias("of"), F.lit(bucket).alias("bucket")).alias("cell")
+    small = nodes.where("blocks = 1").select(cell("g", False), "node", "label", "held")
+    members = small.unionAll(dealt.join(nodes.where("blocks > 1"), "node").select(cell("bucket", True), "node", "label", "held"))
+    mixed = members.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum("held").alias("held"))
+    mixed = tables.keep(mixed.where("x <> y").select("cell", blocks.alias("blocks")))
+    split = members.drop("held").join(mixed, "cell").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "sig", "s")
+    split = split.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label")
+    split = split.join(sets.select("node", "sig", "s"), "node")
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
@@ -334,7 +352,7 @@ def near_duplicates(
         ends = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
 
-    more = split.groupBy("g", "i", "j").applyInArrow(grouped(block), "a long, b long")
+    more = split.groupBy("cell", "i", "j").applyInArrow(grouped(block), "a long, b long")
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = tables.keep(components(known.unionAll(more), tables))
 
@@ -372,3 +390,20 @@ def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Components of near-duplicates among all texts of ``documents``, with shingles of four words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, shingle=4).drop("text_hash")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                 ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS h
+  FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT a AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a, n
+"""

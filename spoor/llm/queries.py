@@ -6,7 +6,7 @@ from spoor.llm.byte_bpe import op7_byte_bpe
 from spoor.llm.decontamination import OP3_SQL, op3_decontamination
 from spoor.llm.language_model import op6_language_model
 from spoor.llm.license_scan import op4_license_scan
-from spoor.llm.near_dedup import op2_near_dedup
+from spoor.llm.near_dedup import OP2_SQL, op2_near_dedup
 from spoor.llm.quality_classifier import op8_quality_classifier
 from spoor.llm.quality_rules import OP9_SQL, op9_quality_rules
 from spoor.llm.substring_dedup import OP1_SQL, op1_substring_dedup
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_near_dedup": OP2_SQL,
     "op3_decontamination": OP3_SQL,
     "op9_quality_rules": OP9_SQL,
 }
