@@ -23,38 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spoor.llm.license_texts import templates
 from spoor.llm.tokens import NON_ALNUM, Words, slices, words_of
 from spoor.llm.workers import streaming
 
 #: Short phrases and their labels; each place where one stands is reported.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Excerpts of common licenses, by label: openings and notice lines, no whole texts; four are lines of the test tables.
-TEMPLATES = {
-    "mit-notice": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    ],
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0",
-    ],
-    "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
-    ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met",
-    ],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0."],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-}
+#: License texts and notices, by label.
+TEMPLATES = templates()
 
 
 class Span(NamedTuple):
@@ -82,16 +58,14 @@ class Automaton:
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[set[tuple[int, int]]] = [set()]
+        last_of: list[tuple[int, tuple[int, int]]] = []
         for number, run in enumerate(runs):
             last = 0
             for at, word in enumerate(run):
-                last = self._extend(last, word, ends)
+                last = self._extend(last, word)
                 if number < len(texts):
-                    ends[last].add((number, at + 1))
-        for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            ends[self.link[state]] |= ends[state]
-        self.ends = [sorted(e) for e in ends]
+                    last_of.append((last, (number, at + 1)))
+        self._place(last_of)
         self.single = np.array(sorted({r[0] for r in runs if len(r) == 1}), dtype=np.int64)
         self.phrases = [(label, len(run)) for label, run in zip(phrases.values(), runs[len(texts) :], strict=True)]
         own: dict[int, list[int]] = defaultdict(list)
@@ -104,35 +78,59 @@ class Automaton:
         for state in sorted(range(1, len(self.link)), key=lambda s: self.length[s]):
             self.phrases_at[state] = own[state] + self.phrases_at[self.link[state]]
 
-    def _copy(self, of: int, length: int, ends: list[set]) -> int:
+    def _place(self, last_of: list[tuple[int, tuple[int, int]]]) -> None:
+        """Keeps where in templates the runs of each state end, each place once: a state's are those of the states that
+        link to it, so in the order of a walk through the links they are one stretch of a list."""
+        below: list[list[int]] = [[] for _ in self.link]
+        for state in range(1, len(self.link)):
+            below[self.link[state]].append(state)
+        own: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for state, end in last_of:
+            own[state].append(end)
+        self.places: list[tuple[int, int]] = []
+        self.first, self.stop = [0] * len(self.link), [0] * len(self.link)
+        walk = [(0, False)]
+        while walk:
+            state, done = walk.pop()
+            if done:
+                self.stop[state] = len(self.places)
+                continue
+            self.first[state] = len(self.places)
+            self.places += own.get(state, ())
+            walk.append((state, True))
+            walk += [(s, False) for s in below[state]]
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """(template, words) where a state's runs end."""
+        return self.places[self.first[state] : self.stop[state]]
+
+    def _copy(self, of: int, length: int) -> int:
         self.next.append(dict(self.next[of]))
         self.link.append(self.link[of])
         self.length.append(length)
-        ends.append(set())
         return len(self.link) - 1
 
-    def _extend(self, last: int, word: int, ends: list[set]) -> int:
+    def _extend(self, last: int, word: int) -> int:
         known = self.next[last].get(word)
         if known is not None and self.length[known] == self.length[last] + 1:
             return known
         if known is not None:
-            return self._split(last, word, known, ends)
+            return self._split(last, word, known)
         state = len(self.link)
         self.next.append({})
         self.link.append(0)
         self.length.append(self.length[last] + 1)
-        ends.append(set())
         at = last
         while at >= 0 and word not in self.next[at]:
             self.next[at][word] = state
             at = self.link[at]
         if at >= 0:
             to = self.next[at][word]
-            self.link[state] = to if self.length[to] == self.length[at] + 1 else self._split(at, word, to, ends)
+            self.link[state] = to if self.length[to] == self.length[at] + 1 else self._split(at, word, to)
         return state
 
-    def _split(self, at: int, word: int, to: int, ends: list[set]) -> int:
-        twin = self._copy(to, self.length[at] + 1, ends)
+    def _split(self, at: int, word: int, to: int) -> int:
+        twin = self._copy(to, self.length[at] + 1)
         self.link[to] = twin
         while at >= 0 and self.next[at].get(word) == to:
             self.next[at][word] = twin
@@ -175,18 +173,20 @@ class Automaton:
         for first, last in zip(np.flatnonzero(inside & ~joined[:-1]), np.flatnonzero(inside & ~joined[1:]), strict=True):
             yield int(text[first]), int(first - words.first[text[first]]), number[first : last + 1].tolist()
 
-    def matches(self, found: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int]]:
+    def matches(self, found: list[tuple[int, int]], least: int, whole: int = 0) -> list[tuple[int, int, int, int]]:
         """(template, text start, template start, words) of the longest matches of a stretch, in the order of their ends.
 
-        found: the matching statistics. A match has ``least`` words or is a whole template; it cannot be made longer,
-        and lies in no longer match of the same template.
+        found: the matching statistics. A match has ``least`` words or is a whole template, as it must be of those of up
+        to ``whole`` words; it cannot be made longer, and lies in no longer match of the same template.
         """
         ending: list[dict[tuple[int, int], int]] = []
+        enough = [n if n <= whole else min(least, n) for n in self.sizes]
+        shortest = min(enough, default=least)
         for state, length in found:
             here: dict[tuple[int, int], int] = {}
-            while state > 0:
-                for template, end in self.ends[state]:
-                    if length >= min(least, self.sizes[template]):
+            while state > 0 and length >= shortest:
+                for template, end in self.ends(state):
+                    if length >= enough[template]:
                         here.setdefault((template, end), length)
                 state = self.link[state]
                 length = self.length[state]
@@ -234,16 +234,30 @@ class Automaton:
         return out
 
 
+def own_spans(spans: list[Span], enough: float) -> list[Span]:
+    """Spans that cover enough of their templates, in order, but for those within one that covers more of its own: licenses of one
+    family share most of their words."""
+    some = sorted((s for s in spans if s.covered >= enough), key=lambda s: s[1:])
+    best: list[Span] = []
+    for s in sorted(some, key=lambda s: (-s.covered, s.start, -s.end)):
+        if not any(t.covered > s.covered and t.start <= s.start and s.end <= t.end for t in best):
+            best.append(s)
+    return [s for s in some if s in best]
+
+
 def scan(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None,
-    phrases: dict[str, str] | None = None, least: int = 3, gap: int = 8, enough: float = 0.6,
+    phrases: dict[str, str] | None = None, least: int = 5, whole: int = 10, gap: int = 8,
+    enough: float = 0.6,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, places (array of structs label, start: each phrase in the
     text), spans (array of structs label, start, end, covered), score (largest share covered, 0 to 1).
 
     Words are runs of ASCII letters, digits and other characters than ASCII, A-Z lower-cased; the first is 0.
-    least  : words of the shortest match that is chained, or fewer if the template has no more; gap: words that a chain may skip in text and template
-    enough : the share of a template that a reported span covers
+    least  : words of the shortest match that is chained, or fewer if the template has no more
+    whole  : templates of up to so many words, as notices are, match as a whole or not at all
+    gap    : words that a chain may skip in text and template
+    enough : the share of a template that a reported span covers; one within another that covers more of its own is not reported
 
     A null text counts as empty and has neither. Texts are streamed whole; working memory is that of a few MB of
     text, or of one longer text. Rows with equal ids are apart. Other columns do not matter.
@@ -271,10 +285,10 @@ def scan(
                             label, size = automaton.phrases[number]
                             if size <= length:
                                 places[of].append({"label": label, "start": first + at + 1 - size})
-                    matches[of] += [(t, first + start, from_, n) for t, start, from_, n in automaton.matches(found, least)]
+                    matches[of] += [(t, first + start, from_, n) for t, start, from_, n in automaton.matches(found, least, whole)]
                 spans = [automaton.spans(m, gap) for m in matches]
                 score = [max((s.covered for s in many), default=0.0) for many in spans]
-                told = [[s._asdict() for s in sorted(many, key=lambda s: s[1:]) if s.covered >= enough] for many in spans]
+                told = [[s._asdict() for s in own_spans(many, enough)] for many in spans]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, rows), pa.array(words.counts, pa.int64()),
