@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-1. Voters are made from a bounded sample of labelled rows: lexicons of words and patterns of word beginnings that
-   stand mostly in toxic texts, dealt into several of each, and one that votes clean where no term stands at all.
-2. A generative label model estimates by EM, without the labels, how often each voter speaks in either class, and
-   how voters that speak together beyond what the class explains are to be counted less.
+1. Voters are made from a bounded sample of labelled rows: lexicons of whole words, and patterns of word beginnings of
+   one length, that stand mostly in toxic texts; several of each, and one that votes clean where no term stands at all.
+2. A generative label model is fitted by EM without the labels. In either class the voters are a tree: how often each
+   speaks depends on the class and on the voter that it goes along with most (the tree of most mutual information given
+   the class), so that accuracies and correlations are estimated together and voters that say the same count once.
 3. A linear classifier over hashed words and word beginnings is trained on the model's posterior labels. It gives
    the scores.
 """
@@ -32,12 +33,16 @@ BEGINNINGS = (0, 4, 5, 6)
 SURE = 24
 #: Least log odds of a term that a voter speaks for; chosen by threefold cross-validation on rows that are not held out.
 PRECISE = 3.0
+#: Voters of each kind: lexicons, and patterns of each length of beginnings.
+VOTERS = (8, 4, 4, 4)
+#: The lowest bits of a term tell its kind, by place in BEGINNINGS.
+_KIND = U64(3)
 
 
 def term_hashes(column: pa.Array, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(text, term) of each word and word beginning: words between spaces, A-Z lower-cased, outer ASCII punctuation off.
 
-    A term is a hash of 40 bits. places: 24 more bits, the lower ones, tell the words before and after.
+    A term is a hash of 38 bits and 2 bits for its kind. places: 24 more bits, the lower ones, tell the words before and after.
     """
     words = words_of(column, SPACES, lower=True)
     start, end = words.start.copy(), words.end.copy()
@@ -50,12 +55,12 @@ def term_hashes(column: pa.Array, places: bool = False) -> tuple[np.ndarray, np.
         near = words.hashes()
         around = mix(np.r_[U64(0), near[:-1]] ^ mix(np.r_[near[1:], U64(0)])) >> U64(40)
     texts, terms = [], []
-    for size in BEGINNINGS:
+    for kind, size in enumerate(BEGINNINGS):
         long = slice(None) if not size else np.flatnonzero(end - start > size)
         a, z = start[long], end[long]
         h = words.hashes(a, np.minimum(z, a + size) if size else z)
         texts.append(text[long])
-        h = mix(h ^ U64(mix_int(size))) >> U64(24)
+        h = (mix(h ^ U64(mix_int(size))) >> U64(24)) & ~_KIND | U64(kind)
         terms.append((h << U64(24)) | around[long] if places else h)
     return np.concatenate(texts), np.concatenate(terms)
 
@@ -87,29 +92,54 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
+def _tree(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each voter the one that it goes along with, -1 for the first: the tree of most mutual information given the class."""
+    n, voters = votes.shape
+    shared = np.zeros((voters, voters))
+    for w in weight:
+        total = w.sum() + 1e-9
+        one = (w @ votes + 0.5) / (total + 1)
+        both = ((votes * w[:, None]).T @ votes + 0.25) / (total + 1)
+        for a, b, joint in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one[None, :] - both), (1 - one, 1 - one, 1 - one[:, None] - one[None, :] + both)):
+            joint = np.maximum(joint, 1e-9)
+            shared += total * joint * np.log(joint / np.outer(a, b))
+    parent, best = np.full(voters, -1), shared[0].copy()
+    along, open_ = np.zeros(voters, dtype=np.int64), np.ones(voters, dtype=bool)
+    open_[0] = False
+    while open_.any():
+        new = int(np.where(open_, best, -np.inf).argmax())
+        parent[new], open_[new] = along[new], False
+        closer = open_ & (shared[new] > best)
+        best[closer], along[closer] = shared[new][closer], new
+    return parent
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> np.ndarray:
     """The posterior of class 1 for each row of boolean votes (rows x voters), without labels.
 
-    Each voter speaks at a rate of its own in either class. A voter's evidence is divided by the sum of its squared
-    correlations with all voters within the classes, so voters that say the same count once. The rates start from
-    the rows in which most voters for class 1 speak; the last voter speaks for class 0.
+    A latent class whose voters form a tree: each speaks at a rate of its own in either class, given whether its parent
+    speaks. The tree is found anew in the first rounds of EM and then stays. The rates start from the rows in which any
+    voter for class 1 speaks; the last voter speaks for class 0.
     """
     n, voters = votes.shape
     if not n:
         return np.zeros(0)
     v = votes.astype(float)
     posterior = np.where(v[:, :-1].any(axis=1), 0.9, 0.05)
-    for _ in range(rounds):
+    parent = np.full(voters, -1)
+    for step in range(rounds):
         weight = np.stack([1 - posterior, posterior])
-        rate = (weight @ v + 0.5) / (weight.sum(axis=1, keepdims=True) + 1)
-        rest = v - posterior[:, None] * rate[1] - (1 - posterior)[:, None] * rate[0]
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-        shared = ((rest.T @ rest) / n / np.outer(spread, spread)) ** 2
-        count = 1 / np.maximum(1, shared.sum(axis=0))
-        on, off = np.log(rate[1] / rate[0]) * count, np.log((1 - rate[1]) / (1 - rate[0])) * count
-        logit = np.log(prior / (1 - prior)) + v @ on + (1 - v) @ off
+        if step < 5:
+            parent = _tree(v, weight)
+        above = np.where(parent[None, :] >= 0, v[:, parent], 0.0)
+        logit = np.full(n, np.log(prior / (1 - prior)))
+        for sign, w in zip((-1, 1), weight, strict=True):
+            spoke, asked = (w @ (above * v) + 0.5), (w @ above + 1)
+            silent_spoke, silent = (w @ ((1 - above) * v) + 0.5), (w @ (1 - above) + 1)
+            rate = np.where(above > 0, spoke / asked, silent_spoke / silent)
+            logit += sign * np.where(votes, np.log(rate), np.log1p(-rate)).sum(axis=1)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - posterior).max() < 1e-4:
+        if step >= 5 and np.abs(new - posterior).max() < 1e-4:
             return new
         posterior = new
     return posterior
@@ -199,7 +229,7 @@ def features(sample: DataFrame, terms: np.ndarray) -> pa.Table:
     return sample.select("id", "text", "y").mapInArrow(streaming(work), schema).toArrow().sort_by("id")
 
 
-def fit(terms: np.ndarray, odds: np.ndarray, sure: np.ndarray, held: list[np.ndarray], y: np.ndarray, bias: float, *, voters: int = 6, steps: int = 300) -> Model:
+def fit(terms: np.ndarray, odds: np.ndarray, sure: np.ndarray, held: list[np.ndarray], y: np.ndarray, bias: float, *, steps: int = 300) -> Model:
     """A model from labelled texts.
 
     terms, odds, sure: the chosen terms, ascending, and what is known of them; held: the terms of each text, by
@@ -208,11 +238,14 @@ def fit(terms: np.ndarray, odds: np.ndarray, sure: np.ndarray, held: list[np.nda
     toxic, clean = int(y.sum()), int(len(y) - y.sum())
     owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
     feature = np.concatenate(held).astype(np.int64)
-    # Voters: terms that stand mostly in toxic texts, the surest first, dealt out.
-    lexicon = np.flatnonzero(odds > PRECISE)
-    lexicon = lexicon[np.argsort(-sure[lexicon], kind="stable")]
+    # Voters: terms that stand mostly in toxic texts, the surest first, dealt to the voters of their kind.
+    voters = sum(VOTERS)
     speaker = np.full(len(terms), -1)
-    speaker[lexicon] = np.arange(len(lexicon)) % voters
+    kind = (terms & _KIND).astype(np.int64)
+    for k, (first, many) in enumerate(zip(np.cumsum((0, *VOTERS)), VOTERS, strict=False)):
+        own = np.flatnonzero((odds > PRECISE) & (kind == k))
+        own = own[np.argsort(-sure[own], kind="stable")]
+        speaker[own] = first + np.arange(len(own)) % many
     votes = np.zeros((len(held), voters + 1), dtype=bool)
     speaks = speaker[feature] >= 0
     votes[owner[speaks], speaker[feature[speaks]]] = True
