@@ -55,7 +55,7 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def pieces(df: DataFrame, each_mb: float, most: int = 1 << 17) -> int:
+def pieces(df: DataFrame, each_mb: float) -> int:
     """Into how many pieces of ``each_mb`` the input goes: as many as shuffle partitions at least.
 
     Of a frame whose size Catalyst does not know (one made from rows), as many as it has partitions.
@@ -63,4 +63,4 @@ def pieces(df: DataFrame, each_mb: float, most: int = 1 << 17) -> int:
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = size_in_bytes(df)
     wanted = size / (each_mb * 1e6) if size < UNKNOWN else df.rdd.getNumPartitions()
-    return max(1, least, min(most, int(wanted)))
+    return max(1, least, int(wanted))

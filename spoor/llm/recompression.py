@@ -115,4 +115,5 @@ def window_groups(names: np.ndarray, first: np.ndarray, window: int, levels: int
     begin = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | own[1:] | (which[1:] != which[:-1])])
     count = np.diff(np.r_[begin, total])
     start = at[begin]
-    return Groups(best_key[begin], spans(start, count + window - 1), start, count, which[begin]), spans
+    # Contents have hashes of their own, which say nothing of the anchors'.
+    return Groups(best_key[begin], Spans(names, 1)(start, count + window - 1), start, count, which[begin]), spans

@@ -18,7 +18,7 @@ shuffles Spark can rebuild; nothing is collected or broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -30,11 +30,15 @@ from pyspark.sql import types as T
 from spoor.llm.blobs import pack, pieces, shard_cuts, unpack
 from spoor.llm.recompression import Groups, window_groups
 from spoor.llm.tokens import SPACES, U64, Spans, Words, buffers, slices, words_of
-from spoor.llm.workers import grouped
+from spoor.llm.workers import grouped, streaming
 
 MAIL = "shard int, batch int, n int, blob binary"
 ANSWER = "batch int, shard int, kind int, n int, blob binary"
 _WIDTHS = [8, 6, 8]
+_NO_ANSWERS = pa.table({
+    "batch": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "n": pa.array([], pa.int32()),
+    "blob": pa.array([], pa.binary()),
+})
 _LOW48, _LOW32 = U64((1 << 48) - 1), U64((1 << 32) - 1)
 
 
@@ -245,7 +249,9 @@ def remove_repeats(
         F.struct(*[F.col(f"`{c}`") for c in row] or [F.lit(0).alias("none")]).alias("row"),
     )
     batches, shards = pieces(frame, 5), pieces(frame, 64)
-    frame = frame.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
+    # Documents without an id meet no others, so they are not dealt.
+    alone = frame.where("id IS NULL")
+    frame = frame.where("id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
 
     def reveal(key: tuple, table: pa.Table) -> pa.Table:
         return _mail(key[0].as_py(), _group_entries(_parts(table["id"], table["text"], window, levels)), shards)
@@ -312,11 +318,17 @@ def remove_repeats(
             "row": table["row"],
         })
 
+    def cut_alone(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for row, rows in slices(batch.column(1), 1 << 23):
+                yield from cut((), pa.Table.from_batches([batch.slice(row, rows)]), _NO_ANSWERS).combine_chunks().to_batches()
+
     dealt = frame.groupBy("batch")
     groups = dealt.applyInArrow(grouped(reveal), MAIL).groupBy("shard").applyInArrow(grouped(judge_groups), ANSWER)
     edges = dealt.cogroup(groups.groupBy("batch")).applyInArrow(grouped(reveal_edges), MAIL)
     windows = edges.groupBy("shard").applyInArrow(grouped(judge_windows), ANSWER)
     out = dealt.cogroup(groups.unionAll(windows).groupBy("batch")).applyInArrow(grouped(cut), out_schema)
+    out = out.unionAll(alone.mapInArrow(streaming(cut_alone), out_schema))
     return out.select(
         F.col("id").alias(id), F.col("text").alias(text), "n_words", "n_removed", "removed",
         *[F.col(f"row.`{c}`").alias(c) for c in row],
