@@ -1,95 +1,186 @@
-"""Command line: ``analyze DIRECTORY [--library FILE]`` and ``sniff PATH [-r] [-o FILE] [-f text|json] [--denylist FILE]``."""
+"""Command line: ``analyze``, ``sniff``, ``logs``, ``watch`` and ``links``; see ``--help``."""
 
 from __future__ import annotations
 
 import argparse
 import os
 import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.operators import callgraph, footprint, report
+from spoor.functions import fixed
+from spoor.operators import callgraph, footprint, irlog, report
+from spoor.operators import links as link_operators
 from spoor.operators.functions import definitions, entry_point, functions
-from spoor.sources.corpus import denylist, library_file, listings, pseudo_c_directory
+from spoor.sources.corpus import denylist, ledger, library_file, listings, log_lines, logs, pseudo_c_directory, read_files
+from spoor.sources.shared import kept, write_files
+from spoor.streaming.ledger import monitor
 
+ANALYSIS = ("organized_code.txt", "flow_chart.txt", "missing_functions.txt", "all_functions.txt")
 
-def analyze(spark: SparkSession, directory: str, *, library: str = "library.txt", out: str = ".") -> dict[str, str]:
-    """The four files of the analyzer, written to ``out``; none if no function is found."""
-    names = ("organized_code.txt", "flow_chart.txt", "missing_functions.txt", "all_functions.txt")
-    for name in names:
+
+def _write(path: str, parts: Iterator[str], between: str = "") -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        for i, part in enumerate(parts):
+            f.write((between if i else "") + part)
+
+
+class Texts(Mapping):
+    """The texts of files by name, read when they are asked for."""
+
+    def __init__(self, folder: str, names: Sequence[str]):
+        self.folder, self.names = folder, names
+
+    def __getitem__(self, name: str) -> str:
+        if name not in self.names:
+            raise KeyError(name)
+        with open(f"{self.folder}/{name}", encoding="utf-8") as f:
+            return f.read()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+def analyze(
+    spark: SparkSession, directory: str, *, library: str = "library.txt", out: str = ".", tell: Callable[[str], None] = lambda _: None
+) -> Texts:
+    """The four files of the analyzer, written to ``out``; none if no function is found. Files of an earlier run go first.
+
+    Bodies go to their file one by one.
+    """
+    for name in ANALYSIS:
         if os.path.exists(f"{out}/{name}"):
             os.remove(f"{out}/{name}")
     corpus = pseudo_c_directory(spark, directory)
-    found = definitions(corpus).cache()
-    defined = functions(found).cache()
+    found = kept(definitions(corpus), "definitions")
+    defined = kept(functions(found), "functions")
     if defined.isEmpty():
-        return {}
-    edges = callgraph.calls(defined).cache()
-    missed = callgraph.missing(edges, defined)
-    kept = callgraph.kept_names(defined, missed, [p for _, p in library_file(library)]).cache()
-    order = callgraph.flow(defined, edges, entry_point(found)).cache()
+        return Texts(out, ())
+    edges = kept(callgraph.calls(defined), "calls")
+    missed = kept(callgraph.missing(edges, defined), "missing")
+    own = kept(callgraph.kept_names(defined, missed, [p for _, p in library_file(library)]), "names")
+    order = kept(callgraph.flow(defined, edges, entry_point(found)), "flow")
+    first = entry_point(found).first()
+    n = callgraph.counts(found, defined, missed, own).first()
+    tell(f"processed file '0': found {n.in_entry} functions")
+    tell(f"entry point function: {first.name if first else None}")
+    tell(f"total functions found across all files: {n.functions}")
+    if n.unclassified:
+        tell(f"new functions to classify: {n.unclassified}")
+    blocks = callgraph.code_blocks(order, defined, own).orderBy("seq").select("block")
+    head = f"=== ORGANIZED CODE ===\ntotal functions included: {n.kept_found}\n\n=== FUNCTIONS IN EXECUTION ORDER ===\n\n"
+    _write(f"{out}/organized_code.txt", (p for x in ([head], (r.block + "\n" for r in blocks.toLocalIterator())) for p in x))
     one = corpus.select("corpus_id").limit(1)
     frames = {
-        "organized_code.txt": callgraph.organized_code(order, defined, kept), "flow_chart.txt": callgraph.flow_chart(order, edges, kept),
-        "missing_functions.txt": callgraph.missing_text(one, missed, kept), "all_functions.txt": callgraph.classification_text(one, defined, kept),
+        "flow_chart.txt": callgraph.flow_chart(order, edges, own), "missing_functions.txt": callgraph.missing_text(one, missed, own),
+        "all_functions.txt": callgraph.classification_text(one, defined, own),
     }
-    empty = {"organized_code.txt": "=== ORGANIZED CODE ===\ntotal functions included: 0\n\n=== FUNCTIONS IN EXECUTION ORDER ===\n\n", "flow_chart.txt": "=== FUNCTION CALL GRAPH ===\n"}
-    texts = {}
     for name, frame in frames.items():
         row = frame.first()
-        texts[name] = row["text"] if row else empty[name]
-        with open(f"{out}/{name}", "w", encoding="utf-8") as f:
-            f.write(texts[name])
-    return texts
+        _write(f"{out}/{name}", iter([row["text"] if row else "=== FUNCTION CALL GRAPH ===\n"]))
+    return Texts(out, ANALYSIS)
 
 
-def sniff(spark: SparkSession, path: str, *, recursive: bool = False, form: str = "text", deny: str | None = "denylist.txt") -> str | None:
-    """The report on a listing or a directory of them; None if nothing is found."""
+def scanned(spark: SparkSession, path: str, *, recursive: bool = False, deny: str | None = "denylist.txt") -> tuple[DataFrame, int]:
+    """The scanned listings of a file or a directory, and how many files there are."""
     terms = None
     if deny and os.path.exists(deny):
         with open(deny, encoding="utf-8") as f:
             terms = f.read()
     corpus = listings(spark, path, recursive=recursive, single=os.path.isfile(path))
     corpus = corpus.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    scanned = footprint.scan(corpus, deny=denylist(terms)).cache()
-    if scanned.isEmpty():
+    return kept(footprint.scan(corpus, deny=denylist(terms)), "scan"), corpus.select("path").count()
+
+
+def sniff(spark: SparkSession, path: str, *, recursive: bool = False, form: str = "text", deny: str | None = "denylist.txt") -> str | None:
+    """The report on a listing or a directory of them; None if nothing is found."""
+    rows, _ = scanned(spark, path, recursive=recursive, deny=deny)
+    if rows.isEmpty():
         return None
-    return report.json_report(scanned) if form == "json" else report.text_report(scanned)
+    return report.json_report(rows) if form == "json" else report.text_report(rows)
+
+
+def extract(spark: SparkSession, path: str, out: str, *, began: str, ended: str) -> list[str]:
+    """The code and the summary of each decompiler log, as files below ``out``; their names."""
+    whole = logs(spark, path).where("error IS NULL")
+    return write_files(irlog.log_files(whole, F.to_timestamp(F.lit(began)), F.to_timestamp(F.lit(ended))), out)
+
+
+def fresh_links(spark: SparkSession, directory: str, site: str, known: str | None) -> DataFrame:
+    """Download links of the pages of a directory, stored from ``site``, that the ledger file does not hold."""
+    pages = read_files(spark, directory, recursive=True).select(F.col("path").alias("page_id"), F.col("content").alias("html"), F.lit(site).alias("url"))
+    text = None
+    if known and os.path.exists(known):
+        with open(known, encoding="utf-8") as f:
+            text = f.read()
+    return link_operators.unseen(link_operators.links(pages, url="url"), ledger(spark, text))
 
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="spoor")
     commands = parser.add_subparsers(dest="command", required=True)
-    one = commands.add_parser("analyze")
+    one = commands.add_parser("analyze", help="functions and call graph of a directory of pseudo-C")
     one.add_argument("directory")
     one.add_argument("--library", default="library.txt")
-    two = commands.add_parser("sniff")
+    one.add_argument("--out", default=".")
+    two = commands.add_parser("sniff", help="indicators in disassembly listings")
     two.add_argument("path")
     two.add_argument("-r", "--recursive", action="store_true")
     two.add_argument("-o", "--output")
     two.add_argument("--denylist", default="denylist.txt")
     two.add_argument("-f", "--format", choices=["json", "text"], default="text")
+    three = commands.add_parser("logs", help="code and summary of decompiler logs")
+    three.add_argument("path")
+    three.add_argument("--out", default=".")
+    three.add_argument("--began", required=True, help="when the run began, as YYYY-MM-DD HH:MM:SS")
+    three.add_argument("--ended", required=True)
+    four = commands.add_parser("watch", help="progress of logs that grow, until a file is there")
+    four.add_argument("path")
+    four.add_argument("--until", required=True)
+    five = commands.add_parser("links", help="download links of stored pages that a ledger does not hold")
+    five.add_argument("directory")
+    five.add_argument("--site", default="")
+    five.add_argument("--ledger")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("spoor").getOrCreate()
     if given.command == "analyze":
         try:
-            analyze(spark, given.directory, library=given.library)
+            analyze(spark, given.directory, library=given.library, out=given.out, tell=print)
         except FileNotFoundError:
             print("there is no file called 0", file=sys.stderr)
             return 1
         return 0
+    if given.command == "logs":
+        print("\n".join(sorted(extract(spark, given.path, os.path.abspath(given.out), began=given.began, ended=given.ended))))
+        return 0
+    if given.command == "watch":
+        monitor(spark, given.path, lambda: os.path.exists(given.until))
+        return 0
+    if given.command == "links":
+        for r in fresh_links(spark, given.directory, given.site, given.ledger).orderBy("page_id", "ord").toLocalIterator():
+            print(r["link_id"], r["href"], r["text"])
+        return 0
     if not os.path.exists(given.path):
         print(f"path '{given.path}' does not exist", file=sys.stderr)
         return 1
-    text = sniff(spark, given.path, recursive=given.recursive, form=given.format, deny=given.denylist)
-    if text is None:
-        print("no IoCs found in the scanned files")
-    elif given.output:
-        with open(given.output, "w", encoding="utf-8") as f:
-            f.write(text)
+    rows, files = scanned(spark, given.path, recursive=given.recursive, deny=given.denylist)
+    for text in report.progress(files):
+        print(text, file=sys.stderr)
+    if rows.isEmpty():
+        print(fixed.NOTHING_FOUND)
+        return 0
+    parts, between = (report.json_lines(rows), "") if given.format == "json" else (report.text_lines(rows), "\n")
+    if given.output:
+        _write(given.output, parts, between)
     else:
-        print(text)
+        for i, part in enumerate(parts):
+            sys.stdout.write((between if i else "") + part)
+        sys.stdout.write("\n")
     return 0
 
 

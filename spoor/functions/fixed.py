@@ -171,3 +171,8 @@ CLASSIFICATION_HEAD = (
     "=== NEW FUNCTIONS TO CLASSIFY ===\n(add these to pseudo_C_analyzer_lib.txt under FUNCTIONS or NON-FUNCTIONS)\n"
 )
 CLASSIFIED_ALL = "all functions already classified in pseudo_C_analyzer_lib.txt\n"
+
+# --- Fixed values: what is told of files, and when there is nothing to report.
+PROGRESS_EVERY = 25
+PROGRESS = "Progress: {done}/{total} files processed"
+NOTHING_FOUND = "no IoCs found in the scanned files"

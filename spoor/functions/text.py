@@ -12,6 +12,33 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1C-\x1F]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, also where the body names it often or within a function of elements."""
+    return F.transform(F.array(value), body)[0]
+
+
+def one_decimal(value: Column) -> Column:
+    """A double with one decimal as C's ``%.1f`` gives it: by its exact value, halves to even.
+
+    Only a number that reads x.x5 can be off: then the sign of what its double is above or below that decides, found by an
+    exact product (the number in two halves times 100).
+    """
+    part = value * F.lit(134217729.0)
+    high = part - (part - value)
+    hundredths = F.round(value * 100, 0)
+    above = (high * 100 - hundredths) + (value - high) * 100
+    tie = (F.pmod(hundredths, F.lit(10.0)) == 5) & (F.abs(above) < 1e-6)
+    floor = (hundredths - 5) / 10
+    even = F.pmod(floor, F.lit(2.0)) == 0
+    up = (above > 0) | ((above == 0) & ~even)
+    return F.when(tie, (floor + F.when(up, 1.0).otherwise(0.0)) / 10).otherwise(F.round(value, 1))
+
+
+def ctime(at: Column) -> Column:
+    """A timestamp as C's ``ctime`` shows it."""
+    return F.concat(F.date_format(at, "EEE MMM "), F.lpad(F.date_format(at, "d"), 2, " "), F.date_format(at, " HH:mm:ss yyyy"))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
 

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoor.functions import fixed
+from spoor.functions.joins import without
 from spoor.functions.text import matches_any, wildcard
 from spoor.operators.functions import clean_name
-from spoor.sources.shared import kept
+from spoor.sources.shared import kept, shared_dir
 
 _CALLS = [re.compile(p, re.IGNORECASE | re.MULTILINE) for p in fixed.CALLS]
 DEPTH = 100
@@ -66,12 +67,19 @@ def kept_names(functions: DataFrame, missed: DataFrame, patterns: Iterable[str],
 
 
 def without_matches(names: DataFrame, library: DataFrame) -> DataFrame:
-    """Names that match no row ``pattern`` of a table of regular expressions, for libraries of any size."""
-    return names.join(library, F.expr("name RLIKE pattern"), "left_anti")
+    """Names that match no wildcard of a table (``exact``, ``pattern``), for libraries of any size.
+
+    Wildcards that are plain names are an equi-join; the others are broadcast in parts of checked size.
+    """
+    plain = library.where("exact IS NOT NULL").select(F.col("exact").alias("name")).distinct()
+    loose = library.where("exact IS NULL").select("pattern").distinct()
+    return without(names.join(plain, "name", "left_anti"), loose, "pattern", F.expr("name RLIKE pattern")).select(*names.columns)
 
 
 def library_table(spark, patterns: Iterable[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame([(s, wildcard(p)) for s, p in patterns], "section string, pattern string")
+    """(section, exact, pattern) of a library's wildcards: the name itself if it holds none, and the regular expression."""
+    rows = [(s, None if re.search(r"[*?\[]", p) else p, wildcard(p)) for s, p in patterns]
+    return spark.createDataFrame(rows, "section string, exact string, pattern string")
 
 
 def kept_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -80,18 +88,50 @@ def kept_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return edges.join(ends[0], ["corpus_id", "src"], "left_semi").join(ends[1], ["corpus_id", "dst"], "left_semi")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, functions: DataFrame, most: int = 1000) -> DataFrame:
-    """(corpus_id, name) of defined functions that calls lead to from the roots, by rounds over the frontier."""
+#: Calls of a corpus that one task walks through; larger corpora go by rounds.
+IN_ONE_TASK = 1_000_000
+
+
+def _walk(key: tuple, calls: pa.Table, roots: pa.Table) -> pa.Table:
+    after: dict[str, list[str]] = {}
+    for src, dst in zip(calls["src"].to_pylist(), calls["dst"].to_pylist(), strict=True):
+        after.setdefault(src, []).append(dst)
+    open_ = roots["name"].to_pylist()
+    seen = set(open_)
+    while open_:
+        for name in after.get(open_.pop(), ()):
+            if name not in seen:
+                seen.add(name)
+                open_.append(name)
+    return pa.table({"corpus_id": pa.array([key[0].as_py()] * len(seen), pa.string()), "name": pa.array(sorted(seen), pa.string())})
+
+
+def reachable(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> DataFrame:
+    """(corpus_id, name) of defined functions that calls lead to from the roots.
+
+    A corpus of up to ``IN_ONE_TASK`` calls between functions is walked through by one task. Larger ones go by rounds, as
+    many as the longest way has calls: each joins the functions found last with the calls and writes what is new.
+    """
+    spark = edges.sparkSession
+    schema = "corpus_id string, name string"
     defined = functions.select("corpus_id", "name")
     inside = kept(edges.join(defined.withColumnRenamed("name", "dst"), ["corpus_id", "dst"], "left_semi").select("corpus_id", "src", "dst"))
-    seen = frontier = kept(roots.join(defined, ["corpus_id", "name"], "left_semi").distinct())
-    for _ in range(most):
+    roots = kept(roots.join(defined, ["corpus_id", "name"], "left_semi").select("corpus_id", "name").distinct())
+    large = kept(inside.groupBy("corpus_id").agg(F.count("*").alias("n")).where(F.col("n") > IN_ONE_TASK).select("corpus_id"))
+    calls, first = (x.join(large, "corpus_id", "left_anti") for x in (inside, roots))
+    out = calls.groupBy("corpus_id").cogroup(first.groupBy("corpus_id")).applyInArrow(_walk, schema)
+    if large.isEmpty():
+        return out
+    path, step = shared_dir(spark, "reachable"), 0
+    frontier = roots.join(large, "corpus_id", "left_semi")
+    while True:
+        frontier.write.parquet(f"{path}/{step}")
+        frontier = spark.read.schema(schema).parquet(f"{path}/{step}")
+        seen = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
         if frontier.isEmpty():
-            return seen
-        reached = inside.join(frontier.withColumnRenamed("name", "src"), ["corpus_id", "src"]).select("corpus_id", F.col("dst").alias("name")).distinct()
-        frontier = kept(reached.join(seen, ["corpus_id", "name"], "left_anti"))
-        seen = seen.unionAll(frontier)
-    raise RuntimeError(f"calls go deeper than {most}")
+            return out.unionAll(seen)
+        next_ = inside.join(frontier.withColumnRenamed("name", "src"), ["corpus_id", "src"]).select("corpus_id", F.col("dst").alias("name"))
+        frontier, step = next_.distinct().join(seen, ["corpus_id", "name"], "left_anti"), step + 1
 
 
 def preorder(order: list[str], calls_of: dict[str, list[str]], root: str | None, depth: int = DEPTH) -> list[str]:
@@ -121,7 +161,8 @@ def flow(functions: DataFrame, edges: DataFrame, entry: DataFrame) -> DataFrame:
     nodes = nodes.join(first, "corpus_id", "left")
 
     def order(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("first_ord", "name", "callees", "root")), strict=True), key=lambda r: r[:2])
+        columns = [table[c].to_pylist() for c in ("first_ord", "name", "callees", "root")]
+        rows = sorted(zip(*columns, strict=True), key=lambda r: (r[0]["file_ord"], r[0]["line_no"], r[1]))
         names = preorder([r[1] for r in rows], {r[1]: r[2] or [] for r in rows}, rows[0][3])
         return pa.table({
             "corpus_id": pa.array([table["corpus_id"][0].as_py()] * len(names), pa.string()),
@@ -155,12 +196,17 @@ def classification_text(corpora: DataFrame, functions: DataFrame, kept: DataFram
     return out.select("corpus_id", F.concat(head, text).alias("text"))
 
 
-def organized_code(order: DataFrame, functions: DataFrame, kept: DataFrame) -> DataFrame:
-    """(corpus_id, text): kept functions' bodies in execution order."""
+def code_blocks(order: DataFrame, functions: DataFrame, kept: DataFrame) -> DataFrame:
+    """(corpus_id, seq, block) of kept functions: what :func:`organized_code` holds of each, for corpora too large for one text."""
     own = functions.join(kept, ["corpus_id", "name"], "left_semi").select("corpus_id", "name", "body").join(order, ["corpus_id", "name"])
-    piece = F.concat(F.lit("// function name: "), clean_name(F.col("name")), F.lit("\n\n"), "body", F.lit(f"\n\n{'=' * 50}\n"))
+    block = F.concat(F.lit("// function name: "), clean_name(F.col("name")), F.lit("\n\n"), "body", F.lit(f"\n\n{'=' * 50}\n"))
+    return own.select("corpus_id", "seq", block.alias("block"))
+
+
+def organized_code(order: DataFrame, functions: DataFrame, kept: DataFrame) -> DataFrame:
+    """(corpus_id, text): kept functions' bodies in execution order, which is one file of one corpus."""
     text = F.concat(F.lit("=== ORGANIZED CODE ===\ntotal functions included: "), F.col("n").cast("string"), F.lit("\n\n=== FUNCTIONS IN EXECUTION ORDER ===\n\n"), "text", F.lit("\n"))
-    return _listed(own, piece, F.col("seq")).select("corpus_id", text.alias("text"))
+    return _listed(code_blocks(order, functions, kept), F.col("block"), F.col("seq")).select("corpus_id", text.alias("text"))
 
 
 def flow_chart(order: DataFrame, edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -176,3 +222,18 @@ def missing_text(corpora: DataFrame, missed: DataFrame, kept: DataFrame) -> Data
     out = corpora.select("corpus_id").distinct().join(own, "corpus_id", "left")
     head = F.concat(F.lit("=== MISSING FUNCTIONS ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(") ===\n"))
     return out.select("corpus_id", F.concat(head, F.coalesce("text", F.lit("All functions found!\n"))).alias("text"))
+
+
+def counts(found: DataFrame, defined: DataFrame, missed: DataFrame, kept: DataFrame) -> DataFrame:
+    """(corpus_id, in_entry, functions, kept_found, kept_missing, unclassified), all long: functions of the entry file and of
+    all files, kept ones that are defined and that are missing, and both together."""
+    entry = found.where(F.col("file_ord").startswith("0")).groupBy("corpus_id").agg(F.countDistinct("name").alias("in_entry"))
+    total = defined.groupBy("corpus_id").agg(F.count("*").alias("functions"))
+    own = kept.join(defined.select("corpus_id", "name"), ["corpus_id", "name"], "left_semi").groupBy("corpus_id").agg(F.count("*").alias("kept_found"))
+    lost = kept.join(missed, ["corpus_id", "name"], "left_semi").groupBy("corpus_id").agg(F.count("*").alias("kept_missing"))
+    out = total
+    for more in (entry, own, lost):
+        out = out.join(more, "corpus_id", "left")
+    none = F.lit(0).cast("long")
+    in_entry, found_, missing_ = (F.coalesce(c, none).alias(c) for c in ("in_entry", "kept_found", "kept_missing"))
+    return out.select("corpus_id", in_entry, "functions", found_, missing_, (found_ + missing_).alias("unclassified"))

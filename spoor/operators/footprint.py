@@ -1,7 +1,7 @@
 """Indicators in disassembly listings: hashes, strings, addresses, names and paths.
 
-All matching is done by Spark's own functions over whole texts, since strings and some patterns cross lines. Every
-category's matches of a text are made in one projection and exploded once. ``compat`` keeps known quirks of the
+All matching is done by Spark's own functions over whole texts, since strings and some patterns cross lines. All
+categories of a text are found in one projection, so no listing is compared with another. ``compat`` keeps known quirks of the
 patterns; without it registry keys end at white space and drive paths with two separators count.
 """
 
@@ -13,16 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor.functions import fixed
-from spoor.functions.text import all_matches, contains_any, unquoted
+from spoor.functions.joins import without
+from spoor.functions.text import all_matches, contains_any, let, unquoted
 from spoor.sources.corpus import denylist as default_denylist
 
 
 def file_hashes(corpus: DataFrame, content: str = "content") -> DataFrame:
     """path and sha256, md5, crc32 from the header of a listing, in lower case; null where absent."""
-    found = [
-        F.lower(F.nullif(F.regexp_extract(content, f"(?iU){p}", 1), F.lit(""))).alias(k) for k, p in fixed.HASHES.items()
-    ]
-    return corpus.select("path", *found)
+    return corpus.select("path", *_hashes(F.col(content)))
+
+
+def _hashes(content: Column) -> list[Column]:
+    return [F.lower(F.nullif(F.regexp_extract(content, f"(?iU){p}", 1), F.lit(""))).alias(k) for k, p in fixed.HASHES.items()]
 
 
 def cleaned(content: Column) -> Column:
@@ -82,6 +84,29 @@ def valid_indicator(value: Column, category: Column) -> Column:
     return ~bad & own
 
 
+def found_in(text: Column, *, deny: Sequence[str], compat: bool = True, patterns: dict[str, str] | None = None) -> Column:
+    """A map of category to the sorted distinct values that are found in a searched text; categories without any are left out."""
+    trimmed = lambda found: F.array_distinct(F.transform(found, unquoted))
+
+    def good(category: str, pattern: str) -> Column:
+        valid = lambda v: valid_indicator(v, F.lit(category)) & ~denied(v, deny)
+        return F.array_sort(F.filter(trimmed(all_matches(text, pattern)), valid))
+
+    def of(named: Column, category: str) -> Column:
+        return F.transform(F.filter(named, lambda x: x["category"] == category), lambda x: x["value"])
+
+    def entry(category: str, values: Column) -> Column:
+        return F.struct(F.lit(category).alias("category"), values.alias("values"))
+
+    paths = [*fixed.PATHS, fixed.REGISTRY if compat else fixed.REGISTRY_MEANT]
+    every = trimmed(F.flatten(F.array(*[all_matches(text, p, 1) for p in paths])))
+    every = F.array_sort(F.filter(every, lambda v: valid_path(v, compat)))
+    named = F.transform(every, lambda v: F.struct(path_category(v).alias("category"), v.alias("value")))
+    both = let(named, lambda x: F.array(*[entry(k, of(x, k)) for k in ("operational_files", "dependency_paths")]))
+    single = F.array(*[entry(k, good(k, p)) for k, p in {**fixed.INDICATORS, **(patterns or {})}.items()])
+    return F.map_from_entries(F.filter(F.concat(single, both), lambda x: F.size(x["values"]) > 0))
+
+
 def indicators(
     corpus: DataFrame, *, deny: Sequence[str] | None = None, compat: bool = True, patterns: dict[str, str] | None = None
 ) -> DataFrame:
@@ -90,35 +115,29 @@ def indicators(
     deny: terms that a value may not contain, which does not hold for paths; patterns: more or other categories.
     """
     deny = default_denylist() if deny is None else deny
-    text = F.col("text")
-    many = {**fixed.INDICATORS, **(patterns or {})}
-    paths = [*fixed.PATHS, fixed.REGISTRY if compat else fixed.REGISTRY_MEANT]
-    found = [F.struct(F.lit(k).alias("category"), all_matches(text, p).alias("values")) for k, p in many.items()]
-    found.append(F.struct(F.lit("path").alias("category"), F.flatten(F.array(*[all_matches(text, p, 1) for p in paths])).alias("values")))
-    each = searched(corpus).select("path", F.explode(F.array(*found)).alias("f"))
-    each = each.select("path", F.col("f.category").alias("category"), F.explode("f.values").alias("value"))
-    each = each.select("path", "category", unquoted(F.col("value")).alias("value"))
-    value, category = F.col("value"), F.col("category")
-    is_path = category == "path"
-    good = F.when(is_path, valid_path(value, compat)).otherwise(valid_indicator(value, category) & ~denied(value, deny))
-    named = F.when(is_path, path_category(value)).otherwise(category)
-    return each.where(good).select("path", named.alias("category"), "value").distinct()
+    each = searched(corpus).select("path", F.explode(found_in(F.col("text"), deny=deny, compat=compat, patterns=patterns)).alias("category", "values"))
+    return each.select("path", "category", F.explode("values").alias("value")).distinct()
 
 
 def without_denied(iocs: DataFrame, terms: DataFrame) -> DataFrame:
     """Values that contain no term of a table ``term``, for lists that do not fit into an expression."""
-    return iocs.join(terms, F.contains(F.lower(F.col("value")), F.col("term")), "left_anti")
+    return without(iocs, terms.select("term").distinct(), "term", F.contains(F.lower(F.col("value")), F.col("term")))
 
 
-def scan(corpus: DataFrame, **options) -> DataFrame:
+def scan(
+    corpus: DataFrame, *, deny: Sequence[str] | None = None, compat: bool = True, patterns: dict[str, str] | None = None
+) -> DataFrame:
     """A row for each listing with any result: path, hashes, iocs (map of category to sorted values), error.
 
-    Rows with a column ``error`` that is not null are passed on with it.
+    Rows with a column ``error`` that is not null are passed on with it. Rows of one path are listings of their own. All is
+    one projection.
     """
-    grouped = indicators(corpus, **options).groupBy("path", "category").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    maps = grouped.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("category", "values"))).alias("iocs"))
+    deny = default_denylist() if deny is None else deny
     error = F.col("error") if "error" in corpus.columns else F.lit(None).cast("string")
-    hashes = file_hashes(corpus)
-    out = hashes.join(maps, "path", "left").join(corpus.select("path", error.alias("error")), "path")
-    any_hash = F.coalesce("sha256", "md5", "crc32").isNotNull()
-    return out.where(any_hash | F.col("iocs").isNotNull() | F.col("error").isNotNull())
+    frame = corpus.select("path", "content", error.alias("error"), cleaned(F.col("content")).alias("text"))
+    text = F.concat(F.col("text"), F.lit("\n"), F.array_join(strings(F.col("text")), "\n"))
+    frame = frame.select("path", *_hashes(F.col("content")), text.alias("text"), "error")
+    iocs = found_in(F.col("text"), deny=deny, compat=compat, patterns=patterns)
+    out = frame.select("path", *fixed.HASHES, iocs.alias("iocs"), "error")
+    out = out.withColumn("iocs", F.when(F.size("iocs") > 0, F.col("iocs")))
+    return out.where(F.coalesce(*fixed.HASHES).isNotNull() | F.col("iocs").isNotNull() | F.col("error").isNotNull())

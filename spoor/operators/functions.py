@@ -10,30 +10,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor.functions import fixed
-from spoor.functions.text import strip
+from spoor.functions.text import let, strip
 
 
 def clean_name(name: Column) -> Column:
     """Without a return type and calling convention before it; names of unknown types stay whole."""
-    parts = F.split(strip(name), r"(?U)[\s\x1C-\x1F]+", -1)
-    n = F.size(parts)
-    typed = F.get(parts, F.lit(0)).isin(list(fixed.RETURN_TYPES)) | F.get(parts, F.lit(1)).startswith("__")
-    tail = lambda k: F.array_join(F.slice(parts, k + 1, F.greatest(n - k, F.lit(0))), " ")
-    return (
-        F.when(~F.contains(name, F.lit(" ")), name)
-        .when((n >= 3) & typed, tail(2))
-        .when((n >= 2) & F.get(parts, F.lit(0)).startswith("__"), tail(1))
-        .otherwise(name)
-    )
+
+    def without(parts: Column) -> Column:
+        n, first = F.size(parts), F.get(parts, F.lit(0))
+        typed = first.isin(list(fixed.RETURN_TYPES)) | F.get(parts, F.lit(1)).startswith("__")
+        tail = lambda k: F.array_join(F.slice(parts, k + 1, F.greatest(n - k, F.lit(0))), " ")
+        return F.when((n >= 3) & typed, tail(2)).when((n >= 2) & first.startswith("__"), tail(1)).otherwise(name)
+
+    several = let(F.split(strip(name), r"(?U)[\s\x1C-\x1F]+", -1), without)
+    return F.when(~F.contains(name, F.lit(" ")), name).otherwise(several)
 
 
 def header_name(line: Column) -> Column:
     """The name that a trimmed line gives to a function, by the first pattern whose name is one; else null."""
-    found = []
-    for pattern in fixed.HEADERS:
-        name = clean_name(strip(F.regexp_extract(line, f"(?U){pattern}", 1)))
-        solid = F.replace(name, F.lit(" "), F.lit(""))
-        found.append(F.when((F.char_length(solid) > 1) & ~solid.rlike(r"(?U)^\d+$"), name))
+
+    def solid(name: Column) -> Column:
+        letters = F.replace(name, F.lit(" "), F.lit(""))
+        return F.when((F.char_length(letters) > 1) & ~letters.rlike(r"(?U)^\d+$"), name)
+
+    raw = [F.regexp_extract(line, f"(?U){pattern}", 1) for pattern in fixed.HEADERS]
+    found = [let(strip(r), lambda x: let(clean_name(x), solid)) for r in raw]
     return F.when(F.contains(line, F.lit("(")), F.coalesce(*found))
 
 
@@ -56,23 +57,27 @@ def headers(corpus: DataFrame) -> DataFrame:
 
 
 class _File:
-    """The lines of one file with running brace balances."""
+    """The lines of one file, with where braces open and close by their running balance."""
 
     def __init__(self, content: str):
         self.lines = content.split("\n")
-        self.opens = np.array([x.count("{") for x in self.lines])
-        self.closes = np.array([x.count("}") for x in self.lines])
-        self.balance = np.cumsum(self.opens - self.closes)
+        opens = np.array([x.count("{") for x in self.lines])
+        closes = np.array([x.count("}") for x in self.lines])
+        self.balance = np.cumsum(opens - closes)
+        self.opening, shut = np.flatnonzero(opens), np.flatnonzero(closes)
+        order = np.lexsort((shut, self.balance[shut]))
+        self.shut, self.level = shut[order], self.balance[shut][order]
 
     def end(self, start: int) -> int:
         """The line that closes what opens at or after ``start``; the last one if nothing does."""
         before = self.balance[start - 1] if start else 0
-        opened = np.flatnonzero(self.opens[start:])
-        if not len(opened):
-            return len(self.lines) - 1
-        first = start + int(opened[0])
-        shut = np.flatnonzero((self.balance[first:] == before) & (self.closes[first:] > 0))
-        return first + int(shut[0]) if len(shut) else len(self.lines) - 1
+        first = np.searchsorted(self.opening, start)
+        if first < len(self.opening):
+            low, high = np.searchsorted(self.level, before), np.searchsorted(self.level, before, side="right")
+            at = low + np.searchsorted(self.shut[low:high], self.opening[first])
+            if at < high:
+                return int(self.shut[at])
+        return len(self.lines) - 1
 
     def body(self, start: int, name: str) -> str | None:
         """The text of a function, with what leads up to it; None if it is not a whole function."""
@@ -102,24 +107,24 @@ def _bodies(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in found or []:
                 if (body := file.body(at["line_no"], at["name"])) is not None:
                     rows.append((corpus, path, order, at["line_no"], at["name"], body))
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays(columns, ["corpus_id", "path", "file_ord", "line_no", "name", "body"])
 
 
 def definitions(corpus: DataFrame) -> DataFrame:
     """Every valid definition: corpus_id, path, file_ord, line_no, name, body."""
-    return headers(corpus).select("corpus_id", "path", F.col("file_ord").cast("int"), "content", "found").mapInArrow(
-        _bodies, "corpus_id string, path string, file_ord int, line_no int, name string, body string"
+    return headers(corpus).select("corpus_id", "path", "file_ord", "content", "found").mapInArrow(
+        _bodies, "corpus_id string, path string, file_ord string, line_no int, name string, body string"
     )
 
 
 def functions(found: DataFrame) -> DataFrame:
     """One row for each name: the body of its last definition, the places of its first and last one.
 
-    Places are ``file_ord * 2**32 + line_no``.
+    Places are structs of file_ord and line_no.
     """
-    place = F.col("file_ord").cast("long") * F.lit(1 << 32) + F.col("line_no")
+    place = F.struct("file_ord", "line_no")
     return found.groupBy("corpus_id", "name").agg(
         F.max_by("body", place).alias("body"), F.min(place).alias("first_ord"), F.max(place).alias("last_ord")
     )
@@ -127,8 +132,7 @@ def functions(found: DataFrame) -> DataFrame:
 
 def entry_point(found: DataFrame) -> DataFrame:
     """(corpus_id, name): the first function of the entry file."""
-    first = found.where("file_ord = 0").groupBy("corpus_id").agg(F.min_by("name", "line_no").alias("name"))
-    return first
+    return found.where(F.col("file_ord").startswith("0")).groupBy("corpus_id").agg(F.min_by("name", F.struct("file_ord", "line_no")).alias("name"))
 
 
 def brace_balance(lines: DataFrame) -> DataFrame:

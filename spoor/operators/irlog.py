@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoor.functions.text import ctime, one_decimal
+from spoor.sources.corpus import log_lines
+
 # --- Fixed values: what the lines of a log look like.
 START, END = "--- IR FOR", "--- END"
 _EVENTS = {
@@ -35,12 +38,12 @@ def summary(found: DataFrame) -> DataFrame:
     out = found.groupBy("log_id").agg(
         F.count_if(F.col("kind") == "start").alias("processed"), F.count_if(F.col("kind") == "end").alias("successful")
     )
-    rate = F.round(F.try_divide(F.lit(100.0) * F.col("successful"), F.col("processed")), 1)
+    rate = one_decimal(F.try_divide(F.lit(100.0) * F.col("successful"), F.col("processed")))
     return out.select("log_id", "processed", "successful", (F.col("processed") - F.col("successful")).alias("failed"), rate.alias("success_rate"))
 
 
 def summary_text(row, start: str, end: str, seconds: float) -> str:
-    """The summary file of one log: ``row`` as :func:`summary` makes it, times as they are to be shown."""
+    """The summary file of one log on the driver: ``row`` as :func:`summary` makes it, times as they are to be shown."""
     rate = f"{row['success_rate']:.1f}" if row["success_rate"] is not None else "0.0"
     told = [
         f"Start Time: {start}", f"End Time: {end}", f"Total Duration Time: {seconds:.1f} seconds ({seconds / 60:.1f} minutes)",
@@ -50,6 +53,39 @@ def summary_text(row, start: str, end: str, seconds: float) -> str:
     return "=== SUMMARY ===\n" + "\n".join(f"    {x}" for x in told)
 
 
+def elapsed(start: Column, end: Column) -> tuple[Column, Column]:
+    """Seconds between two timestamps, and minutes, as doubles with one decimal."""
+    seconds = (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
+    return one_decimal(seconds), one_decimal(seconds / 60)
+
+
+def summary_texts(counted: DataFrame) -> DataFrame:
+    """(log_id, text): the summary file of each log, from rows of :func:`summary` with timestamps ``began`` and ``ended``.
+
+    A log without functions has a rate of 0.0.
+    """
+    shown = lambda x: F.format_string("%.1f", x)
+    seconds, minutes = elapsed(F.col("began"), F.col("ended"))
+    told = [
+        F.concat(F.lit("Start Time: "), ctime(F.col("began"))), F.concat(F.lit("End Time: "), ctime(F.col("ended"))),
+        F.concat(F.lit("Total Duration Time: "), shown(seconds), F.lit(" seconds ("), shown(minutes), F.lit(" minutes)")),
+        F.concat(F.lit("Total Functions Processed: "), F.col("processed")), F.concat(F.lit("Successful: "), F.col("successful")),
+        F.concat(F.lit("Failed: "), F.col("failed")), F.concat(F.lit("Success Rate: "), shown(F.coalesce("success_rate", F.lit(0.0))), F.lit("%")),
+        F.lit(""),
+    ]
+    lines = [F.concat(F.lit("    "), x) for x in told]
+    return counted.select("log_id", F.concat_ws("\n", F.lit("=== SUMMARY ==="), *lines).alias("text"))
+
+
+def log_files(logs: DataFrame, began: Column, ended: Column) -> DataFrame:
+    """(name, content) of the files that a run leaves for each whole log: ``<log_id>/ir.txt``, if it has one, and
+    ``<log_id>/ir_summary.txt``. began and ended: timestamps, of the columns of ``logs``."""
+    code = isolate(logs).where("ok").select(F.concat("log_id", F.lit("/ir.txt")).alias("name"), F.col("text").alias("content"))
+    counted = logs.select("log_id", began.alias("began"), ended.alias("ended")).join(summary(events(log_lines(logs))), "log_id", "left")
+    counted = counted.fillna(0, ["processed", "successful", "failed"])
+    return code.unionAll(summary_texts(counted).select(F.concat("log_id", F.lit("/ir_summary.txt")), "text"))
+
+
 def isolate(logs: DataFrame) -> DataFrame:
     """(log_id, ok, text) of whole logs ``log_id, content``: from the first start through the last literal end mark.
 
@@ -77,3 +113,14 @@ def growth(samples: DataFrame) -> DataFrame:
     before = F.lag("size_bytes", 1, 0).over(Window.partitionBy("log_id").orderBy("ts"))
     grown = samples.withColumn("before", before).where("size_bytes > before")
     return grown.select("log_id", "ts", "start_lines", kilobytes(F.col("size_bytes")).alias("kb"))
+
+
+def polled(sizes: DataFrame, logs: DataFrame) -> DataFrame:
+    """(log_id, size_bytes, start_lines) of whole logs at one moment: sizes (log_id, size_bytes), logs (log_id, content).
+
+    All lines are counted anew, as a poll that reads the whole file does.
+    """
+    started = F.size(F.filter(F.split("content", "\n", -1), is_start)).cast("long")
+    return sizes.join(logs.select("log_id", started.alias("start_lines")), "log_id", "left").select(
+        "log_id", "size_bytes", F.coalesce("start_lines", F.lit(0).cast("long")).alias("start_lines")
+    )

@@ -46,7 +46,7 @@ def links(pages: DataFrame, *, mark: str = "Download", page: str = "page_id", ht
     found = each.select("page_id", "ord", href.alias("href"), first.alias("first"), text.alias("text"), *([] if url is None else ["url", "base"]))
     found = found.where(F.contains("first", F.lit(mark)) & F.col("href").isNotNull())
     if url is not None:
-        found = found.withColumn("href", F.udf(resolved, "string")("url", "base", "href"))
+        found = found.withColumn("href", F.udf(resolved, "string", useArrow=True)("url", "base", "href"))
     return found.select("page_id", "ord", "href", "text", F.md5(F.concat("href", "text")).alias("link_id"))
 
 
@@ -64,6 +64,11 @@ def settle(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("done", done).where("NOT done").drop("done")
 
 
+def sweeps(attempts: DataFrame) -> DataFrame:
+    """(batch_id, found, downloaded): of each sweep, the links that it tried and those that were fetched."""
+    return settle(attempts).groupBy("batch_id").agg(F.count("*").alias("found"), F.count_if(F.col("status") == "ok").alias("downloaded"))
+
+
 def fresh_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paths that a later listing has in addition and that are no downloads in progress."""
     return after.join(before, "path", "left_anti").where(~F.col("path").endswith(".crdownload"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import datetime
 from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoor.functions.fixed import CATEGORIES, HASHES
+from spoor.functions.fixed import CATEGORIES, HASHES, PROGRESS, PROGRESS_EVERY
 
 
 def summary(scanned: DataFrame) -> DataFrame:
@@ -46,34 +47,60 @@ def blocks(scanned: DataFrame) -> DataFrame:
 
 
 def text_report(scanned: DataFrame, at: datetime | None = None) -> str:
-    """The whole report; the blocks of all listings go through the driver one after the other."""
+    """The whole report as one text; see :func:`text_lines`."""
+    return "\n".join(text_lines(scanned, at))
+
+
+def text_lines(scanned: DataFrame, at: datetime | None = None) -> Iterator[str]:
+    """The pieces of the report, a line or a listing's block each; blocks go through the driver one after the other."""
     counts = summary(scanned).first()
     iocs = scanned.where("iocs IS NOT NULL").select("path", F.explode("iocs").alias("category", "values"))
     by = categories(iocs.select("path", "category", F.explode("values").alias("value"))).orderBy("ord").collect()
     rule = "=" * 80
-    out = [
+    yield from (
         rule, f"Sniffer Report - {at or datetime.now():%Y-%m-%d %H:%M:%S}", rule, "", "SUMMARY", "-" * 40,
         f"Total Files Processed: {counts.total_files}", f"Files with IoCs: {counts.with_iocs}",
         f"Files with Hashes: {counts.with_hashes}", f"Files with Errors: {counts.with_errors}", "",
-    ]
+    )
     if by:
-        out += ["IoC CATEGORIES", "-" * 40, *(f"{r.label}: {r.n}" for r in by), ""]
-    out += ["DETAILED RESULTS", rule]
-    out += [r.block for r in blocks(scanned).orderBy("path").toLocalIterator()]
-    return "\n".join(out)
+        yield from ("IoC CATEGORIES", "-" * 40, *(f"{r.label}: {r.n}" for r in by), "")
+    yield from ("DETAILED RESULTS", rule)
+    for r in blocks(scanned).orderBy("path").toLocalIterator():
+        yield r.block
+
+
+def json_rows(scanned: DataFrame) -> DataFrame:
+    """(path, json): each listing as an object of its file, hashes and indicators in the order of categories, or its error."""
+    hashes = F.when(F.coalesce(*HASHES).isNotNull(), F.struct(*HASHES))
+    iocs = F.when(F.col("iocs").isNotNull(), F.struct(*[F.col("iocs")[k].alias(k) for k in CATEGORIES]))
+    failed = F.to_json(F.struct(F.col("path").alias("file"), "error"))
+    whole = F.to_json(F.struct(F.col("path").alias("file"), hashes.alias("file_hashes"), iocs.alias("iocs")))
+    return scanned.select("path", F.when(F.col("error").isNotNull(), failed).otherwise(whole).alias("json"))
 
 
 def json_report(scanned: DataFrame) -> str:
     """A list of listings, each with its file, hashes and indicators, or its error."""
-    out = []
-    for r in scanned.orderBy("path").toLocalIterator():
-        row: dict = {"file": r["path"]}
-        if r["error"] is not None:
-            out.append(row | {"error": r["error"]})
-            continue
-        if hashes := {k: r[k] for k in HASHES if r[k]}:
-            row["file_hashes"] = hashes
-        if r["iocs"]:
-            row["iocs"] = {k: r["iocs"][k] for k in CATEGORIES if k in r["iocs"]}
-        out.append(row)
-    return json.dumps(out, indent=2)
+    return "".join(json_lines(scanned))
+
+
+def json_lines(scanned: DataFrame) -> Iterator[str]:
+    """The pieces of the JSON report, one listing after the other, so that none but the present one is held."""
+    first = True
+    for r in json_rows(scanned).orderBy("path").toLocalIterator():
+        text = json.dumps(json.loads(r["json"]), indent=2)
+        yield ("[\n" if first else ",\n") + "\n".join(f"  {line}" for line in text.split("\n"))
+        first = False
+    yield "[]" if first else "\n]"
+
+
+def progress(total: int, every: int = PROGRESS_EVERY) -> list[str]:
+    """What is told as files are processed: a line for every 25th."""
+    return [PROGRESS.format(done=done, total=total) for done in range(every, total + 1, every)]
+
+
+def progress_rows(files: DataFrame, every: int = PROGRESS_EVERY) -> DataFrame:
+    """(done, total, text) of what :func:`progress` tells of a corpus."""
+    total = files.count()
+    parts = PROGRESS.replace("{done}", "%d").replace("{total}", "%d")
+    rows = files.sparkSession.range(every, total + 1, every).select(F.col("id").alias("done"), F.lit(total).cast("long").alias("total"))
+    return rows.select("*", F.format_string(parts, "done", "total").alias("text"))

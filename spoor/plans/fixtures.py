@@ -53,11 +53,69 @@ def pseudo_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = p.select(F.col("p_brand").alias("path"), k.alias("k"), first.alias("t")).unionAll(
         p.where(k % 7 == 0).select(F.lit("zz").alias("path"), k.alias("k"), again.alias("t"))
     )
-    files = parts.groupBy("path").agg(
+    files = _in_files(parts)
+    entry = spark.createDataFrame([("0", "int start_main(int a1)\n{\n  f_1(a1);\n}\n")], "path string, content string")
+    return entry.unionAll(files)
+
+
+def _in_files(parts: DataFrame) -> DataFrame:
+    """(path, content) of texts (path, k, t), in order of k."""
+    return parts.groupBy("path").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("content")
     )
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each part that one of the patterns of headers takes for a function, in a file for each brand."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    lines = (
+        ("int f_", "(int a1)"), ("int *__fastcall f_", "(int a1)"), ("int t_", " x(int a1) {"), ("t_u64 f_", "(int a1)"),
+        ("FILE *f_", "(const char *a1,"), ("* *f_", "(int a1)"), ("int x", " = y(int a1)"), ("// int f_", "(int a1)"),
+    )
+    text = F.coalesce(*[F.when(k % len(lines) == i, _text(a, k, b, "\n")) for i, (a, b) in enumerate(lines)])
+    return _in_files(p.select(F.col("p_brand").alias("path"), k.alias("k"), text.alias("t")))
+
+
+def marked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function for each part: calls of itself near and far, and calls of what looks like a variable, near and far."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    bodies = (("  f_", k, "(a1);\n"), ("nop\n" * 12, "  f_", k, "(a1);\n"), ("  q_", k, " = 1;\n  q_", k, "(a1);\n"), ("  q_", k, " = 1;\n", "nop\n" * 30, "  q_", k, "(a1);\n"))
+    body = F.coalesce(*[F.when(k % 4 == i, _text(*b)) for i, b in enumerate(bodies)])
+    parts = p.select(F.col("p_brand").alias("path"), k.alias("k"), _text(NOPS, "int f_", k, "(int a1)\n{\n", body, "}\n").alias("t"))
+    return _in_files(parts)
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function for each customer that calls the next one's, defined in falling order; the entry calls the first one's."""
+    k = F.col("c_custkey")
+    text = _text(NOPS, "int f_", k, "(int a1)\n{\n  f_", k + 1, "(a1);\n}\n")
+    rows = table(spark, sf_dir, "customer").select(F.lit("chain").alias("path"), (-k).alias("k"), text.alias("t"))
     entry = spark.createDataFrame([("0", "int start_main(int a1)\n{\n  f_1(a1);\n}\n")], "path string, content string")
-    return entry.unionAll(files)
+    return entry.unionAll(_in_files(rows))
+
+
+def whole_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log_id, content) of the logs of :func:`ir_log`, with lines around them; the log of a status that no order has is empty."""
+    log = ir_log(spark, sf_dir).withColumn("log_id", F.translate("log_id", " ", "_"))
+    log = log.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    lines = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
+    whole = log.select("log_id", F.concat(F.lit("banner\n"), lines, F.lit("\ntail")).alias("content"))
+    return whole.unionAll(spark.createDataFrame([("empty", "nothing\n")], "log_id string, content string"))
+
+
+def relative_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with an address for each customer with links that are relative in several ways; every third has a base tag."""
+    k = F.col("c_custkey")
+    base = F.when(k % 3 == 0, "<base href='https://cdn.example/b/'>").otherwise("")
+    rest = _text(
+        '<a href="get.php?id=', k, '&amp;x=2">Download</a><a href="/abs/', k, '">Download</a><a href="../up/', k,
+        '">Download</a><a href="//other.example/', k, '">Download</a>',
+    )
+    return table(spark, sf_dir, "customer").select(
+        k.alias("page_id"), _text("https://h", k % 3, ".example/a/b", k, "/list.html").alias("url"), F.concat(base, rest).alias("html")
+    )
 
 
 def ir_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoor import cli
 from spoor.operators import callgraph, footprint, irlog, links, report
 from spoor.operators import functions as fn
 from spoor.plans import fixtures as fx
 from spoor.sources import corpus as sources
+from spoor.sources.shared import kept, shared_dir, write_files
 from spoor.streaming import ledger as streams
 
 QUERIES: dict = {}
@@ -119,13 +123,21 @@ def denylist_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple:
-    corpus = sources.ordered(fx.pseudo_c(spark, sf_dir))
-    found = fn.definitions(corpus)
+    """Bodies and calls are written once, since what follows reads them several times."""
+    return _graph_of(sources.ordered(fx.pseudo_c(spark, sf_dir)))
+
+
+def _graph_of(corpus: DataFrame) -> tuple:
+    found = kept(fn.definitions(corpus), "definitions")
     defined = fn.functions(found)
-    edges = callgraph.calls(defined)
+    edges = kept(callgraph.calls(defined), "calls")
     missed = callgraph.missing(edges, defined)
-    kept = callgraph.kept_names(defined, missed, [p for _, p in sources.library()])
-    return corpus, found, defined, edges, missed, kept
+    names = callgraph.kept_names(defined, missed, [p for _, p in sources.library()])
+    return corpus, found, defined, edges, missed, names
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.ordered(fx.pseudo_c(spark, sf_dir))
 
 
 _N = "(SELECT max(p_partkey) FROM part)"
@@ -148,7 +160,7 @@ _FLOW = """SELECT '0' AS corpus_id, (row_number() OVER (ORDER BY r, k) - 1)::INT
 
 @query("SELECT CASE WHEN w = 'zz' THEN 'zz' ELSE p_brand END AS path, 'f_' || p_partkey AS name FROM part, (VALUES ('a'), ('zz')) AS x(w) WHERE w = 'a' OR p_partkey % 7 = 0 UNION ALL SELECT '0', 'start_main'")
 def function_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[1].select("path", "name")
+    return fn.definitions(_corpus(spark, sf_dir)).select("path", "name")
 
 
 @query("""
@@ -159,26 +171,29 @@ SELECT path, n AS line_no, name FROM (
   UNION ALL SELECT '0', 'start_main', 0)
 """)
 def function_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fn.headers(_graph(spark, sf_dir)[0]).select("path", F.explode("found").alias("f"))
+    found = fn.headers(_corpus(spark, sf_dir)).select("path", F.explode("found").alias("f"))
     return found.select("path", F.col("f.line_no").cast("int").alias("line_no"), "f.name")
 
 
 @query(f"SELECT name, body FROM ({_FUNCTIONS})")
 def function_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last definition of each function."""
-    return _graph(spark, sf_dir)[2].select("name", "body")
+    return fn.functions(fn.definitions(_corpus(spark, sf_dir))).select("name", "body")
 
 
-@query("SELECT p_brand AS path, count(*) AS n, 0::BIGINT AS low, 1::BIGINT AS high FROM part GROUP BY p_brand")
+@query("""
+SELECT p_brand AS path, count(*) AS n, 0::BIGINT AS low, 1::BIGINT AS high FROM part GROUP BY p_brand
+UNION ALL SELECT 'zz', count(*), 0, 1 FROM part WHERE p_partkey % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT '0', 1, 0, 1
+""")
 def brace_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fn.brace_balance(sources.lines(_graph(spark, sf_dir)[0]))
-    out = lines.where("path NOT IN ('0', 'zz')").groupBy("path")
+    out = fn.brace_balance(sources.lines(_corpus(spark, sf_dir))).groupBy("path")
     return out.agg(F.count_if(F.col("line") == "{").alias("n"), F.min("balance").alias("low"), F.max("balance").alias("high"))
 
 
 @query(f"SELECT src, dst FROM ({_EDGES})")
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[3].select("src", "dst")
+    return callgraph.calls(fn.functions(fn.definitions(_corpus(spark, sf_dir)))).select("src", "dst")
 
 
 @query(_MISSING)
@@ -200,8 +215,8 @@ def wildcard_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT src, dst FROM ({_EDGES}) WHERE dst <> 'if'")
 def kept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, _, edges, _, kept = _graph(spark, sf_dir)
-    return callgraph.kept_edges(edges, kept).select("src", "dst")
+    _, _, _, edges, _, names = _graph(spark, sf_dir)
+    return callgraph.kept_edges(edges, names).select("src", "dst")
 
 
 @query(f"""
@@ -225,8 +240,8 @@ SELECT '0' AS corpus_id, '=== ORGANIZED CODE ===' || chr(10) || 'total functions
 FROM ({_FLOW}) JOIN ({_FUNCTIONS}) USING (name)
 """)
 def organized_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found, defined, edges, _, kept = _graph(spark, sf_dir)
-    return callgraph.organized_code(callgraph.flow(defined, edges, fn.entry_point(found)), defined, kept)
+    _, found, defined, edges, _, names = _graph(spark, sf_dir)
+    return callgraph.organized_code(callgraph.flow(defined, edges, fn.entry_point(found)), defined, names)
 
 
 @query(f"""
@@ -234,8 +249,8 @@ SELECT '0' AS corpus_id, '=== FUNCTION CALL GRAPH ===' || chr(10) || string_agg(
 FROM ({_EDGES}) JOIN ({_FLOW}) ON name = src WHERE dst <> 'if'
 """)
 def flow_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found, defined, edges, _, kept = _graph(spark, sf_dir)
-    return callgraph.flow_chart(callgraph.flow(defined, edges, fn.entry_point(found)), edges, kept)
+    _, found, defined, edges, _, names = _graph(spark, sf_dir)
+    return callgraph.flow_chart(callgraph.flow(defined, edges, fn.entry_point(found)), edges, names)
 
 
 @query(f"""
@@ -243,8 +258,8 @@ SELECT '0' AS corpus_id, '=== MISSING FUNCTIONS (' || count(*) || ') ===' || chr
 FROM ({_MISSING}) WHERE name <> 'if'
 """)
 def missing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, _, _, _, missed, kept = _graph(spark, sf_dir)
-    return callgraph.missing_text(corpus, missed, kept)
+    corpus, _, _, _, missed, names = _graph(spark, sf_dir)
+    return callgraph.missing_text(corpus, missed, names)
 
 
 @query(f"""
@@ -253,8 +268,8 @@ SELECT '0' AS corpus_id, '=== NEW FUNCTIONS TO CLASSIFY ===' || chr(10) || '(add
   || '=== MISSING FUNCTIONS ===' || chr(10) || (SELECT string_agg(name, chr(10) ORDER BY name) FROM ({_MISSING}) WHERE name <> 'if') || chr(10) AS text
 """)
 def classification_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, _, defined, _, _, kept = _graph(spark, sf_dir)
-    return callgraph.classification_text(corpus, defined, kept)
+    corpus, _, defined, _, _, names = _graph(spark, sf_dir)
+    return callgraph.classification_text(corpus, defined, names)
 
 
 # Decompiler logs.
@@ -272,7 +287,7 @@ def ir_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderpriority AS log_id, count(*) AS processed, count(*) FILTER (o_orderstatus = 'F') AS successful,
-       count(*) FILTER (o_orderstatus <> 'F') AS failed, round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS success_rate
+       count(*) FILTER (o_orderstatus <> 'F') AS failed, printf('%.1f', 100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*))::DOUBLE AS success_rate
 FROM orders GROUP BY 1
 """)
 def ir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,14 +349,294 @@ def ledger_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.settle(e.select(F.col("event_id").alias("batch_id"), F.col("user_id").cast("string").alias("link_id"), status.alias("status")))
 
 
-@query("SELECT DISTINCT md5(user_id::VARCHAR) AS link_id, 0::BIGINT AS batch_id FROM events WHERE user_id % 2 = 0")
+def _event_links(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A stream of links made from events, in four files, of which each batch takes one."""
+    e = fx.table(spark, sf_dir, "events").select("event_id", "user_id")
+    for i in range(4):
+        e.where(F.col("event_id") % 4 == i).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    found = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    return found.withColumn("link_id", F.md5(F.col("user_id").cast("string")))
+
+
+_FETCHED = "SELECT DISTINCT md5(user_id::VARCHAR) AS link_id FROM events WHERE user_id % 2 = 0"
+
+
+def _even(df: DataFrame) -> DataFrame:
+    return df.withColumn("status", F.when(F.col("user_id") % 2 == 0, "ok").otherwise("failed"))
+
+
+@query(_FETCHED)
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger that a stream of links fills in one run; odd ones fail."""
-    schema = fx.table(spark, sf_dir, "events").schema
-    found = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a file or a folder
-    found = found.select("user_id", F.md5(F.col("user_id").cast("string")).alias("link_id"))
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spoor-")
-    path = f"{top.rstrip('/')}/ledger-{spark.sparkContext.applicationId}-{id(found)}"
-    status = F.when(F.col("user_id") % 2 == 0, "ok").otherwise("failed")
-    streams.keep_ledger(found, f"{path}/table", f"{path}/state", lambda df: df.withColumn("status", status)).awaitTermination()
-    return spark.read.schema("link_id string, batch_id long").option("recursiveFileLookup", "true").parquet(f"{path}/table")
+    """A ledger that a stream of links fills in several batches; odd ones fail. No link is fetched twice."""
+    path = shared_dir(spark, "ledger")
+    found = _event_links(spark, sf_dir, path)
+    streams.keep_ledger(found, f"{path}/table", f"{path}/state", _even).awaitTermination()
+    return streams.read_ledger(spark, f"{path}/table").select("link_id")
+
+
+@query(_FETCHED)
+def ledger_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream that fails at its first batch and is started again, and then by one with a new checkpoint."""
+    path = shared_dir(spark, "ledger")
+    found, calls = _event_links(spark, sf_dir, path), []
+
+    def fetch(df: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("the site is down")
+        return _even(df)
+
+    streams.keep_on(lambda: streams.keep_ledger(found, f"{path}/table", f"{path}/state", fetch), wait=0.1, most=2, tell=lambda _: None)
+    streams.keep_ledger(found, f"{path}/table", f"{path}/new", _even).awaitTermination()
+    return streams.read_ledger(spark, f"{path}/table").select("link_id")
+
+
+@query("""
+SELECT event_id // 100 AS batch_id, count(*) AS found, count(*) FILTER (status = 'ok') AS downloaded FROM (
+  SELECT *, coalesce(bool_or(status = 'ok') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done
+  FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'ok' ELSE 'failed' END AS status FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id, event_id // 100 ORDER BY event_id) = 1)) WHERE NOT done GROUP BY 1
+""")
+def sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each sweep tries and fetches; a link that stands twice in a sweep is tried once."""
+    e = fx.table(spark, sf_dir, "events").select("user_id", "event_id").withColumn("batch_id", F.expr("event_id div 100"))
+    first = e.groupBy("user_id", "batch_id").agg(F.min("event_id").alias("event_id"))
+    status = F.when(F.col("event_id") % 3 == 0, "ok").otherwise("failed")
+    return links.sweeps(first.select("batch_id", F.col("user_id").cast("string").alias("link_id"), status.alias("status")))
+
+
+@query("SELECT DISTINCT md5(c_custkey::VARCHAR) AS link_id FROM customer WHERE c_nationkey % 5 <> 0")
+def ledger_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledgers as JSON arrays, one for each nation; every fifth is cut short and holds nothing."""
+    c = fx.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(F.collect_list(F.md5(F.col("c_custkey").cast("string")))).alias("t"))
+    text = F.when(F.col("c_nationkey") % 5 == 0, F.expr("left(t, length(t) - 1)")).otherwise(F.col("t"))
+    return sources.ledger_ids(c.select(text.alias("value")))
+
+
+@query("SELECT 'f' || c_custkey AS path FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0")
+def fresh_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a later listing has in addition, without downloads in progress."""
+    k = F.col("c_custkey")
+    after = fx.table(spark, sf_dir, "customer").select(k, F.concat(F.lit("f"), k, F.when(k % 5 == 0, ".crdownload").otherwise("")).alias("path"))
+    return links.fresh_files(after.where(k % 3 == 0).select("path"), after.select("path")).select("path")
+
+
+@query("""
+WITH p AS (
+  SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'https://cdn.example/b/' ELSE 'https://h' || (c_custkey % 3) || '.example/a/b' || c_custkey || '/' END AS place,
+         CASE WHEN c_custkey % 3 = 0 THEN 'https://cdn.example' ELSE 'https://h' || (c_custkey % 3) || '.example' END AS host,
+         CASE WHEN c_custkey % 3 = 0 THEN 'https://cdn.example/' ELSE 'https://h' || (c_custkey % 3) || '.example/a/' END AS up FROM customer),
+x AS (
+  SELECT k, 0 AS ord, place || 'get.php?id=' || k || '&x=2' AS href FROM p UNION ALL SELECT k, 1, host || '/abs/' || k FROM p
+  UNION ALL SELECT k, 2, up || 'up/' || k FROM p UNION ALL SELECT k, 3, 'https://other.example/' || k FROM p)
+SELECT k AS page_id, ord, href, md5(href || 'Download') AS link_id FROM x
+""")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links made absolute by the page's address and base tag."""
+    found = links.links(fx.relative_pages(spark, sf_dir), url="url")
+    return found.select("page_id", F.col("ord").cast("int").alias("ord"), "href", "link_id")
+
+
+# Files.
+
+
+def _files(spark: SparkSession, corpus: DataFrame) -> str:
+    folder = shared_dir(spark, "files")
+    write_files(corpus, folder, name="path")
+    return folder
+
+
+def _name(part: int = -1) -> Column:
+    return F.element_at(F.split("path", "/"), part)
+
+
+_FILES = """
+SELECT p_brand AS name, sum(length('nop~' || 'nop~' || 'nop~' || 'nop~' || 'nop~' || 'int f_' || p_partkey || '(int a1)~{~  g_' || p_partkey
+  || '(a1);~  if ( a1 )~    return f_' || (p_partkey + 1) || '(a1);~}~'))::BIGINT AS n FROM part GROUP BY p_brand
+UNION ALL SELECT 'zz', sum(length('nop~nop~nop~nop~nop~' || 'int f_' || p_partkey || '(int a1)~{~  h_' || p_partkey || '(a1);~}~'))::BIGINT FROM part WHERE p_partkey % 7 = 0
+UNION ALL SELECT '0', length('int start_main(int a1)~{~  f_1(a1);~}~')"""
+
+
+@query(_FILES)
+def pseudo_c_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of a directory with its entry file; what lies in folders below it does not count."""
+    corpus = fx.pseudo_c(spark, sf_dir)
+    folder = _files(spark, corpus.unionAll(corpus.select(F.concat(F.lit("below/"), "path").alias("path"), "content")))
+    return sources.pseudo_c_directory(spark, folder).select(_name().alias("name"), F.char_length("content").cast("long").alias("n"))
+
+
+@query(_FILES)
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regular files of a directory with their sizes."""
+    corpus = fx.pseudo_c(spark, sf_dir)
+    folder = _files(spark, corpus.unionAll(corpus.select(F.concat(F.lit("below/"), "path").alias("path"), "content")))
+    return sources.samples(spark, folder).select(_name().alias("name"), F.col("length").alias("n"))
+
+
+@query("""
+SELECT 'supplier-' || s_suppkey || '.asm' AS name, r AS recursive, sha256(s_name) AS sha256
+FROM supplier, (VALUES (true), (false)) AS x(r) WHERE s_suppkey % 3 <> 0 AND (r OR s_suppkey % 2 = 0)
+UNION ALL SELECT 'ONE.ASM', NULL, sha256(s_name) FROM supplier WHERE s_suppkey = 1
+""")
+def listing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes in the listings of a directory, of those below it too, and of one file whose suffix is in capitals."""
+    corpus = fx.asm(spark, sf_dir).withColumn("k", F.regexp_extract("path", r"(\d+)", 1).cast("int"))
+    below = corpus.select(F.when(F.col("k") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("below/"), "path")).alias("path"), "content")
+    other = corpus.where("k = 1").select(F.lit("ONE.ASM").alias("path"), "content")
+    folder = _files(spark, below.unionAll(other))
+    read = (sources.listings(spark, folder, recursive=True), sources.listings(spark, folder), sources.listings(spark, f"{folder}/ONE.ASM", single=True))
+    rows = [footprint.file_hashes(f).withColumn("recursive", F.lit(r).cast("boolean")) for f, r in zip(read, (True, False, None), strict=True)]
+    return reduce(DataFrame.unionAll, rows).where("sha256 IS NOT NULL").select(_name().alias("name"), "recursive", "sha256")
+
+
+@query(r"""
+SELECT 'supplier-' || k || '.asm' AS path, '{"file":"supplier-' || k || '.asm"'
+  || CASE WHEN k % 3 <> 0 THEN ',"file_hashes":{"sha256":"' || sha256(s_name) || '","md5":"' || md5(s_name) || '","crc32":"' || lpad(lower(to_hex(k)), 8, '0') || '"}' ELSE '' END
+  || CASE WHEN k % 5 <> 0 THEN replace(',"iocs":{"protocols_full":["https://c@.evil.example.xyz/p/@"],"urls":["https://c@.evil.example.xyz/p/@"],"domains":["c@.evil.example.xyz"],"files":["lib@.dll"],"main_patterns":["main.f@"],"ssh_patterns":["SSHClient@"],"operational_files":["C:\\work\\job@\\run.bin","\\\\host@\\share\\d\\f.txt"],"dependency_paths":["C:\\Program Files\\tool\\bin\\t@.cfg"]}', '@', k::VARCHAR) ELSE '' END
+  || '}' AS json FROM (SELECT s_suppkey AS k, s_name FROM supplier) WHERE k % 5 <> 0 OR k % 3 <> 0
+""")
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.json_rows(footprint.scan(fx.asm(spark, sf_dir)))
+
+
+@query("SELECT n * 25 AS done, total, 'Progress: ' || (n * 25) || '/' || total || ' files processed' AS text FROM (SELECT unnest(range(1, count(*) // 25 + 1)) AS n, count(*) AS total FROM supplier)")
+def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.progress_rows(fx.asm(spark, sf_dir))
+
+
+# Headers, calls and order in cases of their own.
+
+
+@query("""
+SELECT p_brand AS path, CASE p_partkey % 8 WHEN 2 THEN 't_' || p_partkey || ' x' WHEN 3 THEN 't_u64 f_' || p_partkey ELSE 'f_' || p_partkey END AS name
+FROM part WHERE p_partkey % 8 < 6
+""")
+def header_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by each of the six patterns of headers, and lines that are none."""
+    found = fn.headers(sources.ordered(fx.headers(spark, sf_dir))).select("path", F.explode("found").alias("f"))
+    return found.select("path", "f.name")
+
+
+@query("""
+SELECT 'f_' || p_partkey AS src, 'f_' || p_partkey AS dst FROM part WHERE p_partkey % 4 = 1
+UNION ALL SELECT 'f_' || p_partkey, 'q_' || p_partkey FROM part WHERE p_partkey % 4 = 3
+""")
+def marked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a function by itself count from its tenth line on, and names that are variables nearby do not."""
+    return callgraph.calls(fn.functions(fn.definitions(sources.ordered(fx.marked_calls(spark, sf_dir))))).select("src", "dst")
+
+
+@query("""
+SELECT 0::INTEGER AS seq, 'start_main' AS name
+UNION ALL SELECT (CASE WHEN c_custkey = 0 THEN last + 1 WHEN c_custkey <= 100 THEN c_custkey ELSE 101 + last - c_custkey END)::INTEGER, 'f_' || c_custkey
+FROM customer, (SELECT max(c_custkey) AS last FROM customer)
+""")
+def deep_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of a chain deeper than the limit: what is too deep comes later, as it is defined."""
+    _, found, defined, edges, _, _ = _graph_of(sources.ordered(fx.chain(spark, sf_dir)))
+    return callgraph.flow(defined, edges, fn.entry_point(found)).select("seq", "name")
+
+
+@query("SELECT 'start_main' AS name UNION ALL SELECT 'f_' || c_custkey FROM customer WHERE c_custkey > 0")
+def deep_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found, defined, edges, _, _ = _graph_of(sources.ordered(fx.chain(spark, sf_dir)))
+    return callgraph.reachable(edges, fn.entry_point(found), defined).select("name")
+
+
+@query(f"""
+SELECT 1::BIGINT AS in_entry, (SELECT count(*) FROM ({_FUNCTIONS})) AS functions, (SELECT count(*) FROM ({_FUNCTIONS})) AS kept_found,
+       count(*) AS kept_missing, (SELECT count(*) FROM ({_FUNCTIONS})) + count(*) AS unclassified FROM ({_MISSING}) WHERE name <> 'if'
+""")
+def function_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found, defined, _, missed, names = _graph(spark, sf_dir)
+    return callgraph.counts(found, defined, missed, names).drop("corpus_id")
+
+
+# Logs as files.
+
+_LOGS = """
+SELECT replace(o_orderpriority, ' ', '_') AS log_id, o_orderkey AS k, o_orderstatus AS s, '--- IR FOR fn_' || o_orderkey || ' (0x' || lpad(to_hex(o_orderkey), 8, '0') || ') ---' AS a,
+    CASE o_orderstatus WHEN 'F' THEN '--- END fn_' || o_orderkey || ' ---' WHEN 'O' THEN 'FAILED fn_' || o_orderkey || ' (0x' || lpad(to_hex(o_orderkey), 8, '0') || '): no IR generated'
+    ELSE 'EXCEPTION fn_' || o_orderkey || ' (0x' || lpad(to_hex(o_orderkey), 8, '0') || '): boom' END AS b FROM orders"""
+
+
+@query(f"""
+WITH l AS ({_LOGS}), m AS (SELECT log_id, max(k) FILTER (s = 'F') AS last FROM l GROUP BY log_id),
+n AS (SELECT log_id, count(*) AS n, count(*) FILTER (s = 'F') AS f FROM l GROUP BY log_id UNION ALL SELECT 'empty', 0, 0)
+SELECT log_id || '/ir.txt' AS name, md5(string_agg(a || chr(10) || CASE WHEN k = last THEN '--- END' ELSE b END, chr(10) ORDER BY k)) AS digest
+FROM l JOIN m USING (log_id) WHERE k <= last GROUP BY log_id
+UNION ALL SELECT log_id || '/ir_summary.txt', md5('=== SUMMARY ===' || chr(10) || '    Start Time: Thu Jan  1 00:00:00 2026' || chr(10) || '    End Time: Thu Jan  1 00:02:58 2026' || chr(10)
+  || '    Total Duration Time: 178.0 seconds (3.0 minutes)' || chr(10) || '    Total Functions Processed: ' || n || chr(10) || '    Successful: ' || f || chr(10) || '    Failed: ' || (n - f) || chr(10)
+  || '    Success Rate: ' || CASE WHEN n = 0 THEN '0.0' ELSE printf('%.1f', 100.0::DOUBLE * f / n) END || '%' || chr(10) || '    ') FROM n
+""")
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a run leaves for each log, written and read again."""
+    folder = shared_dir(spark, "logs")
+    write_files(fx.whole_logs(spark, sf_dir), f"{folder}/in", name="log_id")
+    read = sources.logs(spark, f"{folder}/in").where("error IS NULL")
+    began, ended = (F.to_timestamp(F.lit(x)) for x in ("2026-01-01 00:00:00", "2026-01-01 00:02:58"))
+    write_files(irlog.log_files(read, began, ended), f"{folder}/out")
+    out = sources.read_files(spark, f"{folder}/out", recursive=True)
+    return out.select(F.concat_ws("/", _name(-2), _name()).alias("name"), F.md5("content").alias("digest"))
+
+
+_POLLED = f"""
+WITH l AS ({_LOGS}) SELECT log_id, count(*) AS start_lines, round_even((sum(length(a) + length(b) + 2) + 11 - 0) / 1024.0::DOUBLE, 2) AS kb FROM l GROUP BY log_id
+UNION ALL SELECT 'empty', 0, round_even(8 / 1024.0::DOUBLE, 2)"""
+
+
+@query(_POLLED)
+def log_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One poll of all logs of a folder: started functions and size."""
+    folder = shared_dir(spark, "logs")
+    write_files(fx.whole_logs(spark, sf_dir), folder, name="log_id")
+    return streams.poll(spark, folder).select("log_id", "start_lines", irlog.kilobytes(F.col("size_bytes")).alias("kb"))
+
+
+@query("SELECT count(*) AS start_lines FROM orders")
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running count of started functions that a stream over a folder of logs has in the end."""
+    folder = shared_dir(spark, "logs")
+    write_files(fx.whole_logs(spark, sf_dir), f"{folder}/in", name="log_id")
+    lines = spark.readStream.option("maxFilesPerTrigger", 2).text(f"{folder}/in")
+    counted = streams.progress(lines).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state")
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/count")
+
+    counted.foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start_lines long").parquet(f"{folder}/count")
+
+
+@query("""
+SELECT o_orderpriority AS log_id, count(*) AS processed FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY 1
+""")
+def skipped_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that are null have no lines in a log and are not counted as processed; here every tenth."""
+    log = fx.ir_log(spark, sf_dir).where(F.expr("pos div 2 % 10 <> 0"))
+    return irlog.summary(irlog.events(log)).select("log_id", "processed")
+
+
+# What commands leave.
+
+
+@query("""
+SELECT * FROM (VALUES ('all_functions.txt', true), ('flow_chart.txt', true), ('library.txt', true), ('missing_functions.txt', true), ('organized_code.txt', true),
+  ('report.json', true), ('report.txt', true)) AS x(name, fresh)
+""")
+def command_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that commands write, where older ones of the same names lay; a library that was not there is made."""
+    source, asm = _files(spark, fx.pseudo_c(spark, sf_dir)), _files(spark, fx.asm(spark, sf_dir))
+    with tempfile.TemporaryDirectory() as out:
+        for name in (*cli.ANALYSIS, "report.txt"):
+            with open(f"{out}/{name}", "w") as f:
+                f.write("old")
+        cli.analyze(spark, source, library=f"{out}/library.txt", out=out)
+        for form, name in (("text", "report.txt"), ("json", "report.json")):
+            with open(f"{out}/{name}", "w") as f:
+                f.write(cli.sniff(spark, asm, form=form, deny=None) or "")
+        rows = []
+        for name in sorted(os.listdir(out)):
+            with open(f"{out}/{name}") as f:
+                rows.append((name, f.read() not in ("old", "")))
+    return spark.createDataFrame(rows, "name string, fresh boolean")

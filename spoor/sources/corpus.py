@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions.fixed import DENYLIST_FILE, LIBRARY_FILE, LIBRARY_TEMPLATE
@@ -21,13 +22,32 @@ def _decoded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["path", "content"])
 
 
-def read_files(spark: SparkSession, directory: str, *, glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """(path, content) of regular files; bytes that are not UTF-8 are dropped. A file is read whole."""
+def read_files(spark: SparkSession, directory: str, *, glob: str | None = None, recursive: bool = False, errors: bool = False) -> DataFrame:
+    """(path, content) of regular files; bytes that are not UTF-8 are dropped. A file is read whole.
+
+    A file that cannot be read is left out. errors: it has a row with a null content and an ``error`` instead; for that
+    files are read a second time, to see which of those listed come up.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(directory).select("path", "content").mapInArrow(_decoded, "path string, content string")
-    return files.withColumn("content", newlines(F.col("content")))
+    listed = reader.load(directory)
+    files = listed.select("path", "content").mapInArrow(_decoded, "path string, content string")
+    files = files.withColumn("content", newlines(F.col("content")))
+    if not errors:
+        return files
+    names = [(unquote(p),) for p in listed.inputFiles()]
+    read = listed.where(F.octet_length("content") >= 0).select(_plain(F.col("path")).alias("own"))
+    lost = spark.createDataFrame(names, "path string").join(read, _plain(F.col("path")) == F.col("own"), "left_anti")
+    return files.withColumn("error", F.lit(None).cast("string")).unionByName(
+        lost.select("path", F.lit(None).cast("string").alias("content"), F.lit("the file cannot be read").alias("error"))
+    )
+
+
+def _plain(path: Column) -> Column:
+    """A local path without its scheme, which listings write in several ways."""
+    return F.regexp_replace(path, "^file:/*", "/")
 
 
 def file_name(path: Column) -> Column:
@@ -35,11 +55,14 @@ def file_name(path: Column) -> Column:
 
 
 def ordered(files: DataFrame, corpus_id: Column | None = None) -> DataFrame:
-    """A corpus in the defined order: the entry file first, then paths by their bytes."""
-    frame = files.withColumn("corpus_id", F.lit("0") if corpus_id is None else corpus_id)
-    order = Window.partitionBy("corpus_id").orderBy(F.when(file_name(F.col("path")) == ENTRY, 0).otherwise(1), "path")
-    paths = frame.select("corpus_id", "path").distinct().withColumn("file_ord", F.row_number().over(order) - 1)
-    return frame.join(paths, ["corpus_id", "path"]).select("corpus_id", "path", "file_ord", "content")
+    """A corpus in the defined order: the entry file first, then paths by their bytes.
+
+    file_ord is the text that files sort by, 0 or 1 and the path, so that no file has to be numbered: a projection.
+    """
+    first = F.when(file_name(F.col("path")) == ENTRY, "0").otherwise("1")
+    return files.select(
+        (F.lit("0") if corpus_id is None else corpus_id).alias("corpus_id"), "path", F.concat(first, "path").alias("file_ord"), "content"
+    )
 
 
 def pseudo_c_directory(spark: SparkSession, directory: str) -> DataFrame:
@@ -50,13 +73,13 @@ def pseudo_c_directory(spark: SparkSession, directory: str) -> DataFrame:
     return corpus
 
 
-def listings(spark: SparkSession, path: str, *, recursive: bool = False, single: bool = False) -> DataFrame:
-    """Disassembly listings: one file with the suffix in any case, or a directory's ``*.asm``."""
+def listings(spark: SparkSession, path: str, *, recursive: bool = False, single: bool = False, errors: bool = True) -> DataFrame:
+    """Disassembly listings: one file with the suffix in any case, or a directory's ``*.asm``. See :func:`read_files` for ``errors``."""
     if single:
         if not path.lower().endswith(".asm"):
             raise ValueError(f"{path} is not a .asm file")
-        return read_files(spark, path)
-    return read_files(spark, path, glob="*.asm", recursive=recursive)
+        return read_files(spark, path, errors=errors)
+    return read_files(spark, path, glob="*.asm", recursive=recursive, errors=errors)
 
 
 def samples(spark: SparkSession, directory: str) -> DataFrame:
@@ -107,6 +130,37 @@ def library_file(path: str) -> list[tuple[str, str]]:
         return library(f.read())
 
 
+def logs(spark: SparkSession, path: str) -> DataFrame:
+    """(log_id, content, error) of log files, by name. They are UTF-8 throughout: one that is not has no content but an error."""
+
+    def strict(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            rows = []
+            for raw in batch.column(1).to_pylist():
+                try:
+                    rows.append((raw.decode("utf-8"), None))
+                except UnicodeDecodeError as wrong:
+                    rows.append((None, str(wrong)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([r[i] for r in rows], pa.string()) for i in (0, 1))], ["path", "content", "error"]
+            )
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = found.mapInArrow(strict, "path string, content string, error string")
+    return found.select(file_name(F.col("path")).alias("log_id"), newlines(F.col("content")).alias("content"), "error")
+
+
+def log_lines(whole: DataFrame) -> DataFrame:
+    """(log_id, pos, line) of whole logs ``log_id, content``."""
+    return whole.select("log_id", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")).select("log_id", F.col("pos").cast("long"), "line")
+
+
+def ledger_ids(texts: DataFrame, text: str = "value") -> DataFrame:
+    """(link_id) of ledgers that are kept as JSON arrays, a text each; what is no array holds none."""
+    ids = F.from_json(F.col(f"`{text}`"), "array<string>")
+    return texts.select(F.explode(ids).alias("link_id")).where("link_id IS NOT NULL").distinct()
+
+
 def ledger(spark: SparkSession, text: str | None) -> DataFrame:
     """(link_id) of a JSON array; anything else is an empty ledger."""
     try:

@@ -1,15 +1,80 @@
-"""Checkpoints in the folder that all executors share."""
+"""The folder that all executors share: tables that are worked out once, and files."""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+_made: list[str] = []
 
-def kept(df: DataFrame) -> DataFrame:
-    """The frame, worked out once and cut from its lineage, in ``spark.checkpoint.dir`` (a temporary folder if unset)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spoor-"))
-    return df.checkpoint()
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``. Only a session on one machine may leave that unset: then it is below a
+    temporary folder that goes when Python ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if "top" not in _local:
+            _local["top"] = tempfile.mkdtemp(prefix="spoor-")
+            atexit.register(shutil.rmtree, _local["top"], ignore_errors=True)
+        top = _local["top"]
+    path = f"{top.rstrip('/')}/spoor-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Deletes every folder that this process has made. Frames that read them can no longer be used."""
+    while _made:
+        remove(spark, _made.pop())
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """The frame, worked out once and written as a table in the shared folder, from which it is read."""
+    path, schema = shared_dir(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def write_files(files: DataFrame, folder: str, *, name: str = "name", content: str = "content") -> list[str]:
+    """Writes a file for each row in a folder: its name (which may hold folders) and its content, text or bytes.
+
+    A file is written under another name and moved, so one that is there already is replaced as a whole, also by a task
+    that runs twice. Of rows with one name any one stays; a null content is an empty file. Returns the names, which are
+    as many as the files.
+    """
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(folder)
+        for batch in stream:
+            for own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = f"{top}/{own}"
+                system.create_dir(os.path.dirname(place), recursive=True)
+                part = f"{os.path.dirname(place)}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(data or b"")
+                system.move(part, place)
+            yield batch.select([0])
+
+    rows = files.selectExpr(f"`{name}` AS name", f"CAST(`{content}` AS BINARY) AS content")
+    return [r["name"] for r in rows.mapInArrow(work, "name string").collect()]
