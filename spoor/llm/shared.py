@@ -1,37 +1,24 @@
-"""The folder that all executors share, and arrays kept in it."""
+"""Arrays kept in the folder that all executors share."""
 
 from __future__ import annotations
 
 import gc
 import json
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 import numpy as np
-from pyarrow import fs
 from pyspark.sql import SparkSession
 
+from spoor.sources.shared import file_system, remove, shared_dir
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (local runs), below a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spoor-"))
-        top = context.getCheckpointDir()
-    return f"{top.rstrip('/')}/spoor-{name}-{uuid.uuid4().hex}"
-
-
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+__all__ = ["load", "load_many", "release_shuffles", "remove", "save", "save_many", "shared_dir"]
 
 
 def save(path: str, values: np.ndarray) -> None:
     """Writes an array as .npy: under another name first, so a task that runs twice leaves one whole file."""
-    files, place = _open(path)
+    files, place = file_system(path)
     files.create_dir(os.path.dirname(place), recursive=True)
     part = f"{place}.{uuid.uuid4().hex}"
     with files.open_output_stream(part) as out:
@@ -55,7 +42,7 @@ def load(path: str) -> np.ndarray:
         return np.load(where.path, mmap_mode="r")
     import io
 
-    files, place = _open(path)
+    files, place = file_system(path)
     with files.open_input_file(place) as f:
         return np.load(io.BytesIO(f.read()))
 
