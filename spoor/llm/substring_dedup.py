@@ -13,11 +13,12 @@ with the same symbol form a group, about 0.2 groups a word.
 
 The exchange of a group costs some 14 bytes and its answer two bits. A symbol that stands in a third of all documents
 is sent once by each batch, so no shard holds more of it than there are batches. Everything is one lazy plan whose
-shuffles Spark can rebuild; nothing is collected or broadcast.
+shuffles Spark can rebuild; nothing is collected or broadcast. From some 150 GB of input on, mail goes in two steps.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -35,6 +36,8 @@ from spoor.llm.workers import grouped, streaming
 MAIL = "shard int, batch int, n int, blob binary"
 ANSWER = "batch int, shard int, kind int, n int, blob binary"
 _WIDTHS = [8, 6, 8]
+#: Rows of mail that go straight from batches to shards: some 150 GB of input.
+MAIL_ROWS = 1 << 26
 _NO_ANSWERS = pa.table({
     "batch": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "n": pa.array([], pa.int32()),
     "blob": pa.array([], pa.binary()),
@@ -111,13 +114,35 @@ def _mail(batch: int, entries: Entries, shards: int) -> pa.Table:
     })
 
 
-def _judge(kind: int, mail: pa.Table) -> pa.Table:
-    """For each entry of each batch: has a smaller document the same; has its key other content as well."""
+def _opened(mail: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Batches and sizes of mail in order of batches, and all keys, contents and documents."""
     mail = mail.sort_by("batch")
     ns, batches = mail["n"].to_pylist(), mail["batch"].to_pylist()
     parts = [unpack(b.as_py(), n, _WIDTHS) for b, n in zip(mail["blob"], ns, strict=True)]
     key, content = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    doc = np.concatenate([p[2] for p in parts]).view(np.int64)
+    return batches, ns, key, content, np.concatenate([p[2] for p in parts]).view(np.int64)
+
+
+def _told(kind: int, shard: int, batches: list[int], ns: list[int], smaller: np.ndarray, mixed: np.ndarray) -> pa.Table:
+    """Answers to batches, two bits an entry; to none of which no bit is set."""
+    out, at = [], 0
+    for batch, n in zip(batches, ns, strict=True):
+        a, b = smaller[at : at + n], mixed[at : at + n]
+        at += n
+        if a.any() or b.any():
+            out.append((batch, n, np.packbits(a).tobytes() + np.packbits(b).tobytes()))
+    return pa.table({
+        "batch": pa.array([x[0] for x in out], pa.int32()),
+        "shard": pa.array([shard] * len(out), pa.int32()),
+        "kind": pa.array([kind] * len(out), pa.int32()),
+        "n": pa.array([x[1] for x in out], pa.int32()),
+        "blob": pa.array([x[2] for x in out], pa.binary()),
+    })
+
+
+def _judge(kind: int, mail: pa.Table) -> pa.Table:
+    """For each entry of each batch: has a smaller document the same; has its key other content as well."""
+    batches, ns, key, content, doc = _opened(mail)
     smaller, mixed = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
     order = np.argsort(key, kind="stable")  # merges the batches' sorted runs
     sorted_key = key[order]
@@ -134,20 +159,21 @@ def _judge(kind: int, mail: pa.Table) -> pa.Table:
         contents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
         smaller[rows] = least < d
         mixed[rows] = (contents > 1) & (least == d)
-    out, at = [], 0
-    for batch, n in zip(batches, ns, strict=True):
-        a, b = smaller[at : at + n], mixed[at : at + n]
-        at += n
-        if a.any() or b.any():
-            out.append((batch, n, np.packbits(a).tobytes() + np.packbits(b).tobytes()))
-    shard = mail["shard"][0].as_py()
-    return pa.table({
-        "batch": pa.array([x[0] for x in out], pa.int32()),
-        "shard": pa.array([shard] * len(out), pa.int32()),
-        "kind": pa.array([kind] * len(out), pa.int32()),
-        "n": pa.array([x[1] for x in out], pa.int32()),
-        "blob": pa.array([x[2] for x in out], pa.binary()),
-    })
+    return _told(kind, mail["shard"][0].as_py(), batches, ns, smaller, mixed)
+
+
+def _merged(mail: pa.Table) -> tuple[list[int], list[int], np.ndarray, Entries]:
+    """Batches and sizes of the mail of a bundle, its documents, and the entries of all its batches as one batch's."""
+    batches, ns, key, content, doc = _opened(mail)
+    return batches, ns, doc, _entries(key, content, doc)
+
+
+def _settled(kind: int, mail: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
+    """Answers to the batches of a bundle, from those that the bundle got as one batch."""
+    batches, ns, doc, entries = _merged(mail)
+    smaller, mixed = _answers(entries, answers, kind, shards)
+    smaller = smaller[entries.of] | (entries.least[entries.of] < doc)
+    return _told(kind, mail["shard"][0].as_py(), batches, ns, smaller, mixed[entries.of] & ~smaller)
 
 
 def _answers(entries: Entries, table: pa.Table, kind: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,12 +254,13 @@ def _kept_texts(part: Part, kept: np.ndarray, changed: np.ndarray, joined: bool)
 
 def remove_repeats(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: Sequence[str] = (), window: int = 13,
-    levels: int = 2, joined: bool = False,
+    levels: int = 2, joined: bool = False, mail_rows: int = MAIL_ROWS,
 ) -> DataFrame:
     """``docs`` without the words covered by a window of ``window`` words that a document of smaller id has too.
 
     docs   : any frame with an integer id and a text; other columns count only if named in ``keep``
     levels : rounds of pair naming; changes the work and never the result
+    mail_rows : batches times shards from which mail goes in two steps, through bundles of batches; likewise
     joined : ``text`` holds the kept words joined by one space; else each keeps the separator after it, and a text
              that loses nothing stays as it is
 
@@ -253,20 +280,40 @@ def remove_repeats(
     alone = frame.where("id IS NULL")
     frame = frame.where("id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
 
-    def reveal(key: tuple, table: pa.Table) -> pa.Table:
-        return _mail(key[0].as_py(), _group_entries(_parts(table["id"], table["text"], window, levels)), shards)
+    # In two steps, batches send to few wide shards, in which each bundle of batches sends on as one batch to the shards
+    # that these consist of. So there are as many rows of mail as batches times the root of the shards, twice.
+    wide, bundle = shards, 1
+    if batches * shards > mail_rows:
+        wide = bundle = max(2, math.isqrt(shards))
+        shards = wide * -(-shards // wide)
+    fine = shards // wide
+
+    def judged(mail: DataFrame, kind: int) -> DataFrame:
+        """Answers to batches, for mail to wide shards."""
+        judge = lambda table: _judge(kind, table)
+        if bundle == 1:
+            return mail.groupBy("shard").applyInArrow(grouped(judge), ANSWER)
+        mail = mail.withColumn("bundle", F.floor(F.col("batch") / bundle).cast("int"))
+
+        def merge(key: tuple, table: pa.Table) -> pa.Table:
+            return _mail(key[0].as_py(), _merged(table)[3], shards)
 
-    def judge_groups(table: pa.Table) -> pa.Table:
-        return _judge(0, table)
+        def settle(_: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+            return _settled(kind, table, answers, shards) if table.num_rows else _NO_ANSWERS
 
-    def judge_windows(table: pa.Table) -> pa.Table:
-        return _judge(1, table)
+        once = mail.groupBy("bundle", "shard")
+        found = once.applyInArrow(grouped(merge), MAIL).groupBy("shard").applyInArrow(grouped(judge), ANSWER)
+        found = found.withColumn("wide", F.floor(F.col("shard") / fine).cast("int"))
+        return once.cogroup(found.groupBy("batch", "wide")).applyInArrow(grouped(settle), ANSWER)
+
+    def reveal(key: tuple, table: pa.Table) -> pa.Table:
+        return _mail(key[0].as_py(), _group_entries(_parts(table["id"], table["text"], window, levels)), wide)
 
     def reveal_edges(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not table.num_rows:
-            return _mail(key[0].as_py(), _entries(*(np.zeros(0, dtype=t) for t in (U64, U64, np.int64))), shards)
-        _, edges = _verdicts(_parts(table["id"], table["text"], window, levels), answers, window, shards)
-        return _mail(key[0].as_py(), edges.entries, shards)
+            return _mail(key[0].as_py(), _entries(*(np.zeros(0, dtype=t) for t in (U64, U64, np.int64))), wide)
+        _, edges = _verdicts(_parts(table["id"], table["text"], window, levels), answers, window, wide)
+        return _mail(key[0].as_py(), edges.entries, wide)
 
     kind = frame.schema["row"].dataType
     out_schema = T.StructType([
@@ -279,8 +326,8 @@ def remove_repeats(
     def cut(_: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = table["text"]
         parts = _parts(table["id"], texts, window, levels)
-        whole, edges = _verdicts(parts, answers, window, shards)
-        smaller, _ = _answers(edges.entries, answers, 1, shards)
+        whole, edges = _verdicts(parts, answers, window, wide)
+        smaller, _ = _answers(edges.entries, answers, 1, wide)
         single = smaller[edges.entries.of] | (edges.doc > edges.entries.least[edges.entries.of])
         kept_texts, n_words, n_removed, runs, sizes, at = [], [], [], [], [], 0
         for i, p in enumerate(parts):
@@ -324,9 +371,9 @@ def remove_repeats(
                 yield from cut((), pa.Table.from_batches([batch.slice(row, rows)]), _NO_ANSWERS).combine_chunks().to_batches()
 
     dealt = frame.groupBy("batch")
-    groups = dealt.applyInArrow(grouped(reveal), MAIL).groupBy("shard").applyInArrow(grouped(judge_groups), ANSWER)
+    groups = judged(dealt.applyInArrow(grouped(reveal), MAIL), 0)
     edges = dealt.cogroup(groups.groupBy("batch")).applyInArrow(grouped(reveal_edges), MAIL)
-    windows = edges.groupBy("shard").applyInArrow(grouped(judge_windows), ANSWER)
+    windows = judged(edges, 1)
     out = dealt.cogroup(groups.unionAll(windows).groupBy("batch")).applyInArrow(grouped(cut), out_schema)
     out = out.unionAll(alone.mapInArrow(streaming(cut_alone), out_schema))
     return out.select(

@@ -53,6 +53,15 @@ def repeats(rows, window=13):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("size", [0.002, 0.0005])
+def test_mail_in_two_steps_changes_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(substring_dedup, "pieces", lambda df, each_mb: int(each_mb / size / 400))
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.remove_repeats(docs, joined=True, mail_rows=0).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text or "") for r in found), key=repr) == repeats(rows)
+
+
 @pytest.mark.parametrize(("seed", "levels"), [(1, 2), (2, 3)])
 def test_repeats_are_those_of_brute_force(spark, seed, levels):
     rows = [*corpus(seed), (5, "again " * 20), (5, "again " * 20)]
