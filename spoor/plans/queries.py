@@ -72,15 +72,15 @@ def footprint_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footprint.indicators(fx.asm_rejected(spark, sf_dir))
 
 
-@query(r"""
-SELECT page_id::VARCHAR AS path, category, value FROM (
-  SELECT page_id, 'protocols_full' AS category, regexp_extract(url, '^(?:https?|ftp|socks[45]?|ssh)://[a-zA-Z0-9._-]+(?:\.[a-zA-Z]{2,})?(?::[0-9]+)?(?:/[^\s"''<>]*)?') AS value FROM pages
-  UNION ALL SELECT page_id, 'urls', regexp_extract(url, '^(?:https?|ftp|socks[45]?)://[^\s"''<>]{8,}') FROM pages)
-WHERE length(value) > 10 AND value NOT LIKE '%...%'
+@query("""
+WITH p AS (SELECT page_id::VARCHAR AS path, url, split_part(url, '/', 3) AS host FROM pages)
+SELECT path, 'protocols_full' AS category, url AS value FROM p UNION ALL SELECT path, 'urls', url FROM p
+UNION ALL SELECT path, 'domains', host FROM p UNION ALL SELECT path, 'files', host FROM p WHERE host LIKE '%.com'
 """)
 def footprint_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is found in addresses of pages: themselves, their hosts, and hosts that look like programs."""
     pages = fx.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("url").alias("content"))
-    return footprint.indicators(pages).where("category IN ('protocols_full', 'urls')")
+    return footprint.indicators(pages)
 
 
 @query("""
