@@ -7,10 +7,9 @@
 3. Groups of more than one block: signatures of the pairs are compared in batches. After each one, pairs whose
    similarity reaches the threshold with less than the chosen miss probability, given the matches so far, are
    dropped. Survivors are verified on full sets, first the best of each class, then those not connected yet.
-4. What is not connected yet is looked for bucket by bucket: in every bucket that still holds several components, classes
-   of different components are compared in the same way and verified on full sets; only links that connect something
-   leave the task. A small group is one such task, in which again only classes that share a band are compared. So a set
-   is sent at most once for each of its bands, unless a single bucket is larger than a block.
+4. What is not connected yet is looked for in cells: a group that still holds several components, or those of its
+   buckets that do, whichever sends fewer sets. The classes outside a cell's largest component are compared with all
+   others that share a band, in blocks, and verified on full sets; only links that connect something leave a task.
 
 Components come from alternating stars on the links. Intermediate tables are written to the shared folder, so work
 is not repeated and lost executors cost their tasks only. Nothing is collected but counts.
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoor.llm.shared import shared_dir
+from spoor.llm.shared import remove, shared_dir
 from spoor.llm.tokens import SPACES, U64, Spans, mix, mix_int, slices, words_of
 from spoor.llm.workers import grouped, streaming
 
@@ -181,18 +180,23 @@ class _Tables:
     def __init__(self, spark, name: str):
         self.spark, self.path, self.made = spark, shared_dir(spark, name), 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "") -> DataFrame:
         self.made += 1
-        path = f"{self.path}/{self.made}"
+        path = f"{self.path}/{name or 'step'}-{self.made}"
         schema = df.schema
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def drop(self, first: int, last: int) -> None:
+        """Deletes the unnamed tables from the ``first`` one to the ``last``, which no frame reads any longer."""
+        for i in range(first, last + 1):
+            remove(self.spark, f"{self.path}/step-{i}")
+
 
 def components(links: DataFrame, tables: _Tables) -> DataFrame:
     """(node, label) of all nodes of links (a, b): label is the least node of the component, by alternating stars."""
     edges = tables.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, first = None, tables.made
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -201,6 +205,8 @@ def components(links: DataFrame, tables: _Tables) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = tables.keep(small.select("e.a", "e.b").where("a <> b").distinct())
+        tables.drop(first, tables.made - 1)
+        first = tables.made
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38)"))).first()
         if now == before:
             break
@@ -252,9 +258,9 @@ def near_duplicates(
                     ["id", "th", "n", "key", "sig"],
                 )
 
-    all_ = tables.keep(frame.mapInArrow(streaming(sketch), sketched))
+    all_ = tables.keep(frame.mapInArrow(streaming(sketch), sketched), "sketches")
     classes = all_.where("key IS NOT NULL").groupBy("key").agg(F.first("sig").alias("sig"), F.min("th").alias("th"), F.first("n").alias("n"))
-    classes = tables.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = tables.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)),
@@ -267,8 +273,7 @@ def near_duplicates(
     groups = components(pairs, tables).withColumnRenamed("label", "g")
     groups = groups.join(classes.select("node", "th", "n", "sig"), "node")
     sizes = groups.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("held"))
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
-    sizes = tables.keep(sizes.select("g", blocks.alias("blocks")))
+    large = tables.keep(sizes.where((F.col("size") > BLOCK) | (F.col("held") > BLOCK_SHINGLES)).select("g"))
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -317,7 +322,6 @@ def near_duplicates(
 
     # Groups of several blocks: the pairs with pivots first.
     labels = spark.createDataFrame([], "node long, label long")
-    large = sizes.where("blocks > 1").select("g")
     if not large.isEmpty():
         of = sets.join(large, "g").select("node", "sig")
         both = pairs.join(of.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(
@@ -331,30 +335,51 @@ def near_duplicates(
         links = tables.keep(links.unionAll(verified(rest)))
         labels = tables.keep(components(links, tables))
 
-    # What is not connected yet: within each small group, and within the buckets of the others.
-    nodes = labelled(sets.select("node", "g", F.size("s").alias("held")), labels, "node").withColumnRenamed("lnode", "label").join(sizes, "g")
+    # What is not connected yet, in cells: a whole group, or its buckets if fewer sets have to be sent for these.
+    nodes = labelled(sets.select("node", "g", F.size("s").alias("held")), labels, "node").withColumnRenamed("lnode", "label")
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """Cells with several labels: the commonest one, blocks of all members and of those with other labels, rows to send."""
+        by = members.groupBy("cell", "g", "label").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+        by = by.groupBy("cell", "g").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.max(F.struct("n", "held", "label")).alias("main"))
+        blocks = lambda n, held: F.ceil(F.greatest(n / BLOCK, held / BLOCK_SHINGLES))
+        rest = F.col("n") - F.col("main.n")
+        right, left = blocks(F.col("n"), F.col("held")), blocks(rest, F.col("held") - F.col("main.held"))
+        return by.where(rest > 0).select("cell", "g", F.col("main.label").alias("main"), right.alias("right"), left.alias("left"), (F.col("n") * left + rest * right).alias("rows"))
+
     cell = lambda of, bucket: F.struct(F.col(of).alias("of"), F.lit(bucket).alias("bucket")).alias("cell")
-    small = nodes.where("blocks = 1").select(cell("g", False), "node", "label", "held")
-    members = small.unionAll(dealt.join(nodes.where("blocks > 1"), "node").select(cell("bucket", True), "node", "label", "held"))
-    mixed = members.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum("held").alias("held"))
-    mixed = tables.keep(mixed.where("x <> y").select("cell", blocks.alias("blocks")))
-    split = members.drop("held").join(mixed, "cell").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label")
+    in_groups = nodes.select(cell("g", False), "g", "node", "label", "held")
+    groups_ = tables.keep(mixed(in_groups))
+    in_buckets = dealt.join(nodes.join(groups_.select("g"), "g", "left_semi"), "node").select(cell("bucket", True), "g", "node", "label", "held")
+    buckets = tables.keep(mixed(in_buckets))
+    # A group of which no bucket holds two labels has no candidates.
+    both = groups_.join(buckets.groupBy("g").agg(F.sum("rows").alias("in_buckets")), "g")
+    whole = F.col("rows") <= F.col("in_buckets")
+    cells = both.where(whole).select(*groups_.columns).unionAll(buckets.join(both.where(~whole).select("g"), "g", "left_semi").select(*groups_.columns))
+    cells = tables.keep(cells.select("cell", "main", F.col("right").cast("int").alias("right"), F.col("left").cast("int").alias("left")))
+    split = in_groups.unionAll(in_buckets).select("cell", "node", "label").join(cells, "cell")
+    # Rows of other labels than the commonest are compared with all rows: a task has one block of either.
+    spread = lambda mine, others: F.transform(F.sequence(F.lit(0), F.col(others) - 1), lambda x: F.struct(
+        (F.pmod(F.xxhash64("node", F.lit(5)), F.col("right")).cast("int") if mine == "right" else x).alias("i"),
+        (F.pmod(F.xxhash64("node", F.lit(6)), F.col("left")).cast("int") if mine == "left" else x).alias("j"), F.lit(mine == "left").alias("other"),
+    ))
+    roles = F.when(F.col("label") == F.col("main"), spread("right", "left")).otherwise(F.concat(spread("right", "left"), spread("left", "right")))
+    split = split.select("cell", "node", "label", F.explode(roles).alias("x")).select("cell", "node", "label", "x.i", "x.j", "x.other")
     split = split.join(sets.select("node", "sig", "s"), "node")
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         sets_ = [np.asarray(s.values) for s in table["s"]]
-        node, mine = table["node"].to_numpy(), table["mine"].to_numpy()
-        left, right = np.flatnonzero(mine == key[1].as_py()), np.flatnonzero(mine == key[2].as_py())
+        node, other = table["node"].to_numpy(), table["other"].to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(other), np.flatnonzero(~other)
         found = block_links(_signature_rows(table["sig"]), sets_, table["label"].to_numpy(), left, right, similarity, miss)
         ends = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
 
     more = split.groupBy("cell", "i", "j").applyInArrow(grouped(block), "a long, b long")
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = tables.keep(components(known.unionAll(more), tables))
+    labels = tables.keep(components(known.unionAll(more), tables), "labels")
+    tables.drop(1, tables.made)
 
     nodes = labelled(classes.select("node", "key"), labels, "node").select("key", F.col("lnode").alias("label"))
     by_class = all_.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least")).join(nodes, "key")
