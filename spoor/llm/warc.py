@@ -45,6 +45,9 @@ _BLOCKS = frozenset(
 )
 _CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_UNSEEN, "title")}
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_OPENING = re.compile(r"</?[A-Za-z!?]")
+#: A quoted value that has no end before the region's.
+_OPEN_QUOTE = re.compile(r"=\s*(?:\"[^\"]*|'[^']*)\Z")
 _QUOTE_OR_END = re.compile(r"=\s*([\"'])|>")
 _LANG = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -77,7 +80,7 @@ def _tags(page: str) -> Iterator[tuple[str, str, int]]:
             parts.append(" ")
             at = len(page) if end < 0 else end + 3
             continue
-        if not re.match(r"/?[A-Za-z!?]", page[low + 1 : low + 3]):
+        if not _OPENING.match(page, low):
             parts.append("<")
             at = low + 1
             continue
@@ -86,7 +89,7 @@ def _tags(page: str) -> Iterator[tuple[str, str, int]]:
             at = low
             break
         end = plain
-        if quotes:
+        if quotes and _OPEN_QUOTE.search(page, low, plain):
             look, end = low, -1
             while found := _QUOTE_OR_END.search(page, look):
                 if not found[1]:
@@ -101,7 +104,7 @@ def _tags(page: str) -> Iterator[tuple[str, str, int]]:
         tag = page[low : end + 1]
         at = end + 1
         name = _NAME.match(tag)
-        if name and not tag.startswith("</") and name[1].lower() in _UNSEEN:
+        if name and name[1].lower() in _UNSEEN and tag[1] != "/":
             shut = _CLOSING[name[1].lower()].search(page, at)
             parts.append(" ")
             at = shut.end() if shut else len(page)
@@ -111,34 +114,38 @@ def _tags(page: str) -> Iterator[tuple[str, str, int]]:
     yield "".join([*parts, page[at:]]), "", len(page)
 
 
-def _name(tag: str) -> str:
-    found = _NAME.match(tag)
-    return found[1].lower() if found else ""
+def read_page(page: str) -> tuple[str, list[tuple[str, str]]]:
+    """What :func:`plain_text` and :func:`fields` tell of a page, in one pass."""
+    parts, title, language, links = [], None, None, []
+    for text, tag, at in _tags(page):
+        found = _NAME.match(tag)
+        name = found[1].lower() if found else ""
+        parts.append(text)
+        if name in _BLOCKS:
+            parts.append("\n")
+        if tag.startswith("</"):
+            continue
+        if name == "a":
+            if found := _HREF.search(tag):
+                links.append(found[1] or found[2] or found[3] or "")
+        elif name == "title" and title is None:
+            shut = _CLOSING["title"].search(page, at)
+            title = page[at : shut.start()] if shut else ""
+        elif name == "html" and language is None and (found := _LANG.search(tag)):
+            language = found[1].lower()
+    plain = _LINES.sub("\n", _GAPS.sub(" ", html.unescape("".join(parts)))).strip(" \n")
+    told = [("title", html.unescape(title or "")), ("language", language or ""), *(("outlink", html.unescape(x)) for x in links)]
+    return plain, [(k, v) for k, v in ((k, _one_line(v)) for k, v in told) if v]
 
 
 def plain_text(page: str) -> str:
     """The visible text of a page: a line for each block, white space run together, entities resolved."""
-    parts = []
-    for text, tag, _ in _tags(page):
-        parts += [text, "\n" if _name(tag) in _BLOCKS else ""]
-    return _LINES.sub("\n", _GAPS.sub(" ", html.unescape("".join(parts)))).strip(" \n")
+    return read_page(page)[0]
 
 
 def fields(page: str) -> list[tuple[str, str]]:
     """What a metadata record tells about a page: title, language, outgoing links in order."""
-    title = language = None
-    links = []
-    for _, tag, at in _tags(page):
-        name = "" if tag.startswith("</") else _name(tag)
-        if name == "title" and title is None:
-            shut = _CLOSING["title"].search(page, at)
-            title = html.unescape(page[at : shut.start()]) if shut else ""
-        elif name == "html" and language is None and (found := _LANG.search(tag)):
-            language = found[1].lower()
-        elif name == "a" and (found := _HREF.search(tag)):
-            links.append(html.unescape(next(g for g in found.groups() if g is not None)))
-    out = [("title", title or ""), ("language", language or ""), *(("outlink", x) for x in links)]
-    return [(k, v) for k, v in ((k, _one_line(v)) for k, v in out) if v]
+    return read_page(page)[1]
 
 
 def _one_line(text: str) -> str:
@@ -276,17 +283,17 @@ def response(uri: str | None, page: str | None, key: str, date: str) -> dict:
 def derive(source: dict) -> list[dict]:
     """The metadata and the conversion record of a response, each of which names the other's source."""
     head, payload = split_http(source["block"] or b"")
-    page = page_of(head, payload)
+    plain, page_fields = read_page(page_of(head, payload))
     linked = {
         "target_uri": source["target_uri"], "date": source["date"], "refers_to": source["record_id"],
         "refers_to_target_uri": source["target_uri"], "refers_to_date": source["date"],
         "source_headers": "; ".join(head.split("\r\n")) or None,
         "payload_digest": source["payload_digest"] or digest(payload),
     }
-    text = plain_text(page).encode()
+    text = plain.encode()
     own = source["record_id"] or ""
     conversion = record_id("conversion", own, linked["payload_digest"])
-    told = [("via", own), ("conversion", conversion), ("source-block-digest", source["block_digest"] or ""), *fields(page)]
+    told = [("via", own), ("conversion", conversion), ("source-block-digest", source["block_digest"] or ""), *page_fields]
     block = "".join(f"{k}: {v}\r\n" for k, v in told if v).encode()
     return [
         dict.fromkeys(RECORD) | linked | {
