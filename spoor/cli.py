@@ -5,8 +5,10 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from itertools import chain
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +17,15 @@ from spoor.operators import callgraph, footprint, irlog, report
 from spoor.operators import links as link_operators
 from spoor.operators.functions import definitions, entry_point, functions
 from spoor.sources.corpus import denylist, ledger, library_file, listings, log_lines, logs, pseudo_c_directory, read_files
-from spoor.sources.shared import kept, write_files
+from spoor.sources.shared import delete_file, file_system, kept, read_text, write_files, write_text
 from spoor.streaming.ledger import monitor
 
 ANALYSIS = ("organized_code.txt", "flow_chart.txt", "missing_functions.txt", "all_functions.txt")
 
 
-def _write(path: str, parts: Iterator[str], between: str = "") -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        for i, part in enumerate(parts):
-            f.write((between if i else "") + part)
+def _joined(parts: Iterable[str], between: str) -> Iterator[str]:
+    for i, part in enumerate(parts):
+        yield (between if i else "") + part
 
 
 class Texts(Mapping):
@@ -36,8 +37,7 @@ class Texts(Mapping):
     def __getitem__(self, name: str) -> str:
         if name not in self.names:
             raise KeyError(name)
-        with open(f"{self.folder}/{name}", encoding="utf-8") as f:
-            return f.read()
+        return read_text(f"{self.folder}/{name}") or ""
 
     def __iter__(self) -> Iterator[str]:
         return iter(self.names)
@@ -54,8 +54,7 @@ def analyze(
     Bodies go to their file one by one.
     """
     for name in ANALYSIS:
-        if os.path.exists(f"{out}/{name}"):
-            os.remove(f"{out}/{name}")
+        delete_file(f"{out}/{name}")
     corpus = pseudo_c_directory(spark, directory)
     found = kept(definitions(corpus), "definitions")
     defined = kept(functions(found), "functions")
@@ -74,7 +73,7 @@ def analyze(
         tell(f"new functions to classify: {n.unclassified}")
     blocks = callgraph.code_blocks(order, defined, own).orderBy("seq").select("block")
     head = f"=== ORGANIZED CODE ===\ntotal functions included: {n.kept_found}\n\n=== FUNCTIONS IN EXECUTION ORDER ===\n\n"
-    _write(f"{out}/organized_code.txt", (p for x in ([head], (r.block + "\n" for r in blocks.toLocalIterator())) for p in x))
+    write_text(f"{out}/organized_code.txt", chain([head], (r.block + "\n" for r in blocks.toLocalIterator())))
     one = corpus.select("corpus_id").limit(1)
     frames = {
         "flow_chart.txt": callgraph.flow_chart(order, edges, own), "missing_functions.txt": callgraph.missing_text(one, missed, own),
@@ -82,17 +81,16 @@ def analyze(
     }
     for name, frame in frames.items():
         row = frame.first()
-        _write(f"{out}/{name}", iter([row["text"] if row else "=== FUNCTION CALL GRAPH ===\n"]))
+        write_text(f"{out}/{name}", [row["text"] if row else "=== FUNCTION CALL GRAPH ===\n"])
     return Texts(out, ANALYSIS)
 
 
 def scanned(spark: SparkSession, path: str, *, recursive: bool = False, deny: str | None = "denylist.txt") -> tuple[DataFrame, int]:
     """The scanned listings of a file or a directory, and how many files there are."""
-    terms = None
-    if deny and os.path.exists(deny):
-        with open(deny, encoding="utf-8") as f:
-            terms = f.read()
-    corpus = listings(spark, path, recursive=recursive, single=os.path.isfile(path))
+    terms = read_text(deny) if deny else None
+    system, place = file_system(path)
+    single = system.get_file_info(place).type == FileType.File
+    corpus = listings(spark, path, recursive=recursive, single=single)
     corpus = corpus.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     return kept(footprint.scan(corpus, deny=denylist(terms)), "scan"), corpus.select("path").count()
 
@@ -114,11 +112,7 @@ def extract(spark: SparkSession, path: str, out: str, *, began: str, ended: str)
 def fresh_links(spark: SparkSession, directory: str, site: str, known: str | None) -> DataFrame:
     """Download links of the pages of a directory, stored from ``site``, that the ledger file does not hold."""
     pages = read_files(spark, directory, recursive=True).select(F.col("path").alias("page_id"), F.col("content").alias("html"), F.lit(site).alias("url"))
-    text = None
-    if known and os.path.exists(known):
-        with open(known, encoding="utf-8") as f:
-            text = f.read()
-    return link_operators.unseen(link_operators.links(pages, url="url"), ledger(spark, text))
+    return link_operators.unseen(link_operators.links(pages, url="url"), ledger(spark, read_text(known) if known else None))
 
 
 def main(args: list[str] | None = None) -> int:
@@ -165,7 +159,8 @@ def main(args: list[str] | None = None) -> int:
         for r in fresh_links(spark, given.directory, given.site, given.ledger).orderBy("page_id", "ord").toLocalIterator():
             print(r["link_id"], r["href"], r["text"])
         return 0
-    if not os.path.exists(given.path):
+    system, place = file_system(given.path)
+    if system.get_file_info(place).type == FileType.NotFound:
         print(f"path '{given.path}' does not exist", file=sys.stderr)
         return 1
     rows, files = scanned(spark, given.path, recursive=given.recursive, deny=given.denylist)
@@ -176,10 +171,10 @@ def main(args: list[str] | None = None) -> int:
         return 0
     parts, between = (report.json_lines(rows), "") if given.format == "json" else (report.text_lines(rows), "\n")
     if given.output:
-        _write(given.output, parts, between)
+        write_text(given.output, _joined(parts, between))
     else:
-        for i, part in enumerate(parts):
-            sys.stdout.write((between if i else "") + part)
+        for part in _joined(parts, between):
+            sys.stdout.write(part)
         sys.stdout.write("\n")
     return 0
 

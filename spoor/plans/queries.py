@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +12,7 @@ from spoor.operators import callgraph, footprint, irlog, links, report
 from spoor.operators import functions as fn
 from spoor.plans import fixtures as fx
 from spoor.sources import corpus as sources
-from spoor.sources.shared import kept, shared_dir, write_files
+from spoor.sources.shared import kept, shared_dir, write_files, write_text
 from spoor.streaming import ledger as streams
 
 QUERIES: dict = {}
@@ -626,17 +624,11 @@ SELECT * FROM (VALUES ('all_functions.txt', true), ('flow_chart.txt', true), ('l
 """)
 def command_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that commands write, where older ones of the same names lay; a library that was not there is made."""
-    source, asm = _files(spark, fx.pseudo_c(spark, sf_dir)), _files(spark, fx.asm(spark, sf_dir))
-    with tempfile.TemporaryDirectory() as out:
-        for name in (*cli.ANALYSIS, "report.txt"):
-            with open(f"{out}/{name}", "w") as f:
-                f.write("old")
-        cli.analyze(spark, source, library=f"{out}/library.txt", out=out)
-        for form, name in (("text", "report.txt"), ("json", "report.json")):
-            with open(f"{out}/{name}", "w") as f:
-                f.write(cli.sniff(spark, asm, form=form, deny=None) or "")
-        rows = []
-        for name in sorted(os.listdir(out)):
-            with open(f"{out}/{name}") as f:
-                rows.append((name, f.read() not in ("old", "")))
-    return spark.createDataFrame(rows, "name string, fresh boolean")
+    source, asm, out = _files(spark, fx.pseudo_c(spark, sf_dir)), _files(spark, fx.asm(spark, sf_dir)), shared_dir(spark, "out")
+    for name in (*cli.ANALYSIS, "report.txt"):
+        write_text(f"{out}/{name}", ["old"])
+    cli.analyze(spark, source, library=f"{out}/library.txt", out=out)
+    for form, name in (("text", "report.txt"), ("json", "report.json")):
+        write_text(f"{out}/{name}", [cli.sniff(spark, asm, form=form, deny=None) or ""])
+    files = sources.read_files(spark, out)
+    return files.select(_name().alias("name"), (~F.col("content").isin("old", "")).alias("fresh"))

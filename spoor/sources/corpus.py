@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions.fixed import DENYLIST_FILE, LIBRARY_FILE, LIBRARY_TEMPLATE
 from spoor.functions.text import newlines
+from spoor.sources.shared import read_text, write_text
 
 ENTRY = "0"
 
@@ -119,15 +120,12 @@ def library(text: str = LIBRARY_FILE, *, compat: bool = True) -> list[tuple[str,
 
 
 def library_file(path: str) -> list[tuple[str, str]]:
-    """The library of a local file, which is made from the template where it is absent."""
-    import os
-
-    if not os.path.exists(path):
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(LIBRARY_TEMPLATE)
+    """The library of a file, which is made from the template where it is absent."""
+    text = read_text(path)
+    if text is None:
+        write_text(path, [LIBRARY_TEMPLATE])
         return []
-    with open(path, encoding="utf-8") as f:
-        return library(f.read())
+    return library(text)
 
 
 def logs(spark: SparkSession, path: str) -> DataFrame:

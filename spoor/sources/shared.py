@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -53,7 +53,34 @@ def kept(df: DataFrame, name: str = "kept") -> DataFrame:
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    """The file system of a path or an address, and the place in it."""
+    local = "://" not in path and not path.startswith("file:")
+    return (fs.LocalFileSystem(), os.path.abspath(path)) if local else fs.FileSystem.from_uri(path)
+
+
+def write_text(path: str, parts: Iterable[str]) -> None:
+    """Writes a text part by part, on any file system."""
+    system, place = file_system(path)
+    system.create_dir(os.path.dirname(place), recursive=True)
+    with system.open_output_stream(place) as out:
+        for part in parts:
+            out.write(part.encode())
+
+
+def read_text(path: str) -> str | None:
+    """A whole text; None if there is no such file."""
+    system, place = file_system(path)
+    if system.get_file_info(place).type != fs.FileType.File:
+        return None
+    with system.open_input_file(place) as f:
+        return f.read().decode()
+
+
+def delete_file(path: str) -> None:
+    """Deletes a file if it is there."""
+    system, place = file_system(path)
+    if system.get_file_info(place).type == fs.FileType.File:
+        system.delete_file(place)
 
 
 def write_files(files: DataFrame, folder: str, *, name: str = "name", content: str = "content") -> list[str]:
