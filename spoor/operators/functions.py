@@ -45,15 +45,13 @@ def is_call(line: Column) -> Column:
 
 def headers(corpus: DataFrame) -> DataFrame:
     """corpus_id, path, file_ord, content and found: array of structs line_no, name of candidate headers."""
-    frame = corpus.withColumn("lines", F.split("content", "\n", -1))
-    each = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), strip(x).alias("line")))
+    each = F.transform(F.split("content", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
     # Most lines have no parenthesis and are dropped before anything is matched.
-    maybe = F.filter(
-        each,
-        lambda x: F.contains(x["line"], F.lit("(")) & ~x["line"].startswith("//") & ~x["line"].startswith("/*") & ~is_call(x["line"]),
-    )
+    some = F.filter(each, lambda x: F.contains(x["line"], F.lit("(")))
+    some = F.transform(some, lambda x: F.struct(x["line_no"].alias("line_no"), strip(x["line"]).alias("line")))
+    maybe = F.filter(some, lambda x: ~x["line"].startswith("//") & ~x["line"].startswith("/*") & ~is_call(x["line"]))
     named = F.transform(maybe, lambda x: F.struct(x["line_no"].alias("line_no"), header_name(x["line"]).alias("name")))
-    return frame.select("corpus_id", "path", "file_ord", "content", F.filter(named, lambda x: x["name"].isNotNull()).alias("found"))
+    return corpus.select("corpus_id", "path", "file_ord", "content", F.filter(named, lambda x: x["name"].isNotNull()).alias("found"))
 
 
 class _File:
@@ -64,6 +62,7 @@ class _File:
         opens = np.array([x.count("{") for x in self.lines])
         closes = np.array([x.count("}") for x in self.lines])
         self.balance = np.cumsum(opens - closes)
+        self.opened, self.closed = np.r_[0, np.cumsum(opens)], np.r_[0, np.cumsum(closes)]
         self.opening, shut = np.flatnonzero(opens), np.flatnonzero(closes)
         order = np.lexsort((shut, self.balance[shut]))
         self.shut, self.level = shut[order], self.balance[shut][order]
@@ -83,11 +82,15 @@ class _File:
         """The text of a function, with what leads up to it; None if it is not a whole function."""
         words = name.split()
         before = [x for x in self.lines[max(0, start - 5) : start] if self._leads(x.strip(), words)]
-        whole = "\n".join(before + self.lines[start : self.end(start) + 1])
-        stripped = whole.strip()
-        top = stripped.split("\n")
-        opens = whole.count("{")
-        if len(top) < 2 or not opens or opens != whole.count("}"):
+        stop = self.end(start) + 1
+        opens, closes = (
+            sum(x.count(brace) for x in before) + many[stop] - many[start] for brace, many in (("{", self.opened), ("}", self.closed))
+        )
+        if not opens or opens != closes:
+            return None
+        stripped = "\n".join(before + self.lines[start:stop]).strip()
+        top = stripped.split("\n", 5)
+        if len(top) < 2:
             return None
         head = "\n".join(top[:5])
         named = all(w in head for w in words) if len(words) > 1 else name in head
