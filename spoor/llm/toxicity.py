@@ -2,16 +2,16 @@
 
 1. Voters are made from a bounded sample of labelled rows: lexicons of whole words, and patterns of word beginnings of
    one length, that stand mostly in toxic texts; several of each, and one that votes clean where no term stands at all.
-2. A generative label model is fitted by EM without the labels. In either class the voters are a tree: how often each
-   speaks depends on the class and on the voter that it goes along with most (the tree of most mutual information given
-   the class), so that accuracies and correlations are estimated together and voters that say the same count once.
+2. A generative label model estimates by EM, without the labels, how often each voter speaks in either class, and the
+   correlations of voters within the classes: those that speak together beyond what the class explains, as a lexicon and
+   a pattern of the same words do, count less by as much.
 3. A linear classifier over hashed words and word beginnings is trained on the model's posterior labels. It gives
    the scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -92,54 +92,29 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def _tree(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """For each voter the one that it goes along with, -1 for the first: the tree of most mutual information given the class."""
-    n, voters = votes.shape
-    shared = np.zeros((voters, voters))
-    for w in weight:
-        total = w.sum() + 1e-9
-        one = (w @ votes + 0.5) / (total + 1)
-        both = ((votes * w[:, None]).T @ votes + 0.25) / (total + 1)
-        for a, b, joint in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one[None, :] - both), (1 - one, 1 - one, 1 - one[:, None] - one[None, :] + both)):
-            joint = np.maximum(joint, 1e-9)
-            shared += total * joint * np.log(joint / np.outer(a, b))
-    parent, best = np.full(voters, -1), shared[0].copy()
-    along, open_ = np.zeros(voters, dtype=np.int64), np.ones(voters, dtype=bool)
-    open_[0] = False
-    while open_.any():
-        new = int(np.where(open_, best, -np.inf).argmax())
-        parent[new], open_[new] = along[new], False
-        closer = open_ & (shared[new] > best)
-        best[closer], along[closer] = shared[new][closer], new
-    return parent
-
-
-def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> np.ndarray:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
     """The posterior of class 1 for each row of boolean votes (rows x voters), without labels.
 
-    A latent class whose voters form a tree: each speaks at a rate of its own in either class, given whether its parent
-    speaks. The tree is found anew in the first rounds of EM and then stays. The rates start from the rows in which any
-    voter for class 1 speaks; the last voter speaks for class 0.
+    Each voter speaks at a rate of its own in either class. A voter's evidence is divided by the sum of its squared
+    correlations with all voters within the classes, so voters that say the same count once. The rates start from
+    the rows in which most voters for class 1 speak; the last voter speaks for class 0.
     """
     n, voters = votes.shape
     if not n:
         return np.zeros(0)
     v = votes.astype(float)
     posterior = np.where(v[:, :-1].any(axis=1), 0.9, 0.05)
-    parent = np.full(voters, -1)
-    for step in range(rounds):
+    for _ in range(rounds):
         weight = np.stack([1 - posterior, posterior])
-        if step < 5:
-            parent = _tree(v, weight)
-        above = np.where(parent[None, :] >= 0, v[:, parent], 0.0)
-        logit = np.full(n, np.log(prior / (1 - prior)))
-        for sign, w in zip((-1, 1), weight, strict=True):
-            spoke, asked = (w @ (above * v) + 0.5), (w @ above + 1)
-            silent_spoke, silent = (w @ ((1 - above) * v) + 0.5), (w @ (1 - above) + 1)
-            rate = np.where(above > 0, spoke / asked, silent_spoke / silent)
-            logit += sign * np.where(votes, np.log(rate), np.log1p(-rate)).sum(axis=1)
+        rate = (weight @ v + 0.5) / (weight.sum(axis=1, keepdims=True) + 1)
+        rest = v - posterior[:, None] * rate[1] - (1 - posterior)[:, None] * rate[0]
+        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-6
+        shared = ((rest.T @ rest) / n / np.outer(spread, spread)) ** 2
+        count = 1 / np.maximum(1, shared.sum(axis=0))
+        on, off = np.log(rate[1] / rate[0]) * count, np.log((1 - rate[1]) / (1 - rate[0])) * count
+        logit = np.log(prior / (1 - prior)) + v @ on + (1 - v) @ off
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if step >= 5 and np.abs(new - posterior).max() < 1e-4:
+        if np.abs(new - posterior).max() < 1e-4:
             return new
         posterior = new
     return posterior
@@ -299,14 +274,14 @@ def train(
     return model
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``score`` double (0 to 1) and ``predicted`` int (1 from ``threshold`` on).
 
     Whole texts are scored, of any length; a null or empty one gets the score of a text without any term. Nothing
-    but the text enters. Columns of these names are replaced; rows keep their number.
+    but the text enters. Columns of these names are replaced; rows keep their number. keep: the columns that stay; all.
     """
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    frame = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    rest = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
+    frame = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")]).alias("row"))
     schema = T.StructType([frame.schema["row"], T.StructField("score", T.DoubleType())])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,5 +300,5 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity scores of every text of ``documents``, learned from three quarters of ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = score(docs, model)
+    out = score(docs, model, keep=["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", "predicted")
