@@ -93,7 +93,7 @@ def apply_rules(df: DataFrame, *, text: str = "text", rules: Sequence[Rule] = RU
     windows of three words that stand twice or more in the text, found by 64-bit hashes within it. Columns of these
     names in ``df`` are replaced; rows keep their number, and no row is compared with another.
     """
-    rest = [c for c in df.columns if c not in (*_NEW, "base_failed", "kept")]
+    rest = [c for c in df.columns if c.lower() not in (*_NEW, "base_failed", "kept")]
     frame = df.select(
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"), F.col(f"`{text}`").alias("__text"),
         words(F.col(f"`{text}`"), SPACES).alias("__words"), F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1).alias("__lines"),

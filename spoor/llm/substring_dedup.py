@@ -270,7 +270,7 @@ def remove_repeats(
     Rows with one id are documents of their own, none of which is smaller than the other. A text with fewer than
     ``window`` words is kept. The result is the same for any number of batches and shards.
     """
-    row = [c for c in keep if c not in (id, text, "n_words", "n_removed", "removed")]
+    row = [c for c in keep if c.lower() not in (id.lower(), text.lower(), "n_words", "n_removed", "removed")]
     frame = docs.select(
         F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in row] or [F.lit(0).alias("none")]).alias("row"),
