@@ -29,7 +29,7 @@ def _columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes to be toxic go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _columns(score(docs.select("text", _row(docs.columns)), model).where("predicted = 0"), docs.columns)
+    return _columns(score(docs.select("text", _row(docs.columns)), model, keep=["row"]).where("predicted = 0"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as ids, with the digest of what they decode to."""
+    rest = [c for c in docs.columns if c.lower() not in ("text", "n_tokens", "ids", "decoded", "decoded_sha256")]
     out = encode(docs, decoded=True)
-    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded_sha256")]
     return out.select(*[F.col(f"`{c}`") for c in rest], "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
