@@ -16,8 +16,8 @@ from spoor.functions import fixed
 from spoor.operators import callgraph, footprint, irlog, report
 from spoor.operators import links as link_operators
 from spoor.operators.functions import definitions, entry_point, functions
-from spoor.sources.corpus import denylist, ledger, library_file, listings, log_lines, logs, pseudo_c_directory, read_files
-from spoor.sources.shared import delete_file, file_system, kept, read_text, write_files, write_text
+from spoor.sources.corpus import denylist, ledger, library_file, listings, logs_by_line, pseudo_c_directory, read_files
+from spoor.sources.shared import delete_file, file_system, kept, read_text, write_lines, write_text
 from spoor.streaming.ledger import monitor
 
 ANALYSIS = ("organized_code.txt", "flow_chart.txt", "missing_functions.txt", "all_functions.txt")
@@ -105,8 +105,8 @@ def sniff(spark: SparkSession, path: str, *, recursive: bool = False, form: str
 
 def extract(spark: SparkSession, path: str, out: str, *, began: str, ended: str) -> list[str]:
     """The code and the summary of each decompiler log, as files below ``out``; their names."""
-    whole = logs(spark, path).where("error IS NULL")
-    return write_files(irlog.log_files(whole, F.to_timestamp(F.lit(began)), F.to_timestamp(F.lit(ended))), out)
+    whole, lines = logs_by_line(spark, path)
+    return write_lines(irlog.log_files(whole.where("error IS NULL"), lines, F.to_timestamp(F.lit(began)), F.to_timestamp(F.lit(ended))), out)
 
 
 def fresh_links(spark: SparkSession, directory: str, site: str, known: str | None) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoor.functions.joins import looked_up
 from spoor.functions.text import ctime, one_decimal
-from spoor.sources.corpus import log_lines
+from spoor.sources.shared import kept
 
 # --- Fixed values: what the lines of a log look like.
 START, END = "--- IR FOR", "--- END"
@@ -77,13 +78,34 @@ def summary_texts(counted: DataFrame) -> DataFrame:
     return counted.select("log_id", F.concat_ws("\n", F.lit("=== SUMMARY ==="), *lines).alias("text"))
 
 
-def log_files(logs: DataFrame, began: Column, ended: Column) -> DataFrame:
-    """(name, content) of the files that a run leaves for each whole log: ``<log_id>/ir.txt``, if it has one, and
-    ``<log_id>/ir_summary.txt``. began and ended: timestamps, of the columns of ``logs``."""
-    code = isolate(logs).where("ok").select(F.concat("log_id", F.lit("/ir.txt")).alias("name"), F.col("text").alias("content"))
-    counted = logs.select("log_id", began.alias("began"), ended.alias("ended")).join(summary(events(log_lines(logs))), "log_id", "left")
+def log_files(logs: DataFrame, lines: DataFrame, began: Column, ended: Column) -> DataFrame:
+    """(name, pos, line) of the files that a run leaves for each log: ``<log_id>/ir.txt``, if it has one, by line, and
+    ``<log_id>/ir_summary.txt`` as one row. Of logs ``log_id`` and their lines ``log_id, pos, line`` as
+    :func:`spoor.sources.corpus.logs_by_line` makes them. began and ended: timestamps, of the columns of ``logs``."""
+    code = isolated_lines(lines).select(F.concat("log_id", F.lit("/ir.txt")).alias("name"), "pos", "line")
+    counted = logs.select("log_id", began.alias("began"), ended.alias("ended")).join(summary(events(lines)), "log_id", "left")
     counted = counted.fillna(0, ["processed", "successful", "failed"])
-    return code.unionAll(summary_texts(counted).select(F.concat("log_id", F.lit("/ir_summary.txt")), "text"))
+    nowhere = F.lit(None).cast(lines.schema["pos"].dataType)
+    return code.unionAll(summary_texts(counted).select(F.concat("log_id", F.lit("/ir_summary.txt")), nowhere, "text"))
+
+
+def isolated_lines(lines: DataFrame) -> DataFrame:
+    """(log_id, pos, line) of what :func:`isolate` finds in whole logs, from lines of logs whose ``pos`` is a block and a
+    number in it. A log that is not ok has none. The first and the last line are cut."""
+    start, end = F.instr("line", START), _last_end("line")
+    n = lambda which: F.when(F.contains("line", F.lit(which)), F.col("pos.n"))
+    blocks = lines.groupBy("log_id", "pos.block").agg(F.min(n(START)).alias("first"), F.max(n(END)).alias("last"))
+    pos = lambda which: F.when(F.col(which).isNotNull(), F.struct("block", F.col(which).alias("n")))
+    bounds = kept(blocks.groupBy("log_id").agg(F.min(pos("first")).alias("first"), F.max(pos("last")).alias("last")).where("first <= last"), "bounds")
+    first, last = F.col("pos") == F.col("first"), F.col("pos") == F.col("last")
+    found = looked_up(lines, bounds, "log_id").where("pos BETWEEN first AND last").where(~(first & last) | (start < end))
+    cut = F.when(last, F.substring("line", F.lit(1), end + len(END) - 1)).otherwise(F.col("line"))
+    return found.select("log_id", "pos", F.when(first, F.substring(cut, start, F.char_length(cut))).otherwise(cut).alias("line"))
+
+
+def _last_end(text: str) -> Column:
+    """Where the last literal end mark of a text that has one begins."""
+    return F.char_length(text) - F.instr(F.reverse(text), END[::-1]) - len(END) + 2
 
 
 def isolate(logs: DataFrame) -> DataFrame:
@@ -92,7 +114,7 @@ def isolate(logs: DataFrame) -> DataFrame:
     Not ok, with no text, if either is missing or the end does not come after the start.
     """
     start = F.instr("content", START)
-    end = F.char_length("content") - F.instr(F.reverse("content"), END[::-1]) - len(END) + 2
+    end = _last_end("content")
     ok = (start > 0) & F.contains("content", F.lit(END)) & (start < end)
     return logs.select("log_id", ok.alias("ok"), F.when(ok, F.substring("content", start, end + len(END) - start)).alias("text"))
 

@@ -96,13 +96,14 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry.unionAll(_in_files(rows))
 
 
-def whole_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(log_id, content) of the logs of :func:`ir_log`, with lines around them; the log of a status that no order has is empty."""
-    log = ir_log(spark, sf_dir).withColumn("log_id", F.translate("log_id", " ", "_"))
-    log = log.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    lines = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
-    whole = log.select("log_id", F.concat(F.lit("banner\n"), lines, F.lit("\ntail")).alias("content"))
-    return whole.unionAll(spark.createDataFrame([("empty", "nothing\n")], "log_id string, content string"))
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log_id, pos, line) of the logs of :func:`ir_log`, with lines around them; the log of a status that no order has is empty."""
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("log_id")).distinct()
+    around = spark.createDataFrame([(-1, "banner"), (2**63 - 1, "tail")], "pos long, line string")
+    log = ir_log(spark, sf_dir).unionAll(ids.join(F.broadcast(around)).select("log_id", "pos", "line"))
+    log = log.withColumn("log_id", F.translate("log_id", " ", "_"))
+    log = log.unionAll(spark.createDataFrame([("empty", 0, "nothing"), ("empty", 1, "")], "log_id string, pos long, line string"))
+    return log.select("log_id", F.struct(F.expr("pos div 200000").alias("block"), F.col("pos").alias("n")).alias("pos"), "line")
 
 
 def relative_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from spoor.operators import callgraph, footprint, irlog, links, report
 from spoor.operators import functions as fn
 from spoor.plans import fixtures as fx
 from spoor.sources import corpus as sources
-from spoor.sources.shared import kept, shared_dir, write_files, write_text
+from spoor.sources.shared import digests, kept, shared_dir, write_files, write_lines, write_text
 from spoor.streaming import ledger as streams
 
 QUERIES: dict = {}
@@ -570,12 +570,12 @@ UNION ALL SELECT log_id || '/ir_summary.txt', md5('=== SUMMARY ===' || chr(10) |
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that a run leaves for each log, written and read again."""
     folder = shared_dir(spark, "logs")
-    write_files(fx.whole_logs(spark, sf_dir), f"{folder}/in", name="log_id")
-    read = sources.logs(spark, f"{folder}/in").where("error IS NULL")
+    write_lines(fx.log_lines(spark, sf_dir), f"{folder}/in", name="log_id")
+    logs, lines = sources.logs_by_line(spark, f"{folder}/in")
     began, ended = (F.to_timestamp(F.lit(x)) for x in ("2026-01-01 00:00:00", "2026-01-01 00:02:58"))
-    write_files(irlog.log_files(read, began, ended), f"{folder}/out")
-    out = sources.read_files(spark, f"{folder}/out", recursive=True)
-    return out.select(F.concat_ws("/", _name(-2), _name()).alias("name"), F.md5("content").alias("digest"))
+    write_lines(irlog.log_files(logs.where("error IS NULL"), lines, began, ended), f"{folder}/out")
+    out = sources.samples(spark, f"{folder}/out", recursive=True)
+    return digests(out.select(F.concat_ws("/", _name(-2), _name()).alias("name")), f"{folder}/out")
 
 
 _POLLED = f"""
@@ -587,7 +587,7 @@ UNION ALL SELECT 'empty', 0, round_even(8 / 1024.0::DOUBLE, 2)"""
 def log_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One poll of all logs of a folder: started functions and size."""
     folder = shared_dir(spark, "logs")
-    write_files(fx.whole_logs(spark, sf_dir), folder, name="log_id")
+    write_lines(fx.log_lines(spark, sf_dir), folder, name="log_id")
     return streams.poll(spark, folder).select("log_id", "start_lines", irlog.kilobytes(F.col("size_bytes")).alias("kb"))
 
 
@@ -595,7 +595,7 @@ def log_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running count of started functions that a stream over a folder of logs has in the end."""
     folder = shared_dir(spark, "logs")
-    write_files(fx.whole_logs(spark, sf_dir), f"{folder}/in", name="log_id")
+    write_lines(fx.log_lines(spark, sf_dir), f"{folder}/in", name="log_id")
     lines = spark.readStream.option("maxFilesPerTrigger", 2).text(f"{folder}/in")
     counted = streams.progress(lines).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state")
 

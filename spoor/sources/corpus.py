@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions.fixed import DENYLIST_FILE, LIBRARY_FILE, LIBRARY_TEMPLATE
+from spoor.functions.joins import looked_up
 from spoor.functions.text import newlines
-from spoor.sources.shared import read_text, write_text
+from spoor.sources.shared import kept, read_text, write_text
 
 ENTRY = "0"
+#: Suffixes of files that Spark's reader of texts unpacks.
+_PACKED = ("bz2", "deflate", "gz", "lz4", "passthrough", "snappy", "zst")
 
 
 def _decoded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +86,9 @@ def listings(spark: SparkSession, path: str, *, recursive: bool = False, single:
     return read_files(spark, path, glob="*.asm", recursive=recursive, errors=errors)
 
 
-def samples(spark: SparkSession, directory: str) -> DataFrame:
+def samples(spark: SparkSession, directory: str, *, recursive: bool = False) -> DataFrame:
     """(path, length) of the regular files of a directory; contents are not read."""
-    return spark.read.format("binaryFile").load(directory).select("path", "length")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory).select("path", "length")
 
 
 def lines(corpus: DataFrame) -> DataFrame:
@@ -148,6 +151,31 @@ def logs(spark: SparkSession, path: str) -> DataFrame:
     return found.select(file_name(F.col("path")).alias("log_id"), newlines(F.col("content")).alias("content"), "error")
 
 
+def logs_by_line(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(log_id, error) of log files, by name, and (log_id, pos, line) of those without an error: as :func:`logs`, but no log
+    is held as a whole. ``pos`` grows along a log: the place of the ``block`` that a line was read in, and a number ``n``.
+
+    Blocks may differ from one reading to the next, so lines are read once and kept. A byte order mark is not part of the
+    first line. Of files of one name any one stays. Files that Spark would unpack, by their suffix, are read whole, as they
+    stand.
+    """
+    own, text = F.col("_metadata.file_path").alias("own"), F.col("content").cast("string")
+    read = spark.read.text(path).where(~F.col("_metadata.file_name").rlike(rf"\.({'|'.join(_PACKED)})$")).select(
+        own, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("pos"),
+        F.col("value").alias("line"), F.is_valid_utf8("value").alias("valid"),
+    )
+    files = spark.read.format("binaryFile").load(path).select(own, "path")
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(_PACKED)}}}").load(path)
+    packed = packed.select(own, F.is_valid_utf8(text).alias("valid"), F.posexplode(F.split(newlines(text), "\n", -1)).alias("n", "line"))
+    pos = F.struct(F.lit(0).cast("long").alias("block"), F.col("n").cast("long").alias("n"))
+    lines = kept(read.unionAll(packed.select("own", pos, "line", "valid")), "lines")
+    wrong = lines.where("NOT valid").select("own").distinct().withColumn("wrong", F.lit(True))
+    files = files.select("own", file_name(F.col("path")).alias("log_id")).join(wrong, "own", "left")
+    found = kept(files.groupBy("log_id").agg(F.min(F.when(F.col("wrong").isNull(), F.col("own"))).alias("own")), "files")
+    error = F.when(F.col("own").isNull(), "the file is not UTF-8")
+    return found.select("log_id", error.alias("error")), looked_up(lines, found.where("own IS NOT NULL"), "own").select("log_id", "pos", "line")
+
+
 def log_lines(whole: DataFrame) -> DataFrame:
     """(log_id, pos, line) of whole logs ``log_id, content``."""
     return whole.select("log_id", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")).select("log_id", F.col("pos").cast("long"), "line")

@@ -1,5 +1,6 @@
 """Ledgers under new checkpoints and failures, growing logs, files that cannot be read, and commands."""
 
+import hashlib
 import json
 import os
 
@@ -7,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoor import cli
-from spoor.functions.joins import without
+from spoor.functions.joins import looked_up, without
 from spoor.functions.text import ctime, one_decimal
-from spoor.operators import callgraph, footprint, report
+from spoor.operators import callgraph, footprint, irlog, report
 from spoor.operators import functions as fn
+from spoor.plans import queries
 from spoor.sources import corpus as sources
-from spoor.sources.shared import kept, remove_all, write_files
+from spoor.sources.shared import digests, kept, remove_all, write_files, write_lines
 from spoor.streaming import ledger
 
 
@@ -111,6 +113,85 @@ def test_logs_have_to_be_utf8(spark, tmp_path):
     assert "3.0 seconds (0.1 minutes)" in (out / "a" / "ir_summary.txt").read_text()
 
 
+@pytest.fixture
+def in_blocks(spark):
+    """Files of over 2,000 bytes cannot be read as one value, and texts come in blocks of 1,000."""
+    limits = {"spark.sql.sources.binaryFile.maxLength": "2000", "spark.sql.files.maxPartitionBytes": "1000"}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_no_log_is_held_as_a_whole(spark, tmp_path, in_blocks):
+    text = "banner\n" + "".join(f"--- IR FOR f{k} (0x{k:08X}) ---\n{k}\n--- END f{k} ---\n\n" for k in range(200)) + "FAILED f9 (0x00000009): no\ntail\n"
+    (tmp_path / "a").write_text(text)
+    out = tmp_path / "out"
+    names = cli.extract(spark, str(tmp_path / "a"), str(out), began="2026-01-01 00:00:00", ended="2026-01-01 00:00:03")
+    assert sorted(names) == ["a/ir.txt", "a/ir_summary.txt"]
+    assert (out / "a" / "ir.txt").read_text() == text[len("banner\n") : text.rindex("--- END") + len("--- END")]
+    assert "Processed: 200\n    Successful: 200\n" in (out / "a" / "ir_summary.txt").read_text()
+    assert sorted(os.listdir(out)) == ["a"] and sorted(os.listdir(out / "a")) == ["ir.txt", "ir_summary.txt"]
+
+
+def test_the_query_holds_no_log_as_a_whole(spark, in_blocks):
+    assert queries.QUERIES["log_files"](spark, "/root/testdata/sf0.001").count() == 11
+
+
+def test_logs_by_line_are_those_of_whole_logs(spark, tmp_path):
+    start, end = "--- IR FOR f (0x00000001) ---", "--- END f ---"
+    texts = {
+        "plain": f"x\n{start}\n\n\ny\n{end}\n\n", "crlf": f"{start}\r\na\rb\r\n{end}\r\n", "one line": f"ab {start} c {end} d {end} e",
+        "turned%2F": f"{end} {start}", "turned lines": f"{end}\n{start}", "no+end": f"{start}\nx", "no start": end, "within": f"{end} {start}\n{end} x {start}\n",
+        "packed.gz": f"é{start}\n\n{end}é", "blank": "\n\n", "é": f"é\u2028{start}é\n{end}",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "wrong").write_bytes(f"{start}\n{end}\n".encode() + b"\xe9\n" + end.encode())
+    (tmp_path / "wrong.gz").write_bytes(b"\x1f\x8b\xff")
+    whole = sources.logs(spark, str(tmp_path))
+    logs, lines = sources.logs_by_line(spark, str(tmp_path))
+    assert sorted((r.log_id, r.error is None) for r in logs.collect()) == sorted((r.log_id, r.error is None) for r in whole.collect())
+    at = F.lit("2026-01-01").cast("timestamp")
+    write_lines(irlog.log_files(logs.where("error IS NULL"), lines, at, at), str(tmp_path / "out"))
+    whole = whole.where("error IS NULL")
+    expected = {f"{r.log_id}/ir.txt": r.text for r in irlog.isolate(whole).where("ok").collect()}
+    counted = whole.select("log_id", at.alias("began"), at.alias("ended")).join(irlog.summary(irlog.events(sources.log_lines(whole))), "log_id", "left")
+    texts = irlog.summary_texts(counted.fillna(0, ["processed", "successful", "failed"])).collect()
+    expected |= {f"{r.log_id}/ir_summary.txt": r.text for r in texts}
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes().decode() for p in (tmp_path / "out").rglob("*.txt")} == expected
+    assert len(expected) == 17
+
+
+def test_of_logs_of_one_name_one_stays(spark, tmp_path):
+    for folder, text in (("a", b"--- IR FOR a\n--- END a"), ("b", b"--- IR FOR b\n1\n2\n--- END b"), ("c", b"\xff")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "log").write_bytes(text)
+    logs, lines = sources.logs_by_line(spark, f"{tmp_path}/*/log")
+    assert [tuple(r) for r in logs.collect()] == [("log", None)]
+    assert [r.line for r in irlog.isolated_lines(lines).orderBy("pos").collect()] == ["--- IR FOR a", "--- END"]
+
+
+def test_files_by_line(spark, tmp_path):
+    rows = [("a", (b, n), None if b == n == 1 else f"{b} {n}") for b in range(3) for n in range(3)] + [("b/c", None, "x\ny"), ("e", (0, 0), "")]
+    lines = spark.createDataFrame(rows, "name string, pos struct<block: long, n: long>, line string")
+    (tmp_path / "a").write_text("old")
+    assert sorted(write_lines(lines.orderBy(F.desc("pos")), str(tmp_path))) == ["a", "b/c", "e"]
+    assert (tmp_path / "a").read_text().split("\n") == ["0 0", "0 1", "0 2", "1 0", "", "1 2", "2 0", "2 1", "2 2"]
+    assert (tmp_path / "b" / "c").read_text() == "x\ny" and (tmp_path / "e").read_text() == ""
+    assert sorted(os.listdir(tmp_path)) == ["a", "b", "e"] and write_lines(lines.where("false"), str(tmp_path)) == []
+    names = spark.createDataFrame([("a",), ("b/c",)], "name string")
+    assert {r.name: r.digest for r in digests(names, str(tmp_path)).collect()}["b/c"] == hashlib.md5(b"x\ny").hexdigest()
+
+
+def test_rows_are_looked_up_in_parts(spark):
+    rows = spark.createDataFrame([(f"n{i}", i) for i in range(40)], "name string, i long")
+    listed = spark.createDataFrame([(f"n{i}", -i) for i in range(4, 50)], "name string, j long")
+    assert [sorted(r.i + r.j for r in looked_up(rows, listed, "name", size).collect()) for size in (1 << 20, 100)] == [[0] * 36] * 2
+
+
 def test_one_decimal_is_that_of_c(spark):
     values = [94.25, 94.75, 0.05, 0.15, 0.25, 0.35, 0.45, 33.35, 66.65, 12.34, 99.95, 100.0, 0.0, 2.25, 178.5] + [100 * k / 400 for k in range(401)]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", one_decimal(F.col("v")).alias("x")).collect()
